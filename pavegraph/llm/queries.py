@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact import exact_dedup
+from .packing import pack
 from .tokens import token_counts
+from .warc import round_trip
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -25,6 +31,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 SQL: dict[str, str] = {
     "op5_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
@@ -32,6 +42,18 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
         from t
     """,
+    "op9_warc": """
+        with t as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) || '00' as hex from pages),
+        m as (select *, min(page_id) over (partition by hex) as first_id from t)
+        select page_id, octet_length(encode(html)) as payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((((strpos('0123456789abcdef', substr(hex, (i * 5) // 4 + 1, 1)) - 1) * 256
+                    + (strpos('0123456789abcdef', substr(hex, (i * 5) // 4 + 2, 1)) - 1) * 16
+                    + (strpos('0123456789abcdef', substr(hex, (i * 5) // 4 + 3, 1)) - 1)) >> (7 - (i * 5) % 4)) & 31) + 1, 1)), '') as payload_digest,
+               case when page_id = first_id then 'response' else 'revisit' end as record_type,
+               case when page_id = first_id then null else first_id end as refers_to
+        from m
+    """,
 }
 
 
