@@ -10,6 +10,7 @@ from .common import read
 from .exact import exact_dedup
 from .packing import pack
 from .tokens import token_counts
+from .toxicity import toxicity
 from .warc import round_trip
 
 
@@ -23,6 +24,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
