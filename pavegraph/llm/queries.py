@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontam import decontaminate
 from .exact import exact_dedup
 from .packing import pack
 from .tokens import token_counts
@@ -36,6 +37,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
@@ -47,6 +52,20 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
         from t
     """,
+    "op8_decontaminate": r"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        bw as (select item_id, w, least(len(w), 10) as k, unnest(range(1, len(w) - least(len(w), 10) + 2)) as s from b where len(w) > 0),
+        win as (select distinct item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as g from bw),
+        ks as (select distinct k from win),
+        dw as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from d, ks where len(w) >= k),
+        hits as (select dw.doc_id, dw.s, dw.k, win.item_id from (select doc_id, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as g from dw) dw join win using (k, g)),
+        words as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(s, s + k)) as p from hits) group by doc_id),
+        items as (select doc_id, count(*) as n, string_agg(i, ',' order by i) as names from (select distinct doc_id, item_id::varchar as i from hits) group by doc_id)
+        select d.doc_id, len(d.w) as n_words, coalesce(words.n, 0) as n_hit, coalesce(items.n, 0) as n_items,
+               sha256(coalesce(items.names, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
+        from d left join words using (doc_id) left join items using (doc_id)
+    """,
     "op9_warc": """
         with t as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) || '00' as hex from pages),
         m as (select *, min(page_id) over (partition by hex) as first_id from t)
