@@ -1,0 +1,30 @@
+"""Connected components of a link table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(node, root) of every node with a link; root is the smallest node of its component. ``links``: (a, b).
+
+    Each round takes the smallest label among a node and its neighbours, then follows labels to their own labels, so
+    the rounds grow with the logarithm of a component's diameter. Labels are aggregated before the shuffle; nothing but
+    two counts reaches the driver.
+    """
+    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        new = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        for _ in range(jumps):
+            up = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            new = cut(new).join(up, "root", "left").select("node", F.least("root", "up").alias("root"), "was")
+        new = cut(new)
+        changed = new.filter("root != was").limit(1).count()
+        labels = new.drop("was")
+        if not changed:
+            return labels
