@@ -11,6 +11,7 @@ from .decontam import decontaminate
 from .exact import exact_dedup
 from .minhash import near_classes
 from .packing import pack
+from .substring import substring_dedup
 from .tokens import token_counts
 from .toxicity import toxicity
 from .warc import round_trip
@@ -26,6 +27,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -51,6 +56,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, unnest(range(1, len(w) - 33)) as s, w from d where len(w) >= 35),
+        g as (select doc_id, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) as g from s),
+        hit as (select doc_id, s from g where g in (select g from g group by g having count(*) > 1)),
+        gone as (select distinct doc_id, unnest(range(s, s + 35)) as p from hit),
+        lost as (select doc_id, list(p) as ps, count(*) as n from gone group by doc_id)
+        select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_removed,
+               sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end, ' ')) as kept_sha256
+        from d left join lost using (doc_id)
+    """,
     "op5_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
         select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
