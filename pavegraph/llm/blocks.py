@@ -52,10 +52,10 @@ def packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKED_ARROW.types)], schema=PACKED_ARROW)
 
 
-def shared_hashes(sent: DataFrame) -> DataFrame:
+def shared_hashes(sent: DataFrame, hot_blocks: int | None = None) -> DataFrame:
     """(bucket, block, body): for each block, the hashes it sent that it sent twice or that another block sent too.
 
-    A body is 64-bit numbers: how many of the hashes the block has in several places, these, then those it has once.
+    Hashes that more than ``hot_blocks`` blocks sent come in rows of their own, whose bucket is negative. A body sent is 64-bit numbers: how many of the hashes the block has in several places, these, then those it has once.
     """
 
     def decide(table: pa.Table) -> pa.Table:
@@ -64,12 +64,19 @@ def shared_hashes(sent: DataFrame) -> DataFrame:
         once = [b[1 + int(b[0]) :] for b in bodies]
         everything = np.sort(np.concatenate([*several, *several, *once]))
         twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
+        hot = np.empty(0, np.uint64)
+        if hot_blocks is not None and len(bodies) > hot_blocks:
+            values, counts = np.unique(np.concatenate([*several, *once]), return_counts=True)
+            hot = values[counts > hot_blocks]
         bucket = table.column("bucket")[0].as_py()
         rows = []
         for block, a, b in zip(blocks.tolist(), several, once):
             hit = np.r_[a, b[np.isin(b, twice)]]
-            if len(hit):
-                rows.append((bucket, block, hit.tobytes()))
+            warm = hit[~np.isin(hit, hot)] if len(hot) else hit
+            if len(warm):
+                rows.append((bucket, block, warm.tobytes()))
+            if len(warm) < len(hit):
+                rows.append((-1 - bucket, block, hit[np.isin(hit, hot)].tobytes()))
         return packed(rows)
 
     return sent.groupBy("bucket").applyInArrow(decide, PACKED)
@@ -92,9 +99,9 @@ def send(block: int, hashes: np.ndarray, n_buckets: int) -> pa.Table:
     return packed(rows)
 
 
-def received(table: pa.Table) -> np.ndarray:
-    """All hashes that the buckets answered to one block, sorted."""
-    bodies = table.column("body").to_pylist()
+def received(table: pa.Table, hot: bool = False) -> np.ndarray:
+    """All (hot or other) hashes that the buckets answered to one block, sorted."""
+    bodies = [b for k, b in zip(table.column("bucket").to_pylist(), table.column("body").to_pylist()) if (k < 0) is hot]
     return np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in bodies])) if bodies else np.empty(0, np.uint64)
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+np.seterr(over="ignore")  # arithmetic modulo 2^64 is meant
 _random = np.random.default_rng(20_240_601)
 #: A random number for each byte, and the odd base of the polynomial.
 BYTE = _random.integers(0, 2**64, 256, np.uint64)

@@ -26,7 +26,6 @@ BANDS = 40
 ROWS = 5
 #: Chances of 0, 1, 2, ... darts in a cell, summed up.
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1.0, 1.0, 2.0, 6.0, 24.0, 120.0, 720.0, 5040.0, 40320.0, 362880.0)])
-np.seterr(over="ignore")
 
 
 def unit(x: np.ndarray) -> np.ndarray:

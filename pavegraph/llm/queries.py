@@ -12,6 +12,7 @@ from .exact import exact_dedup
 from .minhash import near_classes
 from .packing import pack
 from .substring import substring_dedup
+from .suffix import suffix_dedup
 from .tokens import token_counts
 from .toxicity import toxicity
 from .warc import round_trip
@@ -35,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
