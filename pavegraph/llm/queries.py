@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .decontam import decontaminate
 from .exact import exact_dedup
+from .extract import extract
 from .minhash import near_classes
 from .packing import pack
 from .substring import substring_dedup
@@ -48,6 +49,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents"))
 
