@@ -46,3 +46,14 @@ def text_of(column: str = "text"):
 
 def blocks_for(n_rows: int, rows_per_block: int) -> int:
     return max(8, -(-n_rows // rows_per_block))
+
+
+#: Rows that are broadcast to drop them from a table, after counting; more of them are joined by shuffle.
+BROADCAST_DROPS = 1_000_000
+
+
+def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
+    """``rows`` but for those whose ``key`` is in ``drop`` (one column); a null key is in no such list."""
+    drop = cut(drop.toDF("_drop"))
+    small = drop.count() <= BROADCAST_DROPS
+    return rows.join(F.broadcast(drop) if small else drop, rows[key] == F.col("_drop"), "left_anti")

@@ -14,6 +14,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: Words in a window.
 WINDOW = 10
 #: All but the characters of words, after A-Z is lower-cased. Fixed value.
@@ -130,7 +132,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    hit = decontaminate(docs, benchmark, id_col).filter("contaminated").select(F.col(id_col).alias("_hit"))
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows without a hit, with all their columns; ``docs`` must read the same rows each time, as a table does."""
+    marked = docs.withColumn("_uid", F.monotonically_increasing_id())
+    hit = phrase_matches(marked.select(F.col("_uid").alias("uid"), F.col(text_col).alias("text")), items_of(benchmark, item_col, item_text))
+    return without(marked, hit.select("uid").distinct(), "_uid").select(*docs.columns)

@@ -13,7 +13,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 #: Bytes in a block: large enough for few rows, small enough that long texts spread over many tasks.
 BLOCK_BYTES = 1024
@@ -76,18 +76,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept; a null id is smaller than any other. Of repeated rows (same id and text) exactly one is kept. Other columns
     are ignored, whatever their names. An empty table gives an empty result.
     """
+    return _judged(docs, id_col, text_col, block_bytes).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     named = block_names(docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("text")), block_bytes)
     best = named.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(best, ["n_blocks", "name"]).select(
-        F.col("id").alias(id_col),
-        F.col("best.id").alias("keep_id"),
-        "group_size",
-        (F.col("uid") == F.col("best.uid")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    return named.join(best, ["n_blocks", "name"]).select("uid", "id", "sha", "group_size", F.col("best.id").alias("keep_id"), (F.col("uid") == F.col("best.uid")).alias("kept"))
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``exact_dedup`` keeps, with all their columns."""
-    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_keep"), F.lit(1).alias("_one"))
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that ``exact_dedup`` keeps, with all their columns; ``docs`` must read the same rows each time, as a table does."""
+    drop = _judged(docs, id_col, text_col, block_bytes).filter("not kept").select("uid")
+    return without(docs.withColumn("_uid", F.monotonically_increasing_id()), drop, "_uid").select(*docs.columns)

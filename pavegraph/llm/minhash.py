@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, without
 from .graph import components
 from .hashing import U, Words, groups, mix, rolled, utf8
 
@@ -204,5 +204,5 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each class, that with the smallest id, with all its columns."""
-    drop = near_classes(docs, id_col=id_col, **options).filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_drop"))
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["_drop"]), "left_anti")
+    drop = near_classes(docs, id_col=id_col, **options).filter(F.col(id_col) != F.col("class_id")).select(id_col)
+    return without(docs, drop, id_col)
