@@ -91,6 +91,6 @@ def turn(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 def human_bytes(n: Column) -> Column:
     """Bytes in the largest unit that leaves a whole part, with two decimals."""
-    power = F.when(n < 1, 0).otherwise(F.floor(F.log(F.lit(1024.0), F.greatest(n.cast("double"), F.lit(1.0)))))
+    power = F.when(n < 1, 0).otherwise(F.floor(F.log(1024.0, F.greatest(n.cast("double"), F.lit(1.0)))))
     units = F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")))
     return F.concat(F.round(n.cast("double") / F.pow(F.lit(1024.0), power), 2).cast("string"), F.lit(" "), F.get(units, power.cast("int")))

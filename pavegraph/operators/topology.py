@@ -64,7 +64,7 @@ def extrapolated(ax: Column, ay: Column, bx: Column, by: Column, reach: Column |
 def lengthened(lines: DataFrame, ratio: float) -> DataFrame:
     """Lines with both ends moved out by the whole part of their length times ``ratio``."""
     reach = F.floor(line_length(F.col("pts")) * ratio).cast("double")
-    p = lambda i, c: F.element_at("pts", i)[c]
+    p = lambda i, c: F.try_element_at("pts", F.lit(i))[c]
     sx, sy = extrapolated(p(2, "x"), p(2, "y"), p(1, "x"), p(1, "y"), reach)
     ex, ey = extrapolated(p(-2, "x"), p(-2, "y"), p(-1, "x"), p(-1, "y"), reach)
     return lines.select("line_id", F.concat(F.array(F.struct(sx.alias("x"), sy.alias("y"))), F.slice("pts", 2, F.greatest(F.size("pts") - 2, F.lit(0))), F.array(F.struct(ex.alias("x"), ey.alias("y")))).alias("pts"))
@@ -98,7 +98,7 @@ def crossings(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
 
 def extension_hits(lines: DataFrame, reach: float, size: float) -> DataFrame:
     """(line_id, which, x, y, dist): for each free end, the nearest point of another line within ``reach`` straight ahead."""
-    p = lambda i, c: F.element_at("pts", i)[c]
+    p = lambda i, c: F.try_element_at("pts", F.lit(i))[c]
     open_ = lines.filter(F.size("pts") > 1).join(free_ends(lines), "line_id")
     rays = []
     for which, i, j in (("start", 1, 2), ("end", -1, -2)):

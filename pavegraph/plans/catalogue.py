@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tiles
+from . import masks, networks, shapes, tiles
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "tiles"]
+__all__ = ["QUERIES", "SQL", "masks", "networks", "shapes", "tiles"]

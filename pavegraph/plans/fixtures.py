@@ -40,7 +40,10 @@ def with_views(sql: str, *names: str) -> str:
     order: list[str] = []
     for n in names:
         order += [x for x in [*NEEDS.get(n, []), n] if x not in order]
-    return f"with {', '.join(f'{n} as ({SQL[n]})' for n in order)} {sql}"
+    recursive = "recursive " if "reach(" in sql else ""
+    more = sql.lstrip()
+    joint = "" if more.startswith(",") else " "
+    return f"with {recursive}{', '.join(f'{n} as ({SQL[n]})' for n in order)}{joint}{more}"
 
 
 class Views:
