@@ -24,6 +24,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 5
+#: Texts of a group that are compared with as many others in one task, about, and shingles in a matrix.
+BLOCK_TEXTS = 400
+COLUMNS = 4096
 #: Chances of 0, 1, 2, ... darts in a cell, summed up.
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1.0, 1.0, 2.0, 6.0, 24.0, 120.0, 720.0, 5040.0, 40320.0, 362880.0)])
 
@@ -157,12 +160,67 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, weighting: s
                         t = Shingles(*utf8(part.column(2).slice(k, 1)))
                         last_id, last = a, (t.key, t.count)
                     at = slice(s.first[k], s.first[k + 1])
-                    keep.append(jaccard(last, (s.key[at], s.count[at]), weighting) >= similarity)
+                    keep.append(jaccard(last, (s.key[at], s.count[at]), weighting) >= similarity - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(check, "a long, b long")
 
 
+def cross_links(meets: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, weighting: str, block: int = BLOCK_TEXTS) -> DataFrame:
+    """Links (a, b) between texts of one group (``meets``: node, root) that are in different components so far.
+
+    A group is dealt into parts of about ``block`` texts, and each pair of parts is compared in one task by products of
+    shingle matrices. A task returns links that join components, fewer than its texts, and never pairs.
+    """
+    placed = meets.select(F.col("node").alias("id"), F.col("root").alias("grp")).join(roots, F.col("id") == roots["node"], "left").select("id", "grp", F.coalesce("root", "id").alias("root"))
+    sizes = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("grp", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    mine = placed.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
+    each = mine.join(texts, "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = each.select("grp", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "part", "id", "root", "text")
+
+    def compare(t: pa.Table) -> pa.Table:
+        one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+        column = t.column("text").combine_chunks()
+        offsets, data = utf8(column if isinstance(column, pa.Array) else column.chunk(0))
+        s = Shingles(offsets, data)
+        ids, part, label = t.column("id").to_numpy(), t.column("part").to_numpy(), t.column("root").to_numpy().copy()
+        left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
+        _, shingle, n = np.unique(s.key, return_inverse=True, return_counts=True)
+        often = n[shingle] > 1  # others are in no intersection
+        number = np.cumsum(n > 1) - 1
+        doc, value = s.doc[often], number[shingle[often]]
+        weight = (s.count[often] if weighting == "count" else np.ones(len(doc))).astype(np.float32)
+        size = np.bincount(s.doc, s.count if weighting == "count" else None, len(ids)).astype(float)
+        shared = np.zeros((len(left), len(right)))
+        order = np.argsort(value, kind="stable")
+        doc, value, weight = doc[order], value[order], weight[order]
+        at = np.full(len(ids), -1)
+        at2 = at.copy()
+        at[left], at2[right] = np.arange(len(left)), np.arange(len(right))
+        for first in range(0, int(value[-1]) + 1 if len(value) else 0, COLUMNS):
+            cut_ = slice(*np.searchsorted(value, (first, first + COLUMNS)))
+            levels = np.unique(weight[cut_])
+            for low, high in zip(np.r_[0, levels[:-1]], levels):  # min(x, y) as a sum over levels
+                a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+                on = weight[cut_] >= high
+                d, v = doc[cut_][on], value[cut_][on] - first
+                a[at[d[at[d] >= 0]], v[at[d] >= 0]] = 1
+                b[at2[d[at2[d] >= 0]], v[at2[d] >= 0]] = 1
+                shared += (high - low) * (a @ b.T)
+        total = size[left][:, None] + size[right][None, :] - shared
+        near = (shared >= similarity * total - 1e-9) & (label[left][:, None] != label[right][None, :]) & (shared > 0)
+        out = []
+        for i, j in zip(*np.nonzero(near)):
+            a, b = left[i], right[j]
+            if label[a] != label[b]:
+                out.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+                label[label == label[b]] = label[a]
+        columns = list(zip(*out)) or [[], []]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return dealt.groupBy("grp", "one", "two").applyInArrow(compare, "a long, b long")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id (smallest id of its class), n_copies (rows with its very text), class_size.
 
@@ -172,8 +230,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
     and its class has no id if all of them lack one. Other columns are ignored; an empty table gives no rows.
 
     Links are found in two rounds, so that no group emits all its pairs: first each band's texts are compared with one
-    leader; then only texts of one band that are still in different components are compared with each other, which
-    leaves out no pair that could join two classes.
+    leader; then texts that share bands, directly or through others, and are still in different components are compared
+    in blocks of bounded size, which leaves out no pair that could join two classes.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = table(signatures(narrow, weighting, bands, rows))
@@ -189,12 +247,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
     texts = table(texts)
     links = cut(verified(first, texts, similarity, weighting))
     roots = components(links)
-    placed = meetings.join(roots, meetings["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    rest = cut(placed.join(mixed, "band", "left_semi"))
-    other = rest.select("band", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    second = rest.join(other, "band").filter("root < other_root").select(*pair("id", "other")).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(verified(second, texts, similarity, weighting))
+    more = cut(cross_links(components(first), roots, texts, similarity, weighting))
     final = components(links.union(more)) if more.limit(1).count() else roots
     member = copies.select(F.col("rep.id").alias("rep"), "same", "n_copies")
     member = member.join(final, member["rep"] == final["node"], "left").select("same", "n_copies", F.coalesce("root", "rep").alias("class_id"))
