@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SQL = {
     "geo_point": "select c_custkey as id, c_nationkey as nation, -60e0 + cast((c_custkey * 7919) % 120000 as double) / 1e3 as lat, -179e0 + cast((c_custkey * 104729) % 358000 as double) / 1e3 as lon from customer",
     "region_box": "select cast(nation as varchar) as name, min(lat) as south, min(lon) as west, max(lat) as north, max(lon) as east from geo_point group by nation",
-    "rect": "select p_partkey as geom_id, cast(p_size as double) as w, cast(p_partkey % 17 + 1 as double) as h, cast((p_partkey * 37) % 2000 as double) as x0, cast((p_partkey * 91) % 2000 as double) as y0, p_partkey % 3 as kind from part",
+    "rect": "select p_partkey as geom_id, cast(p_size as double) as w, cast(p_partkey % 17 + 1 as double) as h, cast((p_partkey * 7919) % 2000 as double) as x0, cast((p_partkey * 104729) % 1500 as double) as y0, p_partkey % 3 as kind from part",
     "vertex": """select geom_id, vtx_no, x0 + dx as x, y0 + dy as y from (
         select geom_id, x0, y0, 0 as vtx_no, 0e0 as dx, 0e0 as dy from rect union all
         select geom_id, x0, y0, 1, w, 0e0 from rect union all
@@ -64,7 +64,7 @@ class Views:
 
     def rect(self) -> DataFrame:
         k = F.col("p_partkey")
-        return self.table("part").select(k.alias("geom_id"), F.col("p_size").cast("double").alias("w"), (k % 17 + 1).cast("double").alias("h"), ((k * 37) % 2000).cast("double").alias("x0"), ((k * 91) % 2000).cast("double").alias("y0"), (k % 3).alias("kind"))
+        return self.table("part").select(k.alias("geom_id"), F.col("p_size").cast("double").alias("w"), (k % 17 + 1).cast("double").alias("h"), ((k * 7919) % 2000).cast("double").alias("x0"), ((k * 104729) % 1500).cast("double").alias("y0"), (k % 3).alias("kind"))
 
     def polygon(self) -> DataFrame:
         """(geom_id, ring) with rectangles and L-shapes."""

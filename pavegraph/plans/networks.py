@@ -124,9 +124,13 @@ def within_distance(v: Views) -> DataFrame:
 
 
 @query(
-    with_ctes(FREE, """select 'sidewalk' as f_type, count(*) as n from ln where n_pts > 3 union all select 'crosswalk', count(*) from ln where n_pts <= 3 union all
-        select 'sidewalk_connection', count(*) from (select rank() over (partition by e.line_id, e.which order by round(sqrt(pow(e.x - o.x, 2) + pow(e.y - o.y, 2)), 9)) as k
-          from ends e join fr using (line_id) join ln l using (line_id), ends o join ln m on m.line_id = o.line_id where l.n_pts <= 3 and ((e.which = 'start' and s) or (e.which = 'end' and fr.e)) and m.n_pts > 3 and abs(e.x - o.x) <= 12 and abs(e.y - o.y) <= 12 and sqrt(pow(e.x - o.x, 2) + pow(e.y - o.y, 2)) <= 12e0) t where k = 1"""),
+    with_ctes(
+        FREE + """, free as (select line_id * 2 as k, sx as x, sy as y from ln join fr using (line_id) where n_pts <= 3 and s union all select line_id * 2 + 1, ex, ey from ln join fr using (line_id) where n_pts <= 3 and e),
+        target as (select line_id * 2 as o, sx as x, sy as y from ln where n_pts > 3 union all select line_id * 2 + 1, ex, ey from ln where n_pts > 3),
+        d as (select k, o, round(sqrt(pow(f.x - t.x, 2) + pow(f.y - t.y, 2)), 9) as dist from free f join target t on abs(f.x - t.x) <= 12e0 and abs(f.y - t.y) <= 12e0 where sqrt(pow(f.x - t.x, 2) + pow(f.y - t.y, 2)) <= 12e0),
+        m as (select k, min(dist) as dist from d group by k)""",
+        "select 'sidewalk' as f_type, count(*) as n from ln where n_pts > 3 union all select 'crosswalk', count(*) from ln where n_pts <= 3 union all select 'sidewalk_connection', count(*) from d join m using (k, dist)",
+    ),
     "polyline_vertex",
 )
 def connected_network(v: Views) -> DataFrame:
