@@ -252,7 +252,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
     member = copies.select(F.col("rep.id").alias("rep"), "same", "n_copies")
     member = member.join(final, member["rep"] == final["node"], "left").select("same", "n_copies", F.coalesce("root", "rep").alias("class_id"))
     sizes = member.groupBy("class_id").agg(F.sum("n_copies").alias("class_size"))
-    return signed.select(F.col("id").alias(id_col), "same").join(member.join(sizes, "class_id"), "same").select(id_col, "class_id", "n_copies", "class_size")
+    return signed.select(F.col("id").alias(id_col), "same").join(member.join(sizes, "class_id", "left"), "same").select(id_col, "class_id", "n_copies", F.coalesce("class_size", "n_copies").alias("class_size"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
