@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import table
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link (a, b); root is the smallest node of its component.
 
-    Each round takes the smallest label among a node and its neighbours and then follows labels to their own labels
-    twice, so the rounds grow with the logarithm of a component's diameter. Minima are taken before the shuffle.
+    Each round takes the smallest label among a node and its neighbours, then follows labels to their own labels, so
+    the rounds grow with the logarithm of a component's diameter. Minima are taken before the shuffle, and every round
+    reads the tables that the one before wrote, so lost executors cost one round at most.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = table(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        for _ in range(2):
-            new = cut(new)
-            up = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            new = new.join(up, "root", "left").select("node", F.least("root", "up").alias("root"), "was")
-        new = cut(new)
-        labels = new.select("node", "root")
-        if not new.filter("root != was").limit(1).count():
+        new = table(labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was")))
+        up = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        hopped = table(new.join(up, "root").select("node", F.least("root", "up").alias("root"), "was"))
+        labels = hopped.select("node", "root")
+        if not hopped.filter("root != was").limit(1).count():
             return labels
