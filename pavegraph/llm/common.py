@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut, shared_dir, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (single-machine tests)."""
-    sc = spark.sparkContext
-    set_now = sc._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if set_now.isEmpty():
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="pavegraph-")
-        sc.setCheckpointDir(folder)
-        set_now = sc._jsc.sc().getCheckpointDir()
-    return folder or set_now.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table: for wide rows, which compress well."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+__all__ = ["blocks_for", "cut", "read", "shared_dir", "table", "text_of", "without"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, without
-from .graph import components
+from ..operators.components import components
+from .common import table, without
 from .hashing import U, Words, groups, mix, rolled, utf8
 
 SHINGLE = 5
@@ -245,9 +245,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
     first = table(meetings.filter("id != leader").select(*pair("id", "leader")).distinct())
     texts = narrow.join(meetings.select("id").distinct(), "id", "left_semi")
     texts = table(texts)
-    links = cut(verified(first, texts, similarity, weighting))
+    links = table(verified(first, texts, similarity, weighting))
     roots = components(links)
-    more = cut(cross_links(components(first), roots, texts, similarity, weighting))
+    more = table(cross_links(components(first), roots, texts, similarity, weighting))
     final = components(links.union(more)) if more.limit(1).count() else roots
     member = copies.select(F.col("rep.id").alias("rep"), "same", "n_copies")
     member = member.join(final, member["rep"] == final["node"], "left").select("same", "n_copies", F.coalesce("root", "rep").alias("class_id"))
