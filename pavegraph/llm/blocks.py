@@ -71,12 +71,12 @@ def shared_hashes(sent: DataFrame, hot_blocks: int | None = None) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
         rows = []
         for block, a, b in zip(blocks.tolist(), several, once):
-            hit = np.r_[a, b[np.isin(b, twice)]]
-            warm = hit[~np.isin(hit, hot)] if len(hot) else hit
+            hit = np.r_[a, b[isin_sorted(b, twice)]]
+            warm = hit[~isin_sorted(hit, hot)]
             if len(warm):
                 rows.append((bucket, block, warm.tobytes()))
             if len(warm) < len(hit):
-                rows.append((-1 - bucket, block, hit[np.isin(hit, hot)].tobytes()))
+                rows.append((-1 - bucket, block, hit[isin_sorted(hit, hot)].tobytes()))
         return packed(rows)
 
     return sent.groupBy("bucket").applyInArrow(decide, PACKED)
