@@ -157,7 +157,10 @@ def _sorted_names(s: list[int]) -> list[int]:
         heads[c] = total
         total += sizes[c]
         tails[c] = total
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    after_l = [False, *(not x for x in small[:-1]), False]  # the last is for places not filled yet, which hold -1
+    after_s = [False, *small[:-1], False]
+    is_lms = [x and y for x, y in zip(small, after_l)]
+    lms = [i for i, x in enumerate(is_lms) if x]
 
     def induce(seeds: list[int]) -> list[int]:
         out, tail = [-1] * n, tails[:]
@@ -166,33 +169,32 @@ def _sorted_names(s: list[int]) -> list[int]:
             tail[c] -= 1
             out[tail[c]] = i
         head = heads[:]
-        last = n - 1
-        c = s[last]
-        out[head[c]] = last
+        c = s[-1]
+        out[head[c]] = n - 1
         head[c] += 1
-        for k in range(n):
-            i = out[k] - 1
-            if i >= 0 and not small[i]:
-                c = s[i]
-                out[head[c]] = i
+        for i in out:  # sees what the loop itself fills in
+            if after_l[i]:
+                c = s[i - 1]
+                out[head[c]] = i - 1
                 head[c] += 1
         tail = tails[:]
-        for k in range(n - 1, -1, -1):
-            i = out[k] - 1
-            if i >= 0 and small[i]:
-                c = s[i]
+        for i in reversed(out):
+            if after_s[i]:
+                c = s[i - 1]
                 tail[c] -= 1
-                out[tail[c]] = i
+                out[tail[c]] = i - 1
         return out
 
     if not lms:
         return induce([])
-    stop = {i: j for i, j in zip(lms, lms[1:])}
-    name, names, last = -1, {}, None
+    stop = [0] * n
+    for i, j in zip(lms, lms[1:]):
+        stop[i] = j + 1
+    name, names, last = -1, [0] * n, None
     for i in induce(lms):
-        if 0 < i < n and small[i] and not small[i - 1]:
-            piece = s[i : stop[i] + 1] if i in stop else None
-            if piece is None or piece != last:
+        if is_lms[i]:
+            piece = s[i : stop[i]]  # empty for the last one, which is like no other
+            if not piece or piece != last:
                 name += 1
             names[i], last = name, piece
     below = [names[i] for i in lms]
