@@ -77,14 +77,24 @@ def segments(lines: DataFrame) -> DataFrame:
 
 
 def crossings(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """(left_id, right_id, x, y): points in which segments of different lines cross, touching included, parallels not.
+    """(left_id, right_id, x, y): points in which segments of different lines cross, touching included, parallels not."""
+    return _meetings(left, right, size).select("left_id", "right_id", "x", "y").distinct()
 
-    Segments are dealt into all cells their box meets; a pair is judged in every cell it shares and reported once.
+
+def _meetings(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """Crossings with the start (x1, y1) of the left segment, some of them repeated.
+
+    Segments are dealt into the cells they run through, column by column, and a pair is judged in each cell it shares.
     """
     def spread(df: DataFrame) -> DataFrame:
-        low = lambda a, b: F.floor(F.least(a, b) / size)
-        high = lambda a, b: F.floor(F.greatest(a, b) / size)
-        return df.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
+        low, high, at = F.least("ax", "bx"), F.greatest("ax", "bx"), F.col("cx") * size
+        cols = df.withColumn("cx", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+        slope = (F.col("by") - F.col("ay")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0))
+        y = lambda x: F.col("ay") + (x - F.col("ax")) * slope
+        y1 = F.coalesce(y(F.greatest(low, at)), F.col("ay"))
+        y2 = F.coalesce(y(F.least(high, at + size)), F.col("by"))
+        slack = F.lit(1e-6 * size)  # a point on a cell's edge belongs to both
+        return cols.withColumn("cy", F.explode(F.sequence(F.floor((F.least(y1, y2) - slack) / size), F.floor((F.greatest(y1, y2) + slack) / size))))
 
     l = spread(segments(left)).select(F.col("line_id").alias("left_id"), F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"), "cx", "cy")
     r = spread(segments(right)).select(F.col("line_id").alias("right_id"), F.col("ax").alias("x3"), F.col("ay").alias("y3"), F.col("bx").alias("x4"), F.col("by").alias("y4"), "cx", "cy")
@@ -93,7 +103,7 @@ def crossings(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     t = ((c("x3") - c("x1")) * (c("y4") - c("y3")) - (c("y3") - c("y1")) * (c("x4") - c("x3"))) / c("det")
     u = ((c("x3") - c("x1")) * (c("y2") - c("y1")) - (c("y3") - c("y1")) * (c("x2") - c("x1"))) / c("det")
     met = l.join(r, ["cx", "cy"]).filter("left_id <> right_id").withColumn("det", det).filter("det <> 0").withColumn("t", t).withColumn("u", u)
-    return met.filter("t between 0 and 1 and u between 0 and 1").select("left_id", "right_id", F.round(c("x1") + c("t") * (c("x2") - c("x1")), 6).alias("x"), F.round(c("y1") + c("t") * (c("y2") - c("y1")), 6).alias("y")).distinct()
+    return met.filter("t between 0 and 1 and u between 0 and 1").select("left_id", "right_id", F.round(c("x1") + c("t") * (c("x2") - c("x1")), 6).alias("x"), F.round(c("y1") + c("t") * (c("y2") - c("y1")), 6).alias("y"), "x1", "y1")
 
 
 def extension_hits(lines: DataFrame, reach: float, size: float) -> DataFrame:
@@ -106,10 +116,9 @@ def extension_hits(lines: DataFrame, reach: float, size: float) -> DataFrame:
         rays.append(open_.filter(f"{which}_free").select("line_id", F.lit(which).alias("which"), F.array(F.element_at("pts", i), F.struct(x.alias("x"), y.alias("y"))).alias("pts")))
     ray = rays[0].unionByName(rays[1]).withColumn("own", F.col("line_id")).withColumn("line_id", F.struct("own", "which"))
     others = lines.select(F.struct(F.col("line_id").alias("own"), F.lit("").alias("which")).alias("line_id"), "pts")
-    hits = crossings(ray.select("line_id", "pts"), others, size).filter("left_id.own <> right_id.own")
-    start = ray.select(F.col("line_id").alias("left_id"), F.element_at("pts", 1).alias("p"))
-    dist = F.round(F.sqrt(F.pow(F.col("x") - F.col("p.x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("p.y"), F.lit(2.0))), 6)
-    best = hits.join(start, "left_id").withColumn("dist", dist).filter("dist > 0").groupBy("left_id").agg(F.min(F.struct("dist", "x", "y")).alias("b"))
+    hits = _meetings(ray.select("line_id", "pts"), others, size).filter("left_id.own <> right_id.own")
+    dist = F.round(F.sqrt(F.pow(F.col("x") - F.col("x1"), F.lit(2.0)) + F.pow(F.col("y") - F.col("y1"), F.lit(2.0))), 6)
+    best = hits.withColumn("dist", dist).filter("dist > 0").groupBy("left_id").agg(F.min(F.struct("dist", "x", "y")).alias("b"))
     return best.select("left_id.own", "left_id.which", "b.x", "b.y", "b.dist").withColumnRenamed("own", "line_id")
 
 

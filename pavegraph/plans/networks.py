@@ -77,14 +77,14 @@ FEW = LINES + """, few as (select line_id from polyline_vertex group by line_id
 @query(with_ctes(FEW, "select l as line_id, count(distinct r) as n_lines from cr group by l"), "polyline_vertex")
 def line_crossings(v: Views) -> DataFrame:
     few = _few(v)
-    return topology.crossings(few, few, 40.0).groupBy(F.col("left_id").alias("line_id")).agg(F.countDistinct("right_id").alias("n_lines"))
+    return topology.crossings(few, few, 10.0).groupBy(F.col("left_id").alias("line_id")).agg(F.countDistinct("right_id").alias("n_lines"))
 
 
 @query(
     with_ctes(
         FREE + """, two as (select ln.*, a.x as fx, a.y as fy, b.x as lx, b.y as ly from ln join seg a on a.line_id = ln.line_id and a.vtx_no = 2 join seg b on b.line_id = ln.line_id and b.vtx_no = ln.n_pts - 1 where ln.n_pts > 1),
         ray as (select line_id, 'start' as which, sx as x1, sy as y1, fx as px, fy as py from two join fr using (line_id) where s union all select line_id, 'end', ex, ey, lx, ly from two join fr using (line_id) where e),
-        ext as (select *, x1 + case when x1 >= px then 30e0 else -30e0 end * cos(atan(abs(y1 - py + 1e-6) / abs(x1 - px + 1e-6))) as x2, y1 + case when y1 >= py then 30e0 else -30e0 end * sin(atan(abs(y1 - py + 1e-6) / abs(x1 - px + 1e-6))) as y2 from ray),
+        ext as (select *, x1 + case when x1 >= px then 6e0 else -6e0 end * cos(atan(abs(y1 - py + 1e-6) / abs(x1 - px + 1e-6))) as x2, y1 + case when y1 >= py then 6e0 else -6e0 end * sin(atan(abs(y1 - py + 1e-6) / abs(x1 - px + 1e-6))) as y2 from ray),
         cand as (select e.line_id, which, e.x1, e.y1, e.x2 as xe, e.y2 as ye, s.x as x3, s.y as y3, s.x2 as x4, s.y2 as y4, (e.x2 - e.x1) * (s.y2 - s.y) - (e.y2 - e.y1) * (s.x2 - s.x) as det from ext e join seg s on s.line_id <> e.line_id and s.x2 is not null and least(s.x, s.x2) <= greatest(e.x1, e.x2) and greatest(s.x, s.x2) >= least(e.x1, e.x2) and least(s.y, s.y2) <= greatest(e.y1, e.y2) and greatest(s.y, s.y2) >= least(e.y1, e.y2)),
         hit as (select *, ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / det as t, ((x3 - x1) * (ye - y1) - (y3 - y1) * (xe - x1)) / det as u from cand where det <> 0),
         pt as (select line_id, which, x1, y1, round(x1 + t * (xe - x1), 6) as x, round(y1 + t * (ye - y1), 6) as y from hit where t between 0 and 1 and u between 0 and 1),
@@ -94,7 +94,7 @@ def line_crossings(v: Views) -> DataFrame:
     "polyline_vertex",
 )
 def extension_hits(v: Views) -> DataFrame:
-    return topology.extension_hits(v.line(), 30.0, 20.0).select("line_id", "which", "dist")
+    return topology.extension_hits(v.line(), 6.0, 4.0).select("line_id", "which", "dist")
 
 
 @query(
