@@ -29,7 +29,7 @@ def segmented_area(v: Views) -> DataFrame:
     return px.groupBy("v").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query("select count(*) as n_lines, sum(n) as n_points from (select l_orderkey, count(*) as n from lineitem group by l_orderkey) t")
+@query("select count(*) as n_lines, cast(sum(n) as bigint) as n_points from (select l_orderkey, count(*) as n from lineitem group by l_orderkey) t")
 def wkt_round_trip(v: Views) -> DataFrame:
     text = v.line().select(vectors.wkt_line(F.col("pts")).alias("wkt"))
     return text.select(vectors.points_of_wkt(F.col("wkt")).alias("pts")).agg(F.count("pts").alias("n_lines"), F.sum(F.size("pts")).alias("n_points"))
