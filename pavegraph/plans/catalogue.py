@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import endtoend, masks, networks, shapes, tiles
+from . import endtoend, masks, networks, shapes, small, tiles
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "endtoend", "masks", "networks", "shapes", "tiles"]
+__all__ = ["QUERIES", "SQL", "endtoend", "masks", "networks", "shapes", "small", "tiles"]
