@@ -2,7 +2,8 @@
 
 The element trees of all pages of a host are merged by path: an element's style is its tag with class and id, its path
 the styles from the root down. For each path of a host two entropies are taken over its pages, that of the texts in it
-(content) and that of the sequences of child styles (presentation), each relative to the most they could be. Branches
+(content) and that of the sequences of child styles (presentation), each relative to the most they could be. A page
+counts once for a path, with all that it has there taken together; inline elements are never judged. Branches
 whose combined importance is low say the same on page after page and go; so do branches that the page itself marks as
 menu, footer, advert and the like. What a page marks as its main content is never judged by repetition: an article
 copied to other pages of the host is still its article.
@@ -158,7 +159,7 @@ def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
 
 
 def style_nodes(page: str) -> Iterator[tuple[int, int, int]]:
-    """(path, content, presentation) of each element with text, as numbers; a path found again counts again."""
+    """(path, content, presentation) of each path with text in block elements, as numbers; all that a page has at a path is one."""
     def walk(e: Element) -> xxhash.xxh64 | None:
         own, styles = xxhash.xxh64(), []
         some = False
@@ -173,13 +174,15 @@ def style_nodes(page: str) -> Iterator[tuple[int, int, int]]:
                 if inner is not None:
                     own.update(inner.digest())
                     some = True
-        if some:
-            nodes.append((e.path, own.intdigest(), xxhash.xxh64_intdigest("\n".join(styles))))
+        if some and e.tag in BLOCK:
+            content, presentation = found.setdefault(e.path, (xxhash.xxh64(), xxhash.xxh64()))
+            content.update(own.digest())
+            presentation.update("\n".join(styles) + "\0")
         return own if some else None
 
-    nodes: list[tuple[int, int, int]] = []
+    found: dict[int, tuple[xxhash.xxh64, xxhash.xxh64]] = {}
     walk(parse(page))
-    return iter(nodes)
+    return ((path, content.intdigest(), presentation.intdigest()) for path, (content, presentation) in found.items())
 
 
 def host_of(column):

@@ -274,6 +274,17 @@ def test_repeated_branches_outside_main_content_go(spark):
     assert {r.text for r in extract.extract(_table(spark, copied, "copies", "page_id long, url string, html string")).collect()} == {"copied text"}
 
 
+def test_pages_count_once_for_a_path(spark):
+    cells = "<table><tr>" + "<td>yes</td>" * 8 + "</tr></table>"
+    rows = [(0, "http://one.example/", cells)]
+    rows += [(i, f"http://many.example/{i}", "<table>" + "".join(f"<tr><td>{(i >> k) & 1}</td></tr>" for k in range(6)) + f"</table><p><b>note</b> {prose(9, i)}</p>") for i in range(1, 41)]
+    pages = _table(spark, rows, "cells", "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract(pages).collect()}
+    assert got.pop(0) == " ".join(["yes"] * 8)
+    assert got == {i: " ".join(str((i >> k) & 1) for k in range(6)) + f" note {prose(9, i)}" for i in range(1, 41)}
+    assert extract.style_tree(pages.selectExpr("'h' as host", "html")).agg({"pages": "max"}).first()[0] == 41
+
+
 # 7 near duplicates
 
 
