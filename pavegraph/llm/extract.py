@@ -5,8 +5,9 @@ the styles from the root down. For each path of a host two entropies are taken o
 (content) and that of the sequences of child styles (presentation), each relative to the most they could be. A page
 counts once for a path, with all that it has there taken together; inline elements are never judged. Branches
 whose combined importance is low say the same on page after page and go; so do branches that the page itself marks as
-menu, footer, advert and the like. What a page marks as its main content is never judged by repetition: an article
-copied to other pages of the host is still its article.
+menu, footer, advert and the like, which are left out of the tree. What a page marks as its main content (main,
+role=main, article) is judged too, but more mildly and relative to the importance of that element: an article copied to
+other pages of the host is still its article, while a box that is the same in different articles is none of it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ IMPORTANCE = 0.5
 LEAST_PAGES = 8
 #: Share of presentation in the importance of a branch; the rest is content.
 PRESENTATION = 0.2
+#: Inside a main element the importance of a branch is multiplied by this and divided by that of the element.
+MAIN = 2.0
 
 MARKUP = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -58,10 +61,13 @@ class Element:
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         role = found.get("role", "").lower()
-        self.main = tag == "main" or role == "main"
+        marked = tag == "main" or role == "main"
+        self.main = marked or tag == "article"
         inside = parent is not None and parent.tag in ("article", "section", "main")
-        self.noise = tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in found or tag == "header" and not inside or tag not in ("html", "body", "main", "article") and not self.main and bool(names and NOISE_NAMES.search(names) or HIDDEN.search(found.get("style", "")))
+        self.noise = tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in found or tag == "header" and not inside or tag not in ("html", "body") and not marked and bool(names and NOISE_NAMES.search(names) or HIDDEN.search(found.get("style", "")))
         self.style = f"{tag}.{DIGITS.sub('0', names)}" if names else tag
+        if marked and tag != "main":
+            self.style += "[main]"
         self.path = xxhash.xxh64_intdigest(self.style, parent.path if parent is not None else 0)
 
 
@@ -115,52 +121,38 @@ def parse(page: str) -> Element:
     return root
 
 
-def text_of(node: Element, low: frozenset[int] | set[int] = frozenset(), protect: bool = False) -> str:
-    """Text of a branch without its noise and, unless protected, its unimportant branches."""
+def text_of(node: Element, low: frozenset[int] | set[int] = frozenset()) -> str:
+    """Text of a branch without its noise and its unimportant branches, but with main elements in the latter."""
     out: list[str] = []
 
-    def walk(e: Element, safe: bool) -> None:
+    def walk(e: Element, gone: bool) -> None:
         for c in e.children:
             if isinstance(c, str):
-                out.append(html.unescape(c))
+                if not gone:
+                    out.append(html.unescape(c))
                 continue
             block = c.tag in BLOCK
             if block:
                 out.append(" ")
             if c.tag not in RAW and not c.noise:
-                now = safe or c.main or c.tag == "article"
-                if now or c.path not in low:
-                    walk(c, now)
+                walk(c, c.path in low or gone and not c.main)
             if block:
                 out.append(" ")
 
-    walk(node, protect)
+    walk(node, False)
     return " ".join("".join(out).split())
 
 
-def main_roots(root: Element) -> list[Element]:
-    """The outermost elements that hold the page's content: main ones, else articles, else the page."""
-    def find(want) -> list[Element]:
-        found, todo = [], [root]
-        while todo:
-            e = todo.pop()
-            if want(e):
-                found.append(e)
-            else:
-                todo += [c for c in reversed(e.children) if isinstance(c, Element) and not c.noise]
-        return found
-
-    return find(lambda e: e.main) or find(lambda e: e.tag == "article") or [root]
-
-
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    roots = main_roots(parse(page))
-    return " ".join(t for r in roots if (t := text_of(r, low, r.tag != "html")))
+    return text_of(parse(page), low)
+
 
+def style_nodes(page: str) -> Iterator[tuple[int, int, int, int]]:
+    """(path, main, content, presentation) of each path with text in block elements, as numbers; all that a page has at a path is one.
 
-def style_nodes(page: str) -> Iterator[tuple[int, int, int]]:
-    """(path, content, presentation) of each path with text in block elements, as numbers; all that a page has at a path is one."""
-    def walk(e: Element) -> xxhash.xxh64 | None:
+    ``main`` is the path of the outermost main element that holds the element or is it, else 0. Noise is left out.
+    """
+    def walk(e: Element, main: int) -> xxhash.xxh64 | None:
         own, styles = xxhash.xxh64(), []
         some = False
         for c in e.children:
@@ -168,21 +160,21 @@ def style_nodes(page: str) -> Iterator[tuple[int, int, int]]:
                 if c.strip():
                     own.update(" ".join(c.split()))
                     some = True
-            elif c.tag not in RAW:
+            elif c.tag not in RAW and not c.noise:
                 styles.append(c.style)
-                inner = walk(c)
+                inner = walk(c, main or (c.path if c.main else 0))
                 if inner is not None:
                     own.update(inner.digest())
                     some = True
         if some and e.tag in BLOCK:
-            content, presentation = found.setdefault(e.path, (xxhash.xxh64(), xxhash.xxh64()))
+            _, content, presentation = found.setdefault(e.path, (main, xxhash.xxh64(), xxhash.xxh64()))
             content.update(own.digest())
             presentation.update("\n".join(styles) + "\0")
         return own if some else None
 
-    found: dict[int, tuple[xxhash.xxh64, xxhash.xxh64]] = {}
-    walk(parse(page))
-    return ((path, content.intdigest(), presentation.intdigest()) for path, (content, presentation) in found.items())
+    found: dict[int, tuple[int, xxhash.xxh64, xxhash.xxh64]] = {}
+    walk(parse(page), 0)
+    return ((path, main, content.intdigest(), presentation.intdigest()) for path, (main, content, presentation) in found.items())
 
 
 def host_of(column):
@@ -195,36 +187,45 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged trees; ``pages``: (host, html)."""
+    """(host, path, main, pages, importance) of the merged trees; ``pages``: (host, html), ``main`` as in style_nodes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 seen: Counter = Counter()
                 for host, page in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns)):
-                    for path, content, presentation in style_nodes(page):
-                        seen[host, path, 0, content] += 1
-                        seen[host, path, 1, presentation] += 1
-                columns = list(zip(*seen)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), _signed(columns[1]), pa.array(columns[2], pa.int32()), _signed(columns[3]), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "kind", "feature", "n"])
+                    for path, main, content, presentation in style_nodes(page):
+                        seen[host, path, main, 0, content] += 1
+                        seen[host, path, main, 1, presentation] += 1
+                columns = list(zip(*seen)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), _signed(columns[1]), _signed(columns[2]), pa.array(columns[3], pa.int32()), _signed(columns[4]), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "main", "kind", "feature", "n"])
 
-    counted = pages.mapInArrow(count, "host string, path long, kind int, feature long, n long").groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    counted = pages.mapInArrow(count, "host string, path long, main long, kind int, feature long, n long").groupBy("host", "path", "main", "kind", "feature").agg(F.sum("n").alias("n"))
     entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-    by_kind = counted.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.when(F.sum("n") > 1, entropy / F.log(F.sum("n"))).otherwise(1.0).alias("e"))
-    return by_kind.groupBy("host", "path").agg(F.max("m").alias("pages"), F.sum(F.col("e") * F.when(F.col("kind") == 1, PRESENTATION).otherwise(1 - PRESENTATION)).alias("importance"))
+    by_kind = counted.groupBy("host", "path", "main", "kind").agg(F.sum("n").alias("m"), F.when(F.sum("n") > 1, entropy / F.log(F.sum("n"))).otherwise(1.0).alias("e"))
+    return by_kind.groupBy("host", "path", "main").agg(F.max("m").alias("pages"), F.sum(F.col("e") * F.when(F.col("kind") == 1, PRESENTATION).otherwise(1 - PRESENTATION)).alias("importance"))
+
+
+def unimportant(tree: DataFrame, importance: float = IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, path) of the branches to remove; a main element is never one."""
+    judged = tree.filter((F.col("importance") < importance) & (F.col("pages") >= least_pages) & (F.col("path") != F.col("main")))
+    mains = tree.filter("path = main").select(F.col("host").alias("_host"), F.col("path").alias("_main"), F.col("importance").alias("around"))
+    inside = judged.filter("main != 0").join(mains, (F.col("host") == F.col("_host")) & (F.col("main") == F.col("_main")))
+    inside = inside.filter(F.col("importance") * MAIN < F.col("around") * importance)
+    return judged.filter("main = 0").select("host", "path").union(inside.select("host", "path"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", importance: float = IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per page: id, url, text, n_chars (code points of the text).
 
-    The text is that of the page's main element, else of its articles, else of its body, without branches marked as
-    navigation, page header, footer, sidebar, notice, advert, form or comment, and outside main content without
-    branches of low importance on the host. References are decoded, white space is one space, blocks are joined by one
+    The text is that of the page without branches marked as navigation, page header, footer, sidebar, notice, advert,
+    form or comment, and without branches of low importance on the host, main elements in these excepted. References are decoded, white space is one space, blocks are joined by one
     space. Null html counts as empty and gives an empty text; pages without a host are one site. Repeated rows are
     pages each for itself; other columns are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    low = style_tree(rows.select("host", "html")).filter((F.col("importance") < importance) & (F.col("pages") >= least_pages)).groupBy("host").agg(F.collect_list("path").alias("low"))
+    tree = table(style_tree(rows.select("host", "html")))
+    low = unimportant(tree, importance, least_pages).groupBy("host").agg(F.collect_list("path").alias("low"))
     low = table(low)
     few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_PATHS
 

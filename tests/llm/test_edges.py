@@ -285,6 +285,17 @@ def test_pages_count_once_for_a_path(spark):
     assert extract.style_tree(pages.selectExpr("'h' as host", "html")).agg({"pages": "max"}).first()[0] == 41
 
 
+def test_repeated_branches_inside_main_content_go_and_text_outside_stays(spark):
+    box = "<div class='box'>written by the staff of this site, all rights are with them</div>"
+    for around in ("<article>{}</article>", "<main>{}</main>", "<div class='wrap'>same<div role='main'>{}</div></div>"):
+        rows = [(i, f"http://e.example/{i}", "<div class='top'>hello</div>" + around.format(f"<p>{prose(9, i)}</p>{box}") + f"<div class='more'>{prose(9, 100 + i)}</div>") for i in range(40)]
+        pages = _table(spark, rows, "inside", "page_id long, url string, html string")
+        assert {r.page_id: r.text.removeprefix("same ") for r in extract.extract(pages).collect()} == {i: f"{prose(9, i)} {prose(9, 100 + i)}" for i in range(40)}
+    copied = [(i, "http://e.example/", f"<div class='wrap'><article><p>copied</p>{box}</article></div><aside>{i}</aside>") for i in range(40)]
+    assert all(r.text.startswith("copied written") for r in extract.extract(_table(spark, copied, "inside", "page_id long, url string, html string")).collect())
+    assert extract.main_text("<article class='comments'>no</article><article class='post'>yes</article>") == "yes"
+
+
 # 7 near duplicates
 
 
