@@ -226,8 +226,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
 
     A class is a connected component of texts whose 5-word shingle sets have Jaccard ``similarity`` or more; words are
     runs without ASCII white space, A-Z lower-cased. Equal texts are one class, empty and null ones too; a text without
-    words is like no other. Rows that share an id count as one document; a row without id is only a copy of equal texts,
-    and its class has no id if all of them lack one. Other columns are ignored; an empty table gives no rows.
+    words is like no other. Rows that share an id count as one document; a row without id is one of the equal texts, and
+    its class has no id if all of its rows lack one. Other columns are ignored; an empty table gives no rows.
 
     Links are found in two rounds, so that no group emits all its pairs: first each band's texts are compared with one
     leader; then texts that share bands, directly or through others, and are still in different components are compared
@@ -235,27 +235,30 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = table(signatures(narrow, weighting, bands, rows))
-    copies = table(signed.groupBy("same").agg(F.min(F.struct("id", "bands")).alias("rep"), F.count(F.lit(1)).alias("n_copies")))
-    reps = copies.select(F.col("rep.id").alias("id"), F.col("rep.bands").alias("bands"))
+    key = lambda same: F.coalesce("id", F.xxhash64(same))  # noqa: E731  never null
+    copies = signed.groupBy("same").agg(F.min("id").alias("id"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("n_copies"))
+    copies = table(copies.withColumn("key", key("same")))
+    reps = copies.select(F.col("key").alias("id"), "bands")
     banded = reps.select("id", F.explode("bands").alias("band"))
     turn = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
     shared = banded.groupBy("band").agg(F.min(turn).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("leader.id").alias("leader"))
     meetings = table(banded.join(shared, "band").select("band", "id", "leader"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     first = table(meetings.filter("id != leader").select(*pair("id", "leader")).distinct())
-    texts = narrow.join(meetings.select("id").distinct(), "id", "left_semi")
+    nameless = narrow.filter("id is null").select(key(F.unhex(F.md5("text"))).alias("id"), "text").dropDuplicates(["id"])
+    texts = narrow.filter("id is not null").union(nameless).join(meetings.select("id").distinct(), "id", "left_semi")
     texts = table(texts)
     links = table(verified(first, texts, similarity, weighting))
     roots = components(links)
     more = table(cross_links(components(first), roots, texts, similarity, weighting))
     final = components(links.union(more)) if more.limit(1).count() else roots
-    member = copies.select(F.col("rep.id").alias("rep"), "same", "n_copies")
-    member = member.join(final, member["rep"] == final["node"], "left").select("same", "n_copies", F.coalesce("root", "rep").alias("class_id"))
-    sizes = member.groupBy("class_id").agg(F.sum("n_copies").alias("class_size"))
-    return signed.select(F.col("id").alias(id_col), "same").join(member.join(sizes, "class_id", "left"), "same").select(id_col, "class_id", "n_copies", F.coalesce("class_size", "n_copies").alias("class_size"))
+    member = copies.join(final, copies["key"] == final["node"], "left").select("same", "id", "n_copies", F.coalesce("root", "key").alias("root"))
+    classes = member.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n_copies").alias("class_size"))
+    named = member.select("same", "n_copies", "root").join(classes, "root").select("same", "class_id", "n_copies", "class_size")
+    return signed.select(F.col("id").alias(id_col), "same").join(named, "same").select(id_col, "class_id", "n_copies", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each class, that with the smallest id, with all its columns."""
+    """One document of each class, that with the smallest id, with all its columns; rows without id stay."""
     drop = near_classes(docs, id_col=id_col, **options).filter(F.col(id_col) != F.col("class_id")).select(id_col)
     return without(docs, drop, id_col)

@@ -338,6 +338,17 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.near_classes(none).count() == 0
 
 
+def test_rows_without_id_keep_the_links_of_their_text(spark):
+    other, third = prose(200, 50), prose(200, 51)
+    rows = [(None, BASE), (5, BASE), (3, BASE), (7, edited(BASE, 60)), (None, other), (None, other), (9, edited(other, 60)), (None, third), (None, edited(third, 60)), (20, prose(100, 52))]
+    docs = _table(spark, rows, "nameless")
+    found = minhash.near_classes(docs)
+    assert classes(found) == brute_classes(rows)
+    got = Counter((r.doc_id, r.class_id, r.n_copies, r.class_size) for r in found.collect())
+    assert got == Counter([(None, 3, 3, 4), (5, 3, 3, 4), (3, 3, 3, 4), (7, 3, 1, 4), (None, 9, 2, 3), (None, 9, 2, 3), (9, 9, 1, 3), (None, None, 1, 2), (None, None, 1, 2), (20, 20, 1, 1)])
+    assert {r.doc_id for r in minhash.drop_near_duplicates(docs).collect()} == {3, 9, 20, None}
+
+
 def test_group_of_near_copies_keeps_every_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_TEXTS", 10)
     monkeypatch.setattr(minhash, "COLUMNS", 64)
