@@ -86,3 +86,13 @@ def test_source_descriptions(spark):
 def test_path_without_format_is_null(spark):
     row = spark.createDataFrame([("input/a/b.png",)], "p string").select(paths.parse_path(F.col("p"), "input/{x}/{y}.png", "x").alias("x")).first()
     assert row.x is None
+
+
+def test_stitching_keeps_tiles_beyond_the_smallest_grid(spark):
+    from types import SimpleNamespace
+
+    from pavegraph.plans import tiles
+
+    px = spark.createDataFrame([(t, 1, 2, 3) for t in (0, 639, 640, 1999)], "tile long, r int, c int, v int")
+    got = tiles.stitch_pixels(SimpleNamespace(spark=spark, mask_px=lambda: px)).filter("v = 3").collect()
+    assert sorted((r.big_col, r.big_row, r.r, r.c) for r in got) == sorted((t // 16 // 4, t % 16 // 4, t % 16 % 4 * 8 + 1, t // 16 % 4 * 8 + 2) for t in (0, 639, 640, 1999))
