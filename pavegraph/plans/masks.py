@@ -60,6 +60,12 @@ def mask_components(v: Views) -> DataFrame:
     return masks.component_areas(v.mask_px().filter("tile < 100"))
 
 
+@query()
+def mask_components_whole(v: Views) -> DataFrame:
+    """``mask_components`` of all tiles; its recursive SQL takes the first 100."""
+    return masks.component_areas(v.mask_px())
+
+
 @query(with_ctes("n as (select tile, r, c, v, lead(v) over (partition by tile, r order by c) as e, lag(v) over (partition by tile, r order by c) as w, lead(v) over (partition by tile, c order by r) as s, lag(v) over (partition by tile, c order by r) as n from mask_px)", "select tile, v, cast(sum(cast(coalesce(e <> v, true) as int) + cast(coalesce(w <> v, true) as int) + cast(coalesce(s <> v, true) as int) + cast(coalesce(n <> v, true) as int)) as bigint) as edges from n group by tile, v having edges > 0"), "mask_px")
 def polygon_outline(v: Views) -> DataFrame:
     return masks.boundary_edges(v.mask_px()).groupBy("tile", "v").agg(F.count(F.lit(1)).alias("edges"))
