@@ -80,6 +80,13 @@ def line_crossings(v: Views) -> DataFrame:
     return topology.crossings(few, few, 10.0).groupBy(F.col("left_id").alias("line_id")).agg(F.countDistinct("right_id").alias("n_lines"))
 
 
+@query()
+def line_crossings_whole(v: Views) -> DataFrame:
+    """``line_crossings`` of all lines; its SQL takes those near a corner of the plane."""
+    lines = v.line().filter(F.size("pts") > 1)
+    return topology.crossings(lines, lines, 10.0).groupBy(F.col("left_id").alias("line_id")).agg(F.countDistinct("right_id").alias("n_lines"))
+
+
 @query(
     with_ctes(
         FREE + """, two as (select ln.*, a.x as fx, a.y as fy, b.x as lx, b.y as ly from ln join seg a on a.line_id = ln.line_id and a.vtx_no = 2 join seg b on b.line_id = ln.line_id and b.vtx_no = ln.n_pts - 1 where ln.n_pts > 1),

@@ -28,3 +28,24 @@ def test_components_of_all_tiles(spark):
     got = QUERIES["mask_components_whole"](spark, DATA).collect()
     assert max(r.tile for r in got) > 100
     assert Counter((r.tile, r.v, r.area, r.top, r.bottom, r["left"], r["right"]) for r in got) == want
+
+
+def test_crossings_of_all_lines(spark):
+    import random
+
+    from pavegraph.plans import networks
+
+    rng = random.Random(3)
+    lines = [(i, [(float(rng.randrange(200)), float(rng.randrange(200))) for _ in range(rng.randint(1, 4))]) for i in range(40)]
+    view = SimpleNamespace(line=lambda: spark.createDataFrame(lines, "line_id long, pts array<struct<x: double, y: double>>"))
+
+    def cross(p, q, r, s):
+        det = (q[0] - p[0]) * (s[1] - r[1]) - (q[1] - p[1]) * (s[0] - r[0])
+        if not det:
+            return False
+        t = ((r[0] - p[0]) * (s[1] - r[1]) - (r[1] - p[1]) * (s[0] - r[0])) / det
+        u = ((r[0] - p[0]) * (q[1] - p[1]) - (r[1] - p[1]) * (q[0] - p[0])) / det
+        return 0 <= t <= 1 and 0 <= u <= 1
+
+    met = {(i, j) for i, a in lines for j, b in lines if i != j and any(cross(*x, *y) for x in zip(a, a[1:]) for y in zip(b, b[1:]))}
+    assert {r.line_id: r.n_lines for r in networks.line_crossings_whole(view).collect()} == Counter(i for i, _ in met)
