@@ -49,3 +49,10 @@ def test_crossings_of_all_lines(spark):
 
     met = {(i, j) for i, a in lines for j, b in lines if i != j and any(cross(*x, *y) for x in zip(a, a[1:]) for y in zip(b, b[1:]))}
     assert {r.line_id: r.n_lines for r in networks.line_crossings_whole(view).collect()} == Counter(i for i, _ in met)
+
+
+def test_segmented_area_of_all_parts(spark):
+    keys = [r.p_partkey for r in Views(spark, DATA).table("part").select("p_partkey").collect()]
+    want = Counter(0 if (i + k) % 5 == 0 else 1 if k % 2 == 0 else 3 for k in keys for i in range(16))
+    assert max(keys) > 63
+    assert {r.v: r.pixels for r in QUERIES["segmented_area_whole"](spark, DATA).collect()} == want
