@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import table
+from ..functions.storage import discard, table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node and its neighbours, then follows labels to their own labels, so
     the rounds grow with the logarithm of a component's diameter. Minima are taken before the shuffle, and every round
-    reads the tables that the one before wrote, so lost executors cost one round at most.
+    reads the tables that the one before wrote, so lost executors cost one round at most. Joins read shuffled tables as
+    they are, so Spark may split a node with very many links, or a root with very many nodes, over several tasks.
     """
     both = table(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
@@ -22,6 +23,25 @@ def components(links: DataFrame) -> DataFrame:
         new = table(labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was")))
         up = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
         hopped = table(new.join(up, "root").select("node", F.least("root", "up").alias("root"), "was"))
+        moved = hopped.filter("root != was").limit(1).count()
+        discard(labels, new)
         labels = hopped.select("node", "root")
-        if not hopped.filter("root != was").limit(1).count():
+        labels._stored_at = hopped._stored_at
+        if not moved:
+            discard(both)
             return labels
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more ``links`` (a, b) between nodes; only the links are gone through again."""
+    root_of = lambda side: (F.col(side) == F.col("node"), F.coalesce("root", side).alias(side))
+    on, a = root_of("a")
+    left = links.join(roots, on, "left").select(a, "b")
+    on, b = root_of("b")
+    up = components(left.join(roots, on, "left").select("a", b).filter("a != b"))
+    tops = up.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    moved = roots.join(tops, roots["root"] == tops["_old"], "left").select("node", F.coalesce("_new", "root").alias("root"))
+    fresh = up.join(roots, "node", "left_anti").select("node", "root")
+    out = table(moved.union(fresh))
+    discard(up)
+    return out
