@@ -9,6 +9,7 @@ every join is verified on the texts themselves.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
-from .common import table, without
+from ..operators.components import components, merged
+from .common import discard, table, without
 from .hashing import U, Words, groups, mix, rolled, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 5
-#: Texts of a group that are compared with as many others in one task, about, and shingles in a matrix.
-BLOCK_TEXTS = 400
+#: Texts and bytes of a band that are compared with as many seekers in one task, about, and shingles in a matrix.
+PART_TEXTS = 400
+PART_BYTES = 4 << 20
 COLUMNS = 4096
+#: Bytes of texts that are signed together; each takes darts for every shingle, some hundred bytes a byte of text.
+SIGN_BYTES = 1 << 18
 #: Chances of 0, 1, 2, ... darts in a cell, summed up.
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1.0, 1.0, 2.0, 6.0, 24.0, 120.0, 720.0, 5040.0, 40320.0, 362880.0)])
 
@@ -118,7 +122,7 @@ def signatures(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column(2))
-            for first, last in groups(offsets):
+            for first, last in groups(offsets, SIGN_BYTES):
                 own = offsets[first : last + 1] - offsets[first]
                 s = Shingles(own, data[offsets[first] : offsets[last]])
                 weight = s.count.astype(float) if weighting == "count" else np.ones(len(s.key))
@@ -166,59 +170,94 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, weighting: s
     return joined.mapInArrow(check, "a long, b long")
 
 
-def cross_links(meets: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, weighting: str, block: int = BLOCK_TEXTS) -> DataFrame:
-    """Links (a, b) between texts of one group (``meets``: node, root) that are in different components so far.
+def compared(t: pa.Table, similarity: float, weighting: str) -> pa.Table:
+    """Links (a, b) among the texts of one part: every seeker against every text of another component.
 
-    A group is dealt into parts of about ``block`` texts, and each pair of parts is compared in one task by products of
-    shingle matrices. A task returns links that join components, fewer than its texts, and never pairs.
+    ``t``: id, root, seek, text. Similarities come from products of shingle matrices. Components that a link joins are
+    one from then on, so there are fewer links than texts, and never pairs.
     """
-    placed = meets.select(F.col("node").alias("id"), F.col("root").alias("grp")).join(roots, F.col("id") == roots["node"], "left").select("id", "grp", F.coalesce("root", "id").alias("root"))
-    sizes = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("grp", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    mine = placed.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
-    each = mine.join(texts, "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = each.select("grp", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "part", "id", "root", "text")
-
-    def compare(t: pa.Table) -> pa.Table:
-        one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
-        column = t.column("text").combine_chunks()
-        offsets, data = utf8(column if isinstance(column, pa.Array) else column.chunk(0))
-        s = Shingles(offsets, data)
-        ids, part, label = t.column("id").to_numpy(), t.column("part").to_numpy(), t.column("root").to_numpy().copy()
-        left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
-        _, shingle, n = np.unique(s.key, return_inverse=True, return_counts=True)
-        often = n[shingle] > 1  # others are in no intersection
-        number = np.cumsum(n > 1) - 1
-        doc, value = s.doc[often], number[shingle[often]]
-        weight = (s.count[often] if weighting == "count" else np.ones(len(doc))).astype(np.float32)
-        size = np.bincount(s.doc, s.count if weighting == "count" else None, len(ids)).astype(float)
-        shared = np.zeros((len(left), len(right)))
-        order = np.argsort(value, kind="stable")
-        doc, value, weight = doc[order], value[order], weight[order]
-        at = np.full(len(ids), -1)
-        at2 = at.copy()
-        at[left], at2[right] = np.arange(len(left)), np.arange(len(right))
-        for first in range(0, int(value[-1]) + 1 if len(value) else 0, COLUMNS):
-            cut_ = slice(*np.searchsorted(value, (first, first + COLUMNS)))
-            levels = np.unique(weight[cut_])
-            for low, high in zip(np.r_[0, levels[:-1]], levels):  # min(x, y) as a sum over levels
-                a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
-                on = weight[cut_] >= high
-                d, v = doc[cut_][on], value[cut_][on] - first
-                a[at[d[at[d] >= 0]], v[at[d] >= 0]] = 1
-                b[at2[d[at2[d] >= 0]], v[at2[d] >= 0]] = 1
-                shared += (high - low) * (a @ b.T)
-        total = size[left][:, None] + size[right][None, :] - shared
-        near = (shared >= similarity * total - 1e-9) & (label[left][:, None] != label[right][None, :]) & (shared > 0)
-        out = []
-        for i, j in zip(*np.nonzero(near)):
-            a, b = left[i], right[j]
-            if label[a] != label[b]:
-                out.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
-                label[label == label[b]] = label[a]
-        columns = list(zip(*out)) or [[], []]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-
-    return dealt.groupBy("grp", "one", "two").applyInArrow(compare, "a long, b long")
+    column = t.column("text").combine_chunks()
+    offsets, data = utf8(column if isinstance(column, pa.Array) else column.chunk(0))
+    s = Shingles(offsets, data)
+    ids, label = t.column("id").to_numpy(), t.column("root").to_numpy().copy()
+    seekers = np.flatnonzero(t.column("seek").to_numpy(zero_copy_only=False))
+    _, shingle, n = np.unique(s.key, return_inverse=True, return_counts=True)
+    often = n[shingle] > 1  # others are in no intersection
+    number = np.cumsum(n > 1) - 1
+    doc, value = s.doc[often], number[shingle[often]]
+    weight = (s.count[often] if weighting == "count" else np.ones(len(doc))).astype(np.float32)
+    size = np.bincount(s.doc, s.count if weighting == "count" else None, len(ids)).astype(float)
+    shared = np.zeros((len(seekers), len(ids)), np.float32)
+    order = np.argsort(value, kind="stable")
+    doc, value, weight = doc[order], value[order], weight[order]
+    place = np.full(len(ids), -1)
+    place[seekers] = np.arange(len(seekers))
+    for first in range(0, int(value[-1]) + 1 if len(value) else 0, COLUMNS):
+        cut_ = slice(*np.searchsorted(value, (first, first + COLUMNS)))
+        levels = np.unique(weight[cut_])
+        for low, high in zip(np.r_[0, levels[:-1]], levels):  # min(x, y) as a sum over levels
+            right = np.zeros((len(ids), COLUMNS), np.float32)
+            on = weight[cut_] >= high
+            right[doc[cut_][on], value[cut_][on] - first] = 1
+            shared += (high - low) * (right[seekers] @ right.T)
+    total = size[seekers][:, None] + size[None, :] - shared
+    near = (shared >= similarity * total - 1e-9) & (label[seekers][:, None] != label[None, :]) & (shared > 0)
+    out = []
+    for i, j in zip(*np.nonzero(near)):
+        a, b = seekers[i], j
+        if label[a] != label[b]:
+            out.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+            label[label == label[b]] = label[a]
+    columns = list(zip(*out)) or [[], []]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
+def seekers_round(open_: DataFrame, texts: DataFrame, similarity: float, weighting: str, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and the (band, id) that are done: compared with all texts of their band.
+
+    ``open_``: (band, id, root) of the bands that still hold several components; ``texts``: (id, text, size). All
+    but the texts of a band's largest component are its seekers. A band is dealt into parts of bounded texts and bytes, and
+    so many of its seekers as fill a part go to each of them, the others to later rounds. Rows are in proportion to
+    ``open_`` in every round, whatever the size of a band.
+    """
+    sized = open_.join(texts.select("id", "size"), "id")
+    by_root = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    main = F.max_by(F.struct("root", "n", "size"), F.struct("n", "root"))
+    bands = by_root.groupBy("band").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), main.alias("main"))
+    share = lambda n, size: F.greatest(F.lit(1), F.ceil(n / PART_TEXTS), F.ceil(size / PART_BYTES)).cast("int")
+    bands = bands.select(
+        "band",
+        F.col("main.root").alias("main"),
+        share(F.col("n"), F.col("size")).alias("parts"),
+        share(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("turns"),
+    )
+    mine = sized.join(bands, "band").withColumn("seek", (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("turns")) == 0))
+    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int")
+    dealt = table(mine.select("band", "id", "root", "seek", F.explode(F.when(F.col("seek"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))).alias("part")))
+    useful = dealt.filter("seek").select("band", "part").distinct()  # a hash may give a turn no seeker
+    rows = dealt.join(useful, ["band", "part"], "left_semi").join(texts.select("id", "text"), "id").select("band", "part", "id", "root", "seek", "text")
+    links = table(rows.groupBy("band", "part").applyInArrow(lambda t: compared(t, similarity, weighting), "a long, b long"))
+    return links, dealt.filter("seek").select("band", "id").distinct()
+
+
+def joined_classes(meetings: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, weighting: str) -> DataFrame:
+    """``roots`` after comparing all texts of different components that share a band; ``meetings``: (band, id, leader).
+
+    Rounds go on until no band holds two components with texts that were not compared; a leader was compared before.
+    """
+    left = meetings.filter("id != leader").select("band", "id")
+    for turn in itertools.count():
+        labelled = table(left.join(roots, left["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root")))
+        mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+        open_ = table(labelled.join(mixed, "band", "left_semi"))
+        discard(labelled)
+        if not open_.limit(1).count():
+            return roots
+        links, done = seekers_round(open_, texts, similarity, weighting, turn)
+        if links.limit(1).count():
+            roots = merged(roots, links)
+        left = open_.select("band", "id").join(done, ["band", "id"], "left_anti")
+    return roots
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,30 +268,29 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
     words is like no other. Rows that share an id count as one document; a row without id is one of the equal texts, and
     its class has no id if all of its rows lack one. Other columns are ignored; an empty table gives no rows.
 
-    Links are found in two rounds, so that no group emits all its pairs: first each band's texts are compared with one
-    leader; then texts that share bands, directly or through others, and are still in different components are compared
-    in blocks of bounded size, which leaves out no pair that could join two classes.
+    Links are found in rounds, so that no group emits its pairs: first each band's texts are compared with one leader;
+    then, in bands that still hold several components, the texts outside the largest one are compared with all others.
+    Nothing that could join two classes is left out, and the rows of every round are in proportion to the texts.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = table(signatures(narrow, weighting, bands, rows))
     key = lambda same: F.coalesce("id", F.xxhash64(same))  # noqa: E731  never null
     copies = signed.groupBy("same").agg(F.min("id").alias("id"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("n_copies"))
     copies = table(copies.withColumn("key", key("same")))
-    reps = copies.select(F.col("key").alias("id"), "bands")
-    banded = reps.select("id", F.explode("bands").alias("band"))
+    banded = copies.select(F.col("key").alias("id"), F.explode("bands").alias("band"))
     turn = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
     shared = banded.groupBy("band").agg(F.min(turn).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("leader.id").alias("leader"))
     meetings = table(banded.join(shared, "band").select("band", "id", "leader"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     first = table(meetings.filter("id != leader").select(*pair("id", "leader")).distinct())
     nameless = narrow.filter("id is null").select(key(F.unhex(F.md5("text"))).alias("id"), "text").dropDuplicates(["id"])
-    texts = narrow.filter("id is not null").union(nameless).join(meetings.select("id").distinct(), "id", "left_semi")
-    texts = table(texts)
+    wanted = meetings.select("id").distinct()
+    texts = narrow.filter("id is not null").union(nameless).join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+    texts = table(texts.withColumn("size", F.octet_length("text")))
     links = table(verified(first, texts, similarity, weighting))
-    roots = components(links)
-    more = table(cross_links(components(first), roots, texts, similarity, weighting))
-    final = components(links.union(more)) if more.limit(1).count() else roots
-    member = copies.join(final, copies["key"] == final["node"], "left").select("same", "id", "n_copies", F.coalesce("root", "key").alias("root"))
+    roots = joined_classes(meetings, components(links), texts, similarity, weighting)
+    discard(meetings, first, texts, links)
+    member = copies.join(roots, copies["key"] == roots["node"], "left").select("same", "id", "n_copies", F.coalesce("root", "key").alias("root"))
     classes = member.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n_copies").alias("class_size"))
     named = member.select("same", "n_copies", "root").join(classes, "root").select("same", "class_id", "n_copies", "class_size")
     return signed.select(F.col("id").alias(id_col), "same").join(named, "same").select(id_col, "class_id", "n_copies", "class_size")
