@@ -29,13 +29,16 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 
 
 class ByteEncoder:
-    """Token ids of the byte-level BPE in a ``tokenizers`` file."""
+    """Token ids of the byte-level BPE in a ``tokenizers`` file.
+
+    Texts of Latin letters go through a faster encoder of the same vocabulary, all others through the library, which is
+    only loaded then; both give the same ids.
+    """
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         shown = {b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)}
@@ -45,6 +48,12 @@ class ByteEncoder:
         self.special = set(special)
         self.core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)._core_bpe
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)

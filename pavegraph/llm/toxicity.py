@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,15 @@ from .common import table
 
 #: Labelled rows that fitting sees at most, those of lowest hash; a documented bound of the sample.
 SAMPLE_ROWS = 20_000
-#: Entries that a lexicon holds at most, by weight.
-LEXICON_ENTRIES = 20_000
 FOLDS = 5
 #: Word beginnings of these lengths count as lexicon terms too.
 BEGINNINGS = (4, 5, 6)
 #: Words around a lexicon word in which the second person counts.
 NEAR = 5
 #: Words that a task remembers with their weight; then it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000
+#: Texts whose terms a task counts together before it hands them on.
+COUNTED_TEXTS = 50
 #: Second-person words of the corpus languages. Fixed values.
 SECOND_PERSON = frozenset("you your yours yourself ur u du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros tus".split())
 WORD = re.compile(r"[^\W\d_]+")
@@ -185,6 +185,10 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray]
     rate: float
 
+    def fresh(self) -> Model:
+        """The model for one task: what it remembers of words goes with the task, not with the broadcast."""
+        return replace(self, lexicon=Lexicon(self.lexicon.weights))
+
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of the label for each text; the label's rate if there was nothing to learn from."""
         if self.trees is None or not texts:
@@ -205,7 +209,7 @@ def lexicon_from(counts: list[tuple[str, float, float]], toxic: float, clean: fl
             low = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)) - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
             if low > 0.5:
                 out.append((float(low), term))
-    return Lexicon({t: w for w, t in sorted(out, reverse=True)[:LEXICON_ENTRIES]})
+    return Lexicon({t: w for w, t in sorted(out, reverse=True)})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -219,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         .limit(sample_rows)
         .withColumn("fold", fold_of("doc_id"))
     )
-    sample = table(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y", "fold"))  # at most sample_rows ids
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+    sample = table(found.groupBy("doc_id", "y", "fold").agg(F.min("text").alias("text")))
     sizes = {(r["fold"], r["y"] > 0): r["n"] for r in sample.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = [sum(n for (_, t), n in sizes.items() if t is c) for c in (False, True)]
     rate = total[1] / max(1, sum(total))
@@ -228,9 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
+            for start in range(0, batch.num_rows, COUNTED_TEXTS):
                 seen: Counter = Counter()
-                for r in batch.slice(start, 500).to_pylist():
+                for r in batch.slice(start, COUNTED_TEXTS).to_pylist():
                     seen.update((t, 2 * r["fold"] + (r["y"] > 0)) for t in terms_of(r["text"]))
                 terms, slots = zip(*seen) if seen else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(slots, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "slot", "n"])
@@ -242,10 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         .groupBy("term")
         .agg(*slots)
         .filter((toxic >= 2) & (toxic * (total[0] + 1) > 1.5 * (clean + 0.5) * (total[1] + 1)))
-        .orderBy((toxic - clean * (total[1] / total[0])).desc(), "term")
-        .limit(2 * LEXICON_ENTRIES)
+        .orderBy("term")
         .collect()
-    )  # a bounded number of terms
+    )  # terms of several toxic rows of the sample, which is bounded
     rows = [(r["term"], np.array([[r[f"s{2 * k + c}"] for k in range(FOLDS)] for c in (0, 1)], float)) for r in best]
     by_fold = np.array([[sizes.get((k, c), 0) for k in range(FOLDS)] for c in (False, True)], float)
 
@@ -258,8 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexica = [Lexicon(w) for w in weights]
         for batch in batches:
-            for r in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([features_of(r["text"], lexica[r["fold"]])], pa.list_(pa.float64())), pa.array([r["y"] > 0], pa.bool_()), pa.array([r["fold"]], pa.int32())], names=["x", "y", "fold"])
+            rows = [(features_of(text, lexica[fold]), y > 0, fold) for text, y, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "fold")))]
+            x, y, fold = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_()), pa.array(fold, pa.int32())], names=["x", "y", "fold"])
 
     seen = sample.mapInArrow(describe, "x array<double>, y boolean, fold int").toPandas()  # at most sample_rows of a few numbers
     x, y, fold = np.array(seen["x"].tolist()), seen["y"].to_numpy(float), seen["fold"].to_numpy()
@@ -275,10 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_ENTRIES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as bounded as the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value.fresh()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -292,7 +297,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """One row per document: doc_id, held_out, score, predicted.
 
     Null and empty texts are scored by their (zero) features. Labels: the largest of repeated ones counts, null ones
-    are ignored; with fewer than two rows of either label every score is the label's rate (0 without labels). Inputs
+    are ignored; of repeated rows of a document one text, the least, is learnt from; with fewer than two rows of either label every score is the label's rate (0 without labels). Inputs
     are the text alone; other columns are ignored. An empty table gives no rows.
     """
     return score(docs, fit(docs, labels, sample_rows))
@@ -305,7 +310,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     fields = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value.fresh()
         at = fields.fieldNames().index("text")
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
