@@ -1,10 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame operations only.
 
-Every window of a benchmark item is looked up by its rarest term: collection frequencies of the benchmark's terms are
-counted over all documents, each window takes its rarest term as anchor, and the index keeps the postings (document,
-position) of anchor terms alone, each with the words around it. A posting fixes how an item would have to lie in the
-document; lists of the neighbouring terms are intersected by that offset, outwards from the anchor, which gives the
-longest phrase that both share and so all windows in it at once.
+One scan of the documents stores the index: a posting (term, document, position) for every word that some benchmark item
+has too, and at term -1 the length of each document. Collection frequencies come from the index. Each window of an item
+is looked up by its rarest term: a posting of that term fixes how the item would lie in the document, and the lists of
+the terms around it are intersected at the offsets that follow. Places where consecutive words of item and document
+agree for a window or more are phrase matches; places that have all terms of a window close by, in any order, are
+proximity matches.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import discard, table, without
 
 #: Words in a window.
 WINDOW = 10
+#: Words to either side of a window's rarest term in which a proximity match has all its terms.
+NEAR = 20
 #: All but the characters of words, after A-Z is lower-cased. Fixed value.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A term list is broadcast up to this many rows, which is checked; a larger one is joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: A dictionary of up to this many bytes, which is checked, is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: The term whose position in a document is the number of its words.
+END = -1
 
 
 def words_of(column: str = "text") -> Column:
@@ -30,97 +35,125 @@ def words_of(column: str = "text") -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_TERMS else df
-
-
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, words, n, width): distinct items with at least one word; width is that of their windows."""
     words = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(text_col).alias("words")).distinct()
     return words.withColumn("n", F.size("words")).filter("n > 0").withColumn("width", F.least("n", F.lit(WINDOW)))
 
 
-def frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, cf): how often each of ``terms`` stands in the documents; counted before the shuffle."""
-    return docs.select(F.explode(words_of("text")).alias("term")).join(_small(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-
-
-def anchors_of(items: DataFrame, cf: DataFrame) -> DataFrame:
-    """(term, anchors): of each window its rarest term, with place and item around it.
-
-    Windows with a term that no document has are left out, as they occur nowhere.
+class Index:
+    """Written tables: ``terms`` (term, tid), numbered in order; ``items`` (iid, item, n, width, at, tid), a row a word; ``postings`` (uid, id, tid, pos)."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame) -> None:
+        """``docs``: (uid, id, text); ``items`` as from items_of."""
+        numbered = table(items.withColumn("iid", F.monotonically_increasing_id()))
+        distinct = numbered.select(F.explode("words").alias("term")).distinct()
+        self.terms = table(distinct.sort("term").withColumn("tid", F.monotonically_increasing_id()))
+        size = self.terms.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0
+        known = self.terms.union(docs.sparkSession.createDataFrame([("", END)], "term string, tid long"))
+        known = F.broadcast(known) if size <= BROADCAST_BYTES else known
+        each = numbered.select("iid", "item", "n", "width", F.posexplode("words").alias("at", "term"))
+        self.items = table(each.join(known, "term").drop("term"))
+        ended = F.concat(words_of("text"), F.array(F.lit("")))
+        self.postings = table(docs.select("uid", "id", F.posexplode(ended).alias("pos", "term")).join(known, "term").select("uid", "id", "tid", "pos"))
+        self.frequencies = table(self.postings.filter(F.col("tid") != END).groupBy("tid").agg(F.count(F.lit(1)).alias("cf")))
+        discard(numbered)
+
+    def windows(self) -> DataFrame:
+        """(iid, width, start, best, terms): each window with its rarest term, best.tid at best.at, and its terms as (at, tid, cf).
+
+        Windows with a term that no document has are left out, as they occur nowhere.
+        """
+        ahead = Window.partitionBy("iid").orderBy("at").rowsBetween(0, WINDOW - 1)
+        placed = self.items.join(self.frequencies, "tid", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
+        best = F.min(F.struct("cf", "tid", "at")).over(ahead)
+        terms = F.collect_list(F.struct("at", "tid", "cf")).over(ahead)
+        full = placed.withColumns({"best": best, "terms": terms}).filter((F.col("at") + F.col("width") <= F.col("n")) & (F.col("best.cf") > 0))
+        return full.select("iid", "width", F.col("at").alias("start"), "best", "terms")
+
+    def discard(self) -> None:
+        discard(self.terms, self.items, self.postings, self.frequencies)
+
+
+def phrase_matches(index: Index) -> DataFrame:
+    """(uid, item, first, last): runs of words that hold at least one window of the item."""
+    by_anchor = index.windows().select("iid", "width", F.col("best.tid").alias("tid"), F.col("best.at").alias("anchor"), F.explode("terms").alias("x"))
+    anchors = table(by_anchor.groupBy("iid", "width", "tid", "anchor").agg(F.sort_array(F.collect_set(F.struct("x.at", "x.tid"))).alias("around")))
+    postings = index.postings.select("uid", "tid", "pos")
+    aligned = postings.join(anchors, "tid").select("uid", "iid", "width", (F.col("pos") - F.col("anchor")).alias("shift"), "around")
+    aligned = aligned.groupBy("uid", "iid", "width", "shift").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around"))
+    wanted = aligned.select("uid", "iid", "width", "shift", F.explode("around").alias("x")).select("uid", "iid", "width", "shift", F.col("x.at").alias("at"), F.col("x.tid").alias("tid"), (F.col("shift") + F.col("x.at")).alias("pos"))
+    wanted = table(wanted.filter("pos >= 0"))
+    agree = postings.join(wanted, ["uid", "tid", "pos"])  # a posting is one row
+    line = Window.partitionBy("uid", "iid", "shift").orderBy("at")
+    runs = agree.withColumn("run", F.col("at") - F.row_number().over(line)).groupBy("uid", "iid", "width", "shift", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    names = index.items.select("iid", "item").distinct()
+    return runs.filter(F.col("last") - F.col("first") + 1 >= F.col("width")).join(names, "iid").select("uid", "item", "first", "last")
+
+
+def near_matches(index: Index, within: int = NEAR) -> DataFrame:
+    """(uid, item, pos): places of a window's rarest term with all the window's terms at most ``within`` words away, in any order.
+
+    The lists are intersected from the rarest terms on: first with the postings of the second term, then with the rest.
     """
-    placed = items.select("item", "words", "n", "width", F.posexplode("words").alias("at", "term")).join(cf, "term", "left")
-    around = Window.partitionBy("item", "words").orderBy("at").rowsBetween(0, WINDOW - 1)
-    windows = placed.withColumn("best", F.min(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "term", "at")).over(around)).filter((F.col("at") + F.col("width") <= F.col("n")) & (F.col("best.cf") > 0))
-    return windows.select(F.col("best.term").alias("term"), F.col("best.at").alias("at"), "item", "words", "n", "width").distinct()
-
-
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int, reach: int = WINDOW - 1) -> DataFrame:
-    """The index: (uid, term, pos, low, near) for each place of one of ``terms``, with the words ``reach`` around it."""
-    words = docs.select("uid", words_of("text").alias("words"))
-    low = F.greatest(F.col("pos") - reach, F.lit(0))
-    return (
-        words.select("uid", "words", F.posexplode("words").alias("pos", "term"))
-        .join(_small(terms, n_terms), "term", "left_semi")
-        .select("uid", "term", "pos", low.alias("low"), F.slice("words", low + 1, F.col("pos") - low + 1 + reach).alias("near"))
-    )
-
-
-def _agree(step: int) -> Column:
-    """Words in a row that document and item share from the anchor on, in one direction, up to a window less one."""
-    here = lambda i: F.col("pos") - F.col("low") + step * i
-    there = lambda i: F.col("at") + step * i
-    differs = lambda i: ~F.coalesce((there(i) >= 0) & (here(i) >= 0) & (F.get("near", here(i)) == F.get("words", there(i))), F.lit(False))
-    return F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(WINDOW - 1)), differs)), F.lit(WINDOW)) - 1
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(uid, item, first, last): runs of words that hold at least one window of the item; ``docs`` has uid and text."""
-    terms = items.select(F.explode("words").alias("term")).distinct()
-    n_terms = terms.count()
-    anchors = anchors_of(items, frequencies(docs, terms, n_terms))
-    found = postings(docs, anchors.select("term").distinct(), n_terms)
-    aligned = found.join(_small(anchors, n_terms), "term").withColumn("left", _agree(-1)).withColumn("right", _agree(1))
-    return aligned.filter("left + right + 1 >= width").select("uid", "item", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 2 * WINDOW, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    terms = F.array_distinct(F.transform(F.array_sort(F.transform("terms", lambda x: F.struct(x["cf"].alias("cf"), x["tid"].alias("tid")))), lambda x: x["tid"]))
+    sets = table(index.windows().select("iid", terms.alias("tids")).distinct().withColumn("wid", F.monotonically_increasing_id()))
+    postings = index.postings.filter(F.col("tid") != END).select("uid", "tid", "pos")
+    cell = F.floor(F.col("pos") / within).cast("int")
+    there = postings.select("uid", "tid", F.col("pos").alias("other"), cell.alias("cell"))
+
+    def close(places: DataFrame) -> DataFrame:
+        """Of ``places`` (uid, wid, pos, tid), those with a posting of tid close by."""
+        met = places.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1))).join(there, ["uid", "tid", "cell"])
+        return met.filter(F.abs(F.col("other") - F.col("pos")) <= within).select("uid", "wid", "pos", "tid").distinct()
+
+    first = postings.join(sets.select("wid", F.col("tids")[0].alias("tid"), F.get("tids", F.lit(1)).alias("second")), "tid").select("uid", "wid", "pos", "second")
+    first = table(first)
+    alone = first.filter("second is null").select("uid", "wid", "pos")
+    two = table(close(first.filter("second is not null").select("uid", "wid", "pos", F.col("second").alias("tid"))).select("uid", "wid", "pos"))
+    rest = two.join(sets.select("wid", F.explode(F.slice("tids", 3, WINDOW)).alias("tid")), "wid")
+    seen = close(rest).groupBy("uid", "wid", "pos").agg(F.count(F.lit(1)).alias("seen"))
+    needed = sets.select("wid", (F.size("tids") - 2).alias("needed"))
+    whole = two.join(needed, "wid").join(seen, ["uid", "wid", "pos"], "left").filter(F.coalesce("seen", F.lit(0)) == F.col("needed")).select("uid", "wid", "pos")
+    names = index.items.select("iid", "item").distinct()
+    return alone.union(whole).join(sets.select("wid", "iid"), "wid").join(names, "iid").select("uid", "item", "pos").distinct()
+
+
+def indexed(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> Index:
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return Index(rows, items_of(benchmark, item_col, item_text))
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = NEAR, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, pos): places of a window's rarest term with all the window's terms at most ``within`` words away, in any order.
 
     Null texts have no words. Rows of one document are not merged; repeated matches of an item at one place are.
     """
-    rows = docs.withColumn("uid", F.monotonically_increasing_id())
-    items = items_of(benchmark, item_col, "text")
-    terms = items.select(F.explode("words").alias("term")).distinct()
-    n_terms = terms.count()
-    placed = items.select("item", "n", "width", "words", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("start"))
-    windows = placed.select("item", F.slice("words", F.col("start") + 1, F.col("width")).alias("words"))
-    cf = frequencies(rows, terms, n_terms)
-    rarest = windows.select("item", "words", F.explode("words").alias("term")).join(cf, "term", "left").groupBy("item", "words").agg(F.min(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "term")).alias("best"))
-    anchors = rarest.filter("best.cf > 0").select("item", "words", F.col("best.term").alias("term"))
-    near = postings(rows, anchors.select("term").distinct(), n_terms, within).join(_small(anchors, n_terms), "term")
-    hits = near.filter(F.size(F.array_except("words", "near")) == 0).select("uid", "item", "pos").distinct()
-    return hits.join(rows.select("uid", F.col(id_col)), "uid").select(id_col, "item", "pos")
+    index = indexed(docs, benchmark, id_col, text_col, item_col, item_text)
+    ends = index.postings.filter(F.col("tid") == END).select("uid", F.col("id").alias(id_col))
+    return near_matches(index, within).join(ends, "uid").select(id_col, "item", "pos")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
-    Null and empty texts have no words, in documents and items; items without words have no window. Repeated items
-    count once, repeated documents are judged each for itself, a null item id counts as an empty name. Other columns
-    are ignored. Without documents there are no rows, without items no hits.
+    ``n_near`` is the number of items with a proximity match. Null and empty texts have no words, in documents and
+    items; items without words have no window. Repeated items count once, repeated documents are judged each for
+    itself, a null item id counts as an empty name. Other columns are ignored. Without documents there are no rows,
+    without items no hits.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    matches = phrase_matches(rows, items_of(benchmark, item_col, item_text))
+    index = indexed(docs, benchmark, id_col, text_col, item_col, item_text)
     order = Window.partitionBy("uid").orderBy("first", "last")
     covered = F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     hit = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, covered))
-    found = matches.withColumn("hit", hit).groupBy("uid").agg(F.sum("hit").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
+    found = phrase_matches(index).withColumn("hit", hit).groupBy("uid").agg(F.sum("hit").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
+    near = near_matches(index).groupBy("uid").agg(F.countDistinct("item").alias("n_near"))
     named = F.coalesce(F.array_join("items", ","), F.lit(""))
     return (
-        rows.select("uid", "id", F.size(words_of("text")).cast("long").alias("n_words"))
+        index.postings.filter(F.col("tid") == END)
+        .select("uid", "id", F.col("pos").cast("long").alias("n_words"))
         .join(found, "uid", "left")
+        .join(near, "uid", "left")
         .select(
             F.col("id").alias(id_col),
             "n_words",
@@ -128,12 +161,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long").alias("n_items"),
             F.sha2(named, 256).alias("items_sha256"),
             F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+            F.coalesce("n_near", F.lit(0)).alias("n_near"),
         )
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows without a hit, with all their columns; ``docs`` must read the same rows each time, as a table does."""
-    marked = docs.withColumn("_uid", F.monotonically_increasing_id())
-    hit = phrase_matches(marked.select(F.col("_uid").alias("uid"), F.col(text_col).alias("text")), items_of(benchmark, item_col, item_text))
-    return without(marked, hit.select("uid").distinct(), "_uid").select(*docs.columns)
+    """The rows without a hit, with all their columns; judged as by ``decontaminate``."""
+    marked = table(docs.withColumn("_uid", F.monotonically_increasing_id()))
+    index = Index(marked.select(F.col("_uid").alias("uid"), F.lit(None).cast("string").alias("id"), F.col(text_col).alias("text")), items_of(benchmark, item_col, item_text))
+    drop = table(phrase_matches(index).select("uid").distinct())
+    index.discard()
+    return without(marked, drop, "_uid").select(*docs.columns)

@@ -92,10 +92,16 @@ SQL: dict[str, str] = {
         dw as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from d, ks where len(w) >= k),
         hits as (select dw.doc_id, dw.s, dw.k, win.item_id from (select doc_id, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as g from dw) dw join win using (k, g)),
         words as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(s, s + k)) as p from hits) group by doc_id),
-        items as (select doc_id, count(*) as n, string_agg(i, ',' order by i) as names from (select distinct doc_id, item_id::varchar as i from hits) group by doc_id)
+        items as (select doc_id, count(*) as n, string_agg(i, ',' order by i) as names from (select distinct doc_id, item_id::varchar as i from hits) group by doc_id),
+        tok as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as term from d),
+        cf as (select term, count(*) as cf from tok where term in (select unnest(w) from b) group by term),
+        nw as (select distinct item_id, list_slice(w, s, s + k - 1) as ws from bw),
+        rare as (select item_id, ws, arg_min(term, (cf, term)) as term from (select item_id, ws, unnest(ws) as term from nw) left join cf using (term) group by item_id, ws having count(*) = count(cf)),
+        near as (select distinct doc_id, item_id from rare join tok using (term) join d using (doc_id) where list_has_all(list_slice(d.w, greatest(p - 20, 1), p + 20), ws)),
+        close as (select doc_id, count(*) as n from near group by doc_id)
         select d.doc_id, len(d.w) as n_words, coalesce(words.n, 0) as n_hit, coalesce(items.n, 0) as n_items,
-               sha256(coalesce(items.names, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
-        from d left join words using (doc_id) left join items using (doc_id)
+               sha256(coalesce(items.names, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated, coalesce(close.n, 0) as n_near
+        from d left join words using (doc_id) left join items using (doc_id) left join close using (doc_id)
     """,
     "op9_warc": """
         with t as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) || '00' as hex from pages),
