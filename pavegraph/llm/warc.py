@@ -96,23 +96,27 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_col:
 
     Null html counts as empty. Of pages with equal payloads of at least ``min_revisit_bytes`` that with the smallest id
     is the response and the others are revisits; smaller payloads are all responses. Of repeated rows with one id the
-    first read is the response. A null id comes after all others; other columns are ignored.
+    first read is the response. A null id comes after all others; other columns are ignored. Payloads are equal if
+    length and SHA-256 are. The rows are written with their digests first, and joined with the groups of several alone,
+    so a payload that very many pages share is no hot key of a shuffle of pages.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
+    raw = F.encode("html", "UTF-8")
+    rows = table(rows.withColumns({"size": F.octet_length(raw), "sha": F.sha1(raw), "same": F.unhex(F.sha2(raw, 256))}))
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")
-    first = rows.groupBy("sha").agg(F.min(order).alias("first"))
-    joined = rows.join(first, "sha").select("page_id", "row", "url", "html", "sha", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
+    several = rows.filter(F.col("size") >= min_revisit_bytes).groupBy("same", "size").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = table(several.select("same", "size", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")))
+    again = F.coalesce(F.col("row") != F.col("first_row"), F.lit(False))
+    joined = rows.join(first, ["same", "size"], "left").select("page_id", "row", "url", F.when(~again, F.col("html")).alias("html"), "sha", "first_id", "first_row", again.alias("again"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 out: list[bytes] = []
                 for r in batch.slice(start, 500).to_pylist():
-                    payload = r["html"].encode("utf-8", "surrogatepass")
-                    same = r["row"] == r["first_row"] or len(payload) < min_revisit_bytes
+                    payload = (r["html"] or "").encode("utf-8", "surrogatepass")
                     digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                    out += records_of(r["page_id"], r["row"], r["url"], payload, digest, None if same else (r["first_id"], r["first_row"]))
+                    out += records_of(r["page_id"], r["row"], r["url"], payload, digest, (r["first_id"], r["first_row"]) if r["again"] else None)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     lines = joined.mapInArrow(archive, "record binary").select(F.col("record").cast("string"))
