@@ -27,9 +27,10 @@ from .common import table
 
 #: Paths to remove that are broadcast to all tasks, after counting; more of them are joined by host in a shuffle.
 BROADCAST_PATHS = 1_000_000
-#: A branch below this importance is removed, if its path is on at least LEAST_PAGES pages of the host.
+#: A branch below this importance is removed.
 IMPORTANCE = 0.5
-LEAST_PAGES = 8
+#: Entropies of few pages say little: importance is that of the pages seen and of so many more that all differ.
+PRIOR_PAGES = 8
 #: Share of presentation in the importance of a branch; the rest is content.
 PRESENTATION = 0.2
 #: Inside a main element the importance of a branch is multiplied by this and divided by that of the element.
@@ -76,10 +77,14 @@ def parse(page: str) -> Element:
     root = Element("html", "", None)
     stack = [root]
     at, size = 0, len(page)
+    held: Counter = Counter()  # open elements by tag
 
     def pop_to(tags: tuple[str, ...], stop: frozenset[str]) -> None:
+        if not any(held[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
+                held.subtract(e.tag for e in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in stop:
@@ -97,11 +102,11 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and not held["p"]:
                 continue
             pop_to((tag,), frozenset(("article", "main", "table", "body")) - {tag} if tag not in BLOCK else frozenset())
             continue
-        if tag in ("html", "body") and any(e.tag == tag for e in stack):
+        if tag == "html" or tag == "body" and held["body"]:
             continue
         if tag in ENDS_P:
             pop_to(("p",), ENDS_P - {"p"})
@@ -118,28 +123,32 @@ def parse(page: str) -> Element:
             at = end.end() if end else size
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
+            held[tag] += 1
     return root
 
 
 def text_of(node: Element, low: frozenset[int] | set[int] = frozenset()) -> str:
     """Text of a branch without its noise and its unimportant branches, but with main elements in the latter."""
     out: list[str] = []
-
-    def walk(e: Element, gone: bool) -> None:
-        for c in e.children:
+    stack = [(iter(node.children), False, False)]
+    while stack:
+        children, gone, block = stack[-1]
+        for c in children:
             if isinstance(c, str):
                 if not gone:
                     out.append(html.unescape(c))
                 continue
-            block = c.tag in BLOCK
-            if block:
+            if c.tag in BLOCK:
                 out.append(" ")
             if c.tag not in RAW and not c.noise:
-                walk(c, c.path in low or gone and not c.main)
+                stack.append((iter(c.children), c.path in low or gone and not c.main, c.tag in BLOCK))
+                break
+            if c.tag in BLOCK:
+                out.append(" ")
+        else:
+            stack.pop()
             if block:
                 out.append(" ")
-
-    walk(node, False)
     return " ".join("".join(out).split())
 
 
@@ -152,28 +161,32 @@ def style_nodes(page: str) -> Iterator[tuple[int, int, int, int]]:
 
     ``main`` is the path of the outermost main element that holds the element or is it, else 0. Noise is left out.
     """
-    def walk(e: Element, main: int) -> xxhash.xxh64 | None:
-        own, styles = xxhash.xxh64(), []
-        some = False
-        for c in e.children:
+    found: dict[int, tuple[int, xxhash.xxh64, xxhash.xxh64]] = {}
+    root = parse(page)
+    stack = [(root, iter(root.children), 0, xxhash.xxh64(), [])]
+    some = [False]  # by level: whether there is text
+    while stack:
+        e, children, main, own, styles = stack[-1]
+        for c in children:
             if isinstance(c, str):
                 if c.strip():
                     own.update(" ".join(c.split()))
-                    some = True
+                    some[-1] = True
             elif c.tag not in RAW and not c.noise:
                 styles.append(c.style)
-                inner = walk(c, main or (c.path if c.main else 0))
-                if inner is not None:
-                    own.update(inner.digest())
-                    some = True
-        if some and e.tag in BLOCK:
-            _, content, presentation = found.setdefault(e.path, (main, xxhash.xxh64(), xxhash.xxh64()))
-            content.update(own.digest())
-            presentation.update("\n".join(styles) + "\0")
-        return own if some else None
-
-    found: dict[int, tuple[int, xxhash.xxh64, xxhash.xxh64]] = {}
-    walk(parse(page), 0)
+                stack.append((c, iter(c.children), main or (c.path if c.main else 0), xxhash.xxh64(), []))
+                some.append(False)
+                break
+        else:
+            stack.pop()
+            if some.pop():
+                if e.tag in BLOCK:
+                    _, content, presentation = found.setdefault(e.path, (main, xxhash.xxh64(), xxhash.xxh64()))
+                    content.update(own.digest())
+                    presentation.update("\n".join(styles) + "\0")
+                if stack:
+                    stack[-1][3].update(own.digest())
+                    some[-1] = True
     return ((path, main, content.intdigest(), presentation.intdigest()) for path, (main, content, presentation) in found.items())
 
 
@@ -186,7 +199,7 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
+def style_tree(pages: DataFrame, prior: int = PRIOR_PAGES) -> DataFrame:
     """(host, path, main, pages, importance) of the merged trees; ``pages``: (host, html), ``main`` as in style_nodes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,29 +216,32 @@ def style_tree(pages: DataFrame) -> DataFrame:
     counted = pages.mapInArrow(count, "host string, path long, main long, kind int, feature long, n long").groupBy("host", "path", "main", "kind", "feature").agg(F.sum("n").alias("n"))
     entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
     by_kind = counted.groupBy("host", "path", "main", "kind").agg(F.sum("n").alias("m"), F.when(F.sum("n") > 1, entropy / F.log(F.sum("n"))).otherwise(1.0).alias("e"))
-    return by_kind.groupBy("host", "path", "main").agg(F.max("m").alias("pages"), F.sum(F.col("e") * F.when(F.col("kind") == 1, PRESENTATION).otherwise(1 - PRESENTATION)).alias("importance"))
+    both = F.sum(F.col("e") * F.when(F.col("kind") == 1, PRESENTATION).otherwise(1 - PRESENTATION))
+    pages_ = F.max("m")
+    return by_kind.groupBy("host", "path", "main").agg(pages_.alias("pages"), ((both * pages_ + prior) / (pages_ + prior)).alias("importance"))
 
 
-def unimportant(tree: DataFrame, importance: float = IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def unimportant(tree: DataFrame, importance: float = IMPORTANCE) -> DataFrame:
     """(host, path) of the branches to remove; a main element is never one."""
-    judged = tree.filter((F.col("importance") < importance) & (F.col("pages") >= least_pages) & (F.col("path") != F.col("main")))
+    judged = tree.filter((F.col("importance") < importance) & (F.col("path") != F.col("main")))
     mains = tree.filter("path = main").select(F.col("host").alias("_host"), F.col("path").alias("_main"), F.col("importance").alias("around"))
     inside = judged.filter("main != 0").join(mains, (F.col("host") == F.col("_host")) & (F.col("main") == F.col("_main")))
     inside = inside.filter(F.col("importance") * MAIN < F.col("around") * importance)
     return judged.filter("main = 0").select("host", "path").union(inside.select("host", "path"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", importance: float = IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", importance: float = IMPORTANCE, prior: int = PRIOR_PAGES) -> DataFrame:
     """One row per page: id, url, text, n_chars (code points of the text).
 
     The text is that of the page without branches marked as navigation, page header, footer, sidebar, notice, advert,
-    form or comment, and without branches of low importance on the host, main elements in these excepted. References are decoded, white space is one space, blocks are joined by one
-    space. Null html counts as empty and gives an empty text; pages without a host are one site. Repeated rows are
+    form or comment, and without branches of low importance on the host, main elements in these excepted. References
+    are decoded, white space is one space, blocks are joined by one space. The fewer pages a branch is on, the less its
+    sameness counts (PRIOR_PAGES). Null html counts as empty and gives an empty text; pages without a host are one site. Repeated rows are
     pages each for itself; other columns are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    tree = table(style_tree(rows.select("host", "html")))
-    low = unimportant(tree, importance, least_pages).groupBy("host").agg(F.collect_list("path").alias("low"))
+    tree = table(style_tree(rows.select("host", "html"), prior))
+    low = unimportant(tree, importance).groupBy("host").agg(F.collect_list("path").alias("low"))
     low = table(low)
     few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_PATHS
 
