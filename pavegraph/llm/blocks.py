@@ -17,36 +17,35 @@ from pyspark.sql import functions as F
 
 from .common import blocks_for
 
-#: Documents in a block.
-BLOCK_ROWS = 1_500
-#: Distinct hashes that a bucket gets on average, at most about.
+#: Bytes of text in a block, about, and distinct hashes that a bucket gets, at most about, of an input of up to
+#: GROW_BYTES. Both grow with the root of a larger input, so that bodies exchanged do not get ever smaller, up to
+#: GROW_MOST times.
+BLOCK_BYTES = 5 << 20
 BUCKET_HASHES = 400_000
+GROW_BYTES = 1 << 30
+GROW_MOST = 8
 
 PACKED = "bucket int, block int, body binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("body", pa.binary())])
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """(block, uid, id, text) dealt by block, and the number of blocks; every later step on blocks shares this shuffle."""
-    n = blocks_for(docs.count(), block_rows)
+def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> tuple[DataFrame, int, float]:
+    """(block, uid, id, text) dealt by block, the bytes of all texts, and how much blocks and buckets grow.
+
+    Every later step on blocks shares this shuffle. Blocks are counted by bytes of text, so long texts make more of them.
+    """
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    grow = min(GROW_MOST, max(1.0, (n_bytes / GROW_BYTES) ** 0.5))
+    n = blocks_for(n_bytes, int((block_bytes or BLOCK_BYTES) * grow))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("uid", "id"), F.lit(n)).cast("int"))
-    return rows.select("block", "uid", "id", "text").repartition("block"), n
+    return rows.select("block", "uid", "id", "text").repartition("block"), n_bytes, grow
 
 
 def buckets_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
 
-def split(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Bucket and indices of the ``hashes`` that go there, in order of the hashes' own order."""
-    bucket = buckets_of(hashes, n)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), order[edges[b] : edges[b + 1]]
-
-
 def packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows)) or [[], [], []]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKED_ARROW.types)], schema=PACKED_ARROW)
@@ -82,20 +81,22 @@ def shared_hashes(sent: DataFrame, hot_blocks: int | None = None) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(decide, PACKED)
 
 
-def block_body(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes, those in several places first, and a flag for these."""
-    values, counts = np.unique(hashes, return_counts=True)
-    many = counts > 1
-    return np.r_[values[many], values[~many]], np.r_[np.ones(many.sum(), bool), np.zeros((~many).sum(), bool)]
-
+def send(block: int, hashes: np.ndarray, n_buckets: int, route: np.ndarray | None = None) -> pa.Table:
+    """The packed rows by which a block asks for its hashes, each distinct one once.
 
-def send(block: int, hashes: np.ndarray, n_buckets: int) -> pa.Table:
-    """The packed rows by which a block asks for its hashes."""
-    values, several = block_body(hashes)
+    Equal hashes meet in a bucket only if their ``route``, a second hash, leads them there too.
+    """
+    bucket = buckets_of(hashes if route is None else route, n_buckets)
+    order = np.lexsort((hashes, bucket))
+    values, bucket = hashes[order], bucket[order]
+    at = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (bucket[1:] != bucket[:-1])][: len(values)])
+    several = np.diff(np.r_[at, len(values)]) > 1
+    values, bucket = values[at], bucket[at]
     rows = []
-    for bucket, at in split(values, n_buckets):
-        v, s = values[at], several[at]
-        rows.append((bucket, block, np.r_[np.uint64(s.sum()), v[s], v[~s]].tobytes()))
+    edges = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        v, s = values[a:b], several[a:b]
+        rows.append((int(bucket[a]), block, np.r_[np.uint64(s.sum()), v[s], v[~s]].tobytes()))
     return packed(rows)
 
 
@@ -105,6 +106,23 @@ def received(table: pa.Table, hot: bool = False) -> np.ndarray:
     return np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in bodies])) if bodies else np.empty(0, np.uint64)
 
 
+def received_by_bucket(table: pa.Table) -> dict[int, np.ndarray]:
+    return {k: np.sort(np.frombuffer(b, np.uint64)) for k, b in zip(table.column("bucket").to_pylist(), table.column("body").to_pylist())}
+
+
+def isin_routed(hashes: np.ndarray, route: np.ndarray, n_buckets: int, answers: dict[int, np.ndarray]) -> np.ndarray:
+    """Whether the bucket that each hash was sent to has answered with it."""
+    bucket = buckets_of(route, n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.r_[np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)]
+    out = np.zeros(len(hashes), bool)
+    for a, b in zip(edges[:-1], edges[1:]):
+        mine = order[a:b]
+        if (answered := answers.get(int(bucket[mine[0]]))) is not None:
+            out[mine] = isin_sorted(hashes[mine], answered)
+    return out
+
+
 def isin_sorted(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(values), bool)

@@ -13,6 +13,8 @@ _random = np.random.default_rng(20_240_601)
 #: A random number for each byte, and the odd base of the polynomial.
 BYTE = _random.integers(0, 2**64, 256, np.uint64)
 BASE = U(0x9E3779B97F4A7C15)
+#: Another odd base, for hashes independent of the first.
+OTHER = U(0xD6E8FEB86659FD93)
 #: Bytes of texts that are hashed together.
 STEP = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -72,10 +74,10 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)  # of each text, and the count at the end
 
 
-def rolled(values: np.ndarray, k: int) -> np.ndarray:
+def rolled(values: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
     """Hash of each run of ``k`` numbers, by its first place; by doubling, so any k takes few passes."""
     out, length, power = None, 0, None
-    block, size, base = values, 1, BASE
+    block, size = values, 1
     rest = k
     while rest:
         if rest & 1:

@@ -3,7 +3,8 @@
 A difference cover D of period V holds two members at every distance modulo V. Runs of K words are hashed only where
 their place in the document is in D modulo V; of two equal windows of K + V - 1 words, wherever they stand, some shift
 puts both starts on places of D, so they share an aligned anchor. Only windows around shared anchors are then extended
-to full length and compared.
+to full length and compared: by a 64-bit hash, in a bucket that a second, independent hash of the window names. There
+are buckets in proportion to the text, so that the bits of both together grow with it.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import BLOCK_ROWS, BUCKET_HASHES, blocked, isin_sorted, packed, per_block, received, send, shared_hashes, PACKED
+from .blocks import BUCKET_HASHES, PACKED, blocked, isin_routed, isin_sorted, packed, per_block, received, received_by_bucket, send, shared_hashes
 from .common import blocks_for
-from .hashing import Words, groups, rolled, utf8
+from .hashing import OTHER, Words, groups, rolled, utf8
 
 WINDOW = 35
 #: A perfect difference set: all differences of its members modulo 21 are different. Fixed values.
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
-ANCHORS_PER_DOCUMENT = 150
+#: Bytes of text for each anchor, at least about: a word and its space are six, and five of 21 words begin one.
+ANCHOR_BYTES = 20
 
 
 class Placed:
@@ -40,6 +42,10 @@ class Placed:
         ok = (self.size[: len(h)] >= room) & (self.place[: len(h)] + k <= self.size[: len(h)])
         return np.flatnonzero(ok), h
 
+    def routes(self, k: int) -> np.ndarray:
+        """A second hash of all runs of ``k`` words."""
+        return rolled(self.words.hashes, k, OTHER)
+
 
 def _chunks(table: pa.Table):
     column = table.column("text").combine_chunks()
@@ -63,7 +69,7 @@ def repeated_windows(rows: DataFrame, n_buckets: int, window: int = WINDOW) -> D
         return send(block, np.concatenate(found), n_buckets) if found else packed([])
 
     def extend(block: int, docs: pa.Table, got: pa.Table) -> pa.Table:
-        shared, found = received(got), []
+        shared, found, routes = received(got), [], []
         for *_, own, data in _chunks(docs) if len(shared) else ():
             p = Placed(own, data)
             starts, h = _anchors(p, window)
@@ -72,14 +78,17 @@ def repeated_windows(rows: DataFrame, n_buckets: int, window: int = WINDOW) -> D
             edge = np.zeros(len(p.place) + 1, np.int64)
             np.add.at(edge, starts - np.minimum(PERIOD - 1, p.place[starts]), 1)
             np.add.at(edge, starts + 1, -1)
-            found.append(h[full[edge.cumsum()[full] > 0]])
-        return send(block, np.concatenate(found), n_buckets) if found else packed([])
+            full = full[edge.cumsum()[full] > 0]
+            if len(full):
+                found.append(h[full])
+                routes.append(p.routes(window)[full])
+        return send(block, np.concatenate(found), n_buckets, np.concatenate(routes)) if found else packed([])
 
     anchors = shared_hashes(per_block(rows, None, ask, PACKED))
     return shared_hashes(per_block(rows, anchors, extend, PACKED))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_bytes: int | None = None) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 and, with ``keep_text``, the words kept as text.
 
     Words are runs without ASCII white space, unchanged. A word goes if a window of ``window`` words over it stands
@@ -89,19 +98,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     if window <= PERIOD:
         raise ValueError("the window must be longer than the cover's period")
-    rows, n_blocks = blocked(docs, id_col, text_col, block_rows)
-    n_buckets = blocks_for(n_blocks * block_rows * ANCHORS_PER_DOCUMENT, BUCKET_HASHES)
+    rows, n_bytes, grow = blocked(docs, id_col, text_col, block_bytes)
+    n_buckets = blocks_for(n_bytes // ANCHOR_BYTES, int(BUCKET_HASHES * grow))
     repeated = repeated_windows(rows, n_buckets, window)
     names = [id_col, "n_words", "n_removed", "kept_sha256", *["text"] * keep_text]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * keep_text]
 
     def finish(_: int, docs_: pa.Table, got: pa.Table) -> pa.Table:
-        shared, out = received(got), []
+        answers, out = received_by_bucket(got), []
+        shared = np.unique(np.concatenate([*answers.values()])) if answers else np.empty(0, np.uint64)
         ids = docs_.column("id").to_pylist()
         for first, last, own, data in _chunks(docs_):
             p = Placed(own, data)
             full, h = p.hashes(window, window)
             hit = full[isin_sorted(h[full], shared)]
+            if len(hit):
+                hit = hit[isin_routed(h[hit], p.routes(window)[hit], n_buckets, answers)]
             edge = np.zeros(len(p.place) + 1, np.int64)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + window, -1)

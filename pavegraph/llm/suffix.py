@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import BLOCK_ROWS, BUCKET_HASHES, PACKED, blocked, buckets_of, isin_sorted, packed, per_block, received, send, shared_hashes
+from .blocks import BUCKET_HASHES, PACKED, blocked, buckets_of, isin_sorted, packed, per_block, received, send, shared_hashes
 from .common import blocks_for
 from .hashing import BYTE, groups, rolled, utf8
 from .sais import common_prefixes, suffix_array
 
 LENGTH = 100
 ANCHOR = 32
-ANCHORS_PER_DOCUMENT = 95
+#: Bytes of text for each anchor, about: half the places that a window can choose from.
+ANCHOR_BYTES = 35
 #: Fragments with a shared anchor in a shard, at most about, were all anchors shared.
 SHARD_FRAGMENTS = 100_000
 #: An anchor that more blocks than this share deals out its windows one by one, by their own hash.
@@ -195,7 +196,7 @@ def _decide(table: pa.Table) -> pa.Table:
     return packed([(shard, int(block[by[a]]), np.stack([uid[by[a:b]], low[by[a:b]], high[by[a:b]]]).astype(np.int64).tobytes()) for a, b in zip(edges[:-1], edges[1:])])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_rows: int = BLOCK_ROWS, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_bytes: int | None = None, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, the bytes kept as text.
 
     Every byte goes that is covered by a 100-byte string of the same text's UTF-8 that also starts earlier: in a row of
@@ -203,10 +204,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows of equal id follow each other in reading order, a null id comes first. Removed runs that cut a character leave
     replacement marks in the kept text, not in its digest. Other columns are ignored; an empty table gives no rows.
     """
-    rows, n_blocks = blocked(docs, id_col, text_col, block_rows)
-    n_docs = n_blocks * block_rows
-    asked = per_block(rows, None, _ask(blocks_for(n_docs * ANCHORS_PER_DOCUMENT, BUCKET_HASHES)), PACKED)
-    sent = per_block(rows, shared_hashes(asked, hot_blocks), _cut_out(blocks_for(n_docs * ANCHORS_PER_DOCUMENT, SHARD_FRAGMENTS)), PACKED)
+    rows, n_bytes, grow = blocked(docs, id_col, text_col, block_bytes)
+    anchors = n_bytes // ANCHOR_BYTES
+    asked = per_block(rows, None, _ask(blocks_for(anchors, int(BUCKET_HASHES * grow))), PACKED)
+    sent = per_block(rows, shared_hashes(asked, hot_blocks), _cut_out(blocks_for(anchors, SHARD_FRAGMENTS)), PACKED)
     decided = sent.groupBy("bucket").applyInArrow(_decide, PACKED)
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text]
     types = [pa.int64()] * 4 + [pa.string()] * (1 + keep_text)
