@@ -2,14 +2,15 @@
 
 Pre-tokens (a run of space marks with the characters up to the next mark) of a batch are held as arrays, one per
 length. In each round every sequence of an array merges its pair of lowest rank, leftmost first, and so all of them get
-one symbol shorter together; sequences with no pair left leave the array with their count. A pre-token seen before in
-the same task is looked up.
+one symbol shorter together; sequences with no pair left leave the array with their count. A long pre-token is an array
+of its own, which merges all places of the lowest rank in one round, as long as the new symbol takes part in no pair of
+lower rank than its own: what is left over of the rank would then be next in turn anyway. A pre-token seen before in the
+same task is looked up.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Over this many symbols a pre-token goes through a heap, which needs no array of its length squared.
+#: Over this many symbols a pre-token is an array of its own.
 LONG = 256
 #: Pre-tokens that a task remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -57,7 +58,11 @@ class PieceVocabulary:
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.of_point[ord(p)] = i
-        self.pair = dict(zip(self.keys.tolist(), self.merged.tolist()))
+        #: Merged symbols that a pair of lower rank than their own begins or ends with.
+        self.hasty = np.zeros(self.size + 1, bool)
+        below = self.rank[self.merged]
+        for side in (self.keys // self.span, self.keys % self.span):
+            self.hasty[side[self.rank[side] > below]] = True
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and symbol of each merged pair; NONE where the pair is no piece."""
@@ -67,34 +72,26 @@ class PieceVocabulary:
         symbol = np.where(found, self.merged[at], 0)
         return np.where(found, self.rank[symbol], NONE), symbol
 
-    def count_long(self, symbols: list[int]) -> int:
-        """Symbols left, by a heap of pairs ordered by rank, then place."""
-        n = len(symbols)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), n
-        pair, span, rank, sym = self.pair, self.span, self.rank, symbols[:]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (m := pair.get(sym[i] * span + sym[j])) is not None:
-                heapq.heappush(heap, (int(rank[m]), i, sym[i], sym[j], m))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            if sym[i] != a or after[i] >= n or sym[after[i]] != b:
-                continue
-            j = after[i]
-            sym[i], sym[j] = m, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            alive -= 1
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return alive
+    def count_long(self, symbols: np.ndarray) -> int:
+        """Symbols left of one long sequence."""
+        symbols = symbols.copy()
+        ranks, merged = self.pairs(symbols[:-1], symbols[1:])
+        while len(ranks) and (least := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == least)
+            if self.hasty[merged[at[0]]]:
+                at = at[:1]
+            else:  # of pairs that overlap in a row, every other one from the left
+                new = np.diff(at, prepend=-2) > 1
+                row = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - row) % 2 == 0]
+            symbols[at] = merged[at]
+            symbols = np.delete(symbols, at + 1)
+            ranks, merged = np.delete(ranks, at), np.delete(merged, at)
+            made = at - np.arange(len(at))
+            for side in (made - 1, made):
+                side = side[(side >= 0) & (side < len(ranks))]
+                ranks[side], merged[side] = self.pairs(symbols[side], symbols[side + 1])
+        return len(symbols)
 
     def counts(self, tokens: list[str]) -> list[int]:
         """Tokens of each pre-token; an unknown character counts as its bytes."""
@@ -107,7 +104,7 @@ class PieceVocabulary:
         more = np.where(symbols == self.size, (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF), 0)
         out = np.add.reduceat(more, starts)
         for k in np.flatnonzero(lengths > LONG):
-            out[k] += self.count_long(symbols[starts[k] : starts[k] + lengths[k]].tolist())
+            out[k] += self.count_long(symbols[starts[k] : starts[k] + lengths[k]])
         order = np.argsort(lengths, kind="stable")
         edges = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
         for first, last in zip(edges[:-1], edges[1:]):

@@ -150,7 +150,7 @@ def brute_words(rows, window):
 
 @pytest.mark.parametrize("window", [22, 35])
 def test_substring_dedup(docs, none, window):
-    got = by_id(substring.substring_dedup(docs, window, block_rows=2, keep_text=True))
+    got = by_id(substring.substring_dedup(docs, window, block_bytes=4_000, keep_text=True))
     want = brute_words(ROWS, window)
     assert {k: sorted((r.n_words, r.n_removed, r.kept_sha256) for r in v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert sum(r.n_removed for v in got.values() for r in v) > 0
@@ -176,7 +176,7 @@ def brute_bytes(rows):
 
 @pytest.mark.parametrize("hot", [1_000, 1])
 def test_suffix_dedup(docs, none, hot):
-    got = by_id(suffix.suffix_dedup(docs, block_rows=2, hot_blocks=hot))
+    got = by_id(suffix.suffix_dedup(docs, block_bytes=4_000, hot_blocks=hot))
     assert {k: sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in v) for k, v in got.items()} == {k: sorted(v) for k, v in brute_bytes(ROWS).items()}
     assert suffix.suffix_dedup(none).count() == 0
 
@@ -240,6 +240,18 @@ def test_exact_dedup(docs, none, block):
     assert exact.exact_dedup(none).count() == 0
 
 
+def test_hot_blocks_and_pairs_get_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact, "SAMPLED", 1)
+    monkeypatch.setattr(exact, "HOT_LEAST", 3)
+    copies = [prose(90, 70), prose(90, 70)[:64] + prose(40, 71), "", prose(200, 72)]
+    rows = [(i, copies[i % 4] if i % 3 else prose(20, 800 + i)) for i in range(90)]
+    got = exact.exact_dedup(_table(spark, rows, "hot"), block_bytes=32).collect()
+    ids = defaultdict(list)
+    for i, t in rows:
+        ids[t].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, max(ids[t]), len(ids[t]), i == max(ids[t])) for i, t in rows}
+
+
 # 6 extraction
 
 
@@ -296,6 +308,94 @@ def test_repeated_branches_inside_main_content_go_and_text_outside_stays(spark):
     assert extract.main_text("<article class='comments'>no</article><article class='post'>yes</article>") == "yes"
 
 
+def brute_facts(e, path, main, found):
+    """Text, content and presentation of every path of a page, by recursion and with plain strings."""
+    own, styles = [], []
+    for c in e.children:
+        if isinstance(c, str):
+            own += [" ".join(c.split())] if c.strip() else []
+        elif c.tag not in extract.RAW and not c.noise:
+            styles.append(c.style)
+            inside = (*path, c.style)
+            inner = brute_facts(c, inside, main or (inside if c.main else ()), found)
+            own += [inner] if inner else []
+    if own and e.tag in extract.BLOCK:
+        found.setdefault(path, (main, [], []))[1].append(tuple(own))
+        found[path][2].append(tuple(styles))
+    return tuple(own)
+
+
+def brute_extract(pages):
+    facts = defaultdict(list)
+    for host, html in pages:
+        found = {}
+        brute_facts(extract.parse(html), ("html",), (), found)
+        for path, (main, content, shown) in found.items():
+            facts[host, path].append((main, tuple(content), tuple(shown)))
+
+    def entropy(values):
+        n = Counter(values)
+        return -sum(k / len(values) * np.log(k / len(values)) for k in n.values()) / np.log(len(values)) if len(values) > 1 else 1.0
+
+    weight = {}
+    for key, seen in facts.items():
+        both = 0.8 * entropy([c for _, c, _ in seen]) + 0.2 * entropy([p for *_, p in seen])
+        weight[key] = (both * len(seen) + 8) / (len(seen) + 8)
+
+    def low(host, path):
+        if (host, path) not in weight:
+            return False
+        main = facts[host, path][0][0]
+        if path == main or weight[host, path] >= 0.5 - 1e-12:
+            return False
+        return not main or 2 * weight[host, path] < 0.5 * weight[host, main]
+
+    def text_in(e, host, path, gone):
+        out = ""
+        for c in e.children:
+            if isinstance(c, str):
+                out += "" if gone else c
+            elif c.tag not in extract.RAW and not c.noise:
+                inside = (*path, c.style)
+                inner = text_in(c, host, inside, low(host, inside) or gone and not c.main)
+                out += f" {inner} " if c.tag in extract.BLOCK else inner
+            else:
+                out += " " if c.tag in extract.BLOCK else ""
+        return out
+
+    return [" ".join(text_in(extract.parse(html), host, ("html",), False).split()) for host, html in pages]
+
+
+def test_style_tree_equals_a_plain_one(spark):
+    rng, pages = random.Random(8), []
+    for host, n in (("one", 1), ("two", 2), ("five", 5), ("ten", 10), ("many", 45)):
+        for i in range(n):
+            cells = "".join(f"<td>{rng.randrange(3)}</td>" for _ in range(rng.randrange(4)))
+            parts = [
+                f"<div class='top'>the same {i % 2} on pages</div>",
+                f"<div class='menu{i}x'><p>go</p></div>",
+                f"<article><h1>{prose(3, i)}</h1><p>{prose(12, 10 * i)} <b>x</b></p><div class='by'>written by the staff</div><ul><li>{rng.choice('ab')}</li><li>all rights</li></ul></article>",
+                f"<table><tr>{cells}</tr></table>" if rng.random() < 0.7 else "<p>none</p>",
+                f"<div class='tail'>{'end' if rng.random() < 0.9 else prose(4, i)}</div>",
+            ]
+            pages.append((host, "".join(p for p in parts if rng.random() < 0.85)))
+    table = _table(spark, [(i, f"http://{h}/", t) for i, (h, t) in enumerate(pages)], "plain", "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract(table).collect()}
+    want = brute_extract(pages)
+    assert [got[i] for i in range(len(pages))] == want
+    kept = [extract.main_text(t) for _, t in pages]
+    inside = [a != b and "written by the staff" in b for a, b in zip(want, kept)]
+    assert sum(inside) > 20 and sum(a != b for a, b in zip(want, kept)) > 30  # the tree decides, inside articles too
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 50_000 + "core" + "</div>" * 50_000
+    odd = "<b>" * 20_000 + "<p>x" * 3 + "</i>" * 20_000 + "</p>" * 20_000
+    rows = [(1, "http://a/", deep), (2, "http://a/", odd), (3, "http://b/", "<span>" * 30_000 + "end")]
+    table = _table(spark, rows, "deep", "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract.extract(table).collect()} == {1: "core", 2: "x x x", 3: "end"}
+
+
 # 7 near duplicates
 
 
@@ -350,7 +450,7 @@ def test_rows_without_id_keep_the_links_of_their_text(spark):
 
 
 def test_group_of_near_copies_keeps_every_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 10)
+    monkeypatch.setattr(minhash, "PART_TEXTS", 10)
     monkeypatch.setattr(minhash, "COLUMNS", 64)
     base, rng = prose(150, 40).split(" "), random.Random(1)
     rows = []
@@ -362,6 +462,28 @@ def test_group_of_near_copies_keeps_every_link(spark, monkeypatch):
     assert classes(minhash.near_classes(_table(spark, rows, "near"))) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 22, 3_000])
+def test_no_link_is_lost_among_texts_that_are_unlike_their_leader(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(minhash, "PART_TEXTS", 20)
+    monkeypatch.setattr(minhash, "PART_BYTES", part_bytes)
+    rng, words = random.Random(2), prose(120, 41).split(" ")
+    families = []
+    for _ in range(12):  # families share so much that bands chain them, but not enough to be near
+        w = words[:]
+        for k in rng.sample(range(len(w)), 6):
+            w[k] = f"f{rng.randrange(10**6)}"
+        families.append(w)
+    rows = []
+    for i in range(150):
+        w = families[i % 12][:]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1_000 + i, prose(60, 700 + i)) for i in range(60)]
+    got = classes(minhash.near_classes(_table(spark, rows, "chains")))
+    assert got == brute_classes(rows) and 12 < len(got) < 180
+
+
 def test_darts_estimate_weighted_similarity():
     key = np.arange(1, 400, dtype=np.uint64)
     w = np.ones(399)
@@ -410,6 +532,43 @@ def test_decontamination(spark, docs, none):
     assert decontam.decontaminate(docs, bench.filter("item_id = -1")).filter("contaminated or n_hit > 0").count() == 0
 
 
+def test_decontamination_with_few_terms_and_many_windows(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i, line(40)) for i in range(60)] + [(100, "a"), (101, "b b")]
+    rows = [(i, line(80)) for i in range(30)] + [(50 + i, "x " + items[i][1] + " y") for i in range(5)] + [(90, "b"), (91, None)]
+    corpus, bench = _table(spark, rows, "few"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.decontaminate(corpus, bench)
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got.collect()) == brute_hits(rows, items)
+
+
+def brute_near(rows, items, within):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text(t).lower())
+    docs = [(doc, split(t)) for doc, t in rows]
+    cf = Counter(w for _, d in docs for w in d)
+    out = set()
+    for item, t in items:
+        w = split(t)
+        k = min(10, len(w))
+        for i in range(len(w) - k + 1 if w else 0):
+            terms = set(w[i : i + k])
+            rare = min(terms, key=lambda x: (cf[x], x.encode()))
+            out |= {(doc, str(item), p) for doc, d in docs for p, x in enumerate(d) if x == rare and terms <= set(d[max(0, p - within) : p + within + 1])}
+    return out
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice(WORDS[:25]) for _ in range(n))
+    rows, items = [(i, line(120)) for i in range(40)] + [(70, None)], [(i, line(rng.choice([1, 2, 3, 4, 12]))) for i in range(30)]
+    corpus, bench = _table(spark, rows, "close"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontam.proximity_matches(corpus, bench, within=15).collect()}
+    assert got == brute_near(rows, items, 15) and len(got) > 20
+    counts = {r.doc_id: r.n_near for r in decontam.decontaminate(corpus, bench).collect()}
+    near = brute_near(rows, items, 20)
+    assert counts == {doc: len({i for d, i, _ in near if d == doc}) for doc, _ in rows}
+
+
 def test_proximity(spark):
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
     near = " ".join(["filler"] + words[::-1] + ["end"])
@@ -472,4 +631,5 @@ def test_token_counts_of_random_strings():
     path = public_tokenizers.path("piece_bpe_32k.model")
     model, counter, rng = sentencepiece.SentencePieceProcessor(model_file=path), tokens.Counter(path), random.Random(3)
     texts = ["".join(rng.choices("abe the inß▁  \n한é😀①<s>tion", k=rng.randint(0, 900))) for _ in range(300)]
+    texts += ["".join(rng.choices(letters, k=2_000)) for letters in ("ab", "aeinrst", "the ing".replace(" ", ""), "x", "er", "=-", "éß", "0123456789", "abcdefghijklmnopqrstuvwxyz") for _ in range(4)]
     assert counter(texts) == [len(model.encode(t)) for t in texts]
