@@ -75,16 +75,38 @@ class Index:
         discard(self.terms, self.items, self.postings, self.frequencies)
 
 
+def ranked(terms: str = "terms") -> Column:
+    """The places of a window from its rarest term on, as structs (cf, tid, at)."""
+    return F.array_sort(F.transform(terms, lambda x: F.struct(x["cf"].alias("cf"), x["tid"].alias("tid"), x["at"].alias("at"))))
+
+
+def _only(postings: DataFrame, tids: DataFrame, name: str) -> DataFrame:
+    """The postings of the terms in column ``name`` of a written table; what is left is all that a shuffle moves."""
+    return postings.join(tids.select(F.col(name).alias("tid")).filter("tid is not null").distinct(), "tid", "left_semi")
+
+
 def phrase_matches(index: Index) -> DataFrame:
-    """(uid, item, first, last): runs of words that hold at least one window of the item."""
-    by_anchor = index.windows().select("iid", "width", F.col("best.tid").alias("tid"), F.col("best.at").alias("anchor"), F.explode("terms").alias("x"))
-    anchors = table(by_anchor.groupBy("iid", "width", "tid", "anchor").agg(F.sort_array(F.collect_set(F.struct("x.at", "x.tid"))).alias("around")))
-    postings = index.postings.select("uid", "tid", "pos")
-    aligned = postings.join(anchors, "tid").select("uid", "iid", "width", (F.col("pos") - F.col("anchor")).alias("shift"), "around")
-    aligned = aligned.groupBy("uid", "iid", "width", "shift").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around"))
-    wanted = aligned.select("uid", "iid", "width", "shift", F.explode("around").alias("x")).select("uid", "iid", "width", "shift", F.col("x.at").alias("at"), F.col("x.tid").alias("tid"), (F.col("shift") + F.col("x.at")).alias("pos"))
+    """(uid, item, first, last): runs of words that hold at least one window of the item.
+
+    A posting of a window's rarest term stays only if the second rarest stands at its offset; then all words around it
+    are looked up.
+    """
+    postings = index.postings.filter(F.col("tid") != END).select("uid", "tid", "pos")
+    windows = index.windows().withColumn("by", ranked()).select(
+        "iid", "width", F.col("by")[0]["tid"].alias("tid"), F.col("by")[0]["at"].alias("anchor"), F.get("by", F.lit(1))["tid"].alias("tid2"), F.get("by", F.lit(1))["at"].alias("at2"), "terms"
+    )
+    around = F.array_distinct(F.transform(F.flatten(F.collect_list("terms")), lambda x: F.struct(x["at"].alias("at"), x["tid"].alias("tid"))))
+    pairs = table(windows.groupBy("iid", "width", "tid", "anchor", "tid2", "at2").agg(around.alias("around")).withColumn("pair", F.monotonically_increasing_id()))
+    shift = F.col("pos") - F.col("anchor")
+    first = postings.join(pairs.select("pair", "tid", "anchor", "tid2", "at2"), "tid").select("uid", "pair", shift.alias("shift"), "tid2", (shift + F.col("at2")).alias("pos2"))
+    second = _only(postings, pairs, "tid2").select("uid", F.col("tid").alias("tid2"), F.col("pos").alias("pos2"))
+    met = first.filter("tid2 is not null and pos2 >= 0").join(second, ["uid", "tid2", "pos2"]).select("uid", "pair", "shift")
+    aligned = table(met.union(first.filter("tid2 is null").select("uid", "pair", "shift")))
+    whole = aligned.join(pairs.select("pair", "iid", "width", "around"), "pair").groupBy("uid", "iid", "width", "shift").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around"))
+    wanted = whole.select("uid", "iid", "width", "shift", F.explode("around").alias("x")).select("uid", "iid", "width", "shift", F.col("x.at").alias("at"), F.col("x.tid").alias("tid"), (F.col("shift") + F.col("x.at")).alias("pos"))
     wanted = table(wanted.filter("pos >= 0"))
-    agree = postings.join(wanted, ["uid", "tid", "pos"])  # a posting is one row
+    there = postings.join(table(aligned.select("uid").distinct()), "uid", "left_semi")
+    agree = there.join(wanted, ["uid", "tid", "pos"])  # a posting is one row
     line = Window.partitionBy("uid", "iid", "shift").orderBy("at")
     runs = agree.withColumn("run", F.col("at") - F.row_number().over(line)).groupBy("uid", "iid", "width", "shift", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     names = index.items.select("iid", "item").distinct()
@@ -94,29 +116,31 @@ def phrase_matches(index: Index) -> DataFrame:
 def near_matches(index: Index, within: int = NEAR) -> DataFrame:
     """(uid, item, pos): places of a window's rarest term with all the window's terms at most ``within`` words away, in any order.
 
-    The lists are intersected from the rarest terms on: first with the postings of the second term, then with the rest.
+    The lists are intersected from the rarest terms on: with the second, then the third, then all the rest.
     """
-    terms = F.array_distinct(F.transform(F.array_sort(F.transform("terms", lambda x: F.struct(x["cf"].alias("cf"), x["tid"].alias("tid")))), lambda x: x["tid"]))
-    sets = table(index.windows().select("iid", terms.alias("tids")).distinct().withColumn("wid", F.monotonically_increasing_id()))
+    tids = F.array_distinct(F.transform(ranked(), lambda x: x["tid"]))
+    sets = table(index.windows().select("iid", tids.alias("tids")).distinct().withColumn("wid", F.monotonically_increasing_id()))
+    sets = sets.withColumns({f"t{k}": F.get("tids", F.lit(k)) for k in range(3)})
     postings = index.postings.filter(F.col("tid") != END).select("uid", "tid", "pos")
-    cell = F.floor(F.col("pos") / within).cast("int")
-    there = postings.select("uid", "tid", F.col("pos").alias("other"), cell.alias("cell"))
+    width = 10 * within  # of a cell; most surroundings lie in one
 
-    def close(places: DataFrame) -> DataFrame:
+    def close(places: DataFrame, there: DataFrame) -> DataFrame:
         """Of ``places`` (uid, wid, pos, tid), those with a posting of tid close by."""
-        met = places.withColumn("cell", F.explode(F.sequence(cell - 1, cell + 1))).join(there, ["uid", "tid", "cell"])
+        span = F.sequence(F.floor((F.col("pos") - within) / width), F.floor((F.col("pos") + within) / width))
+        celled = there.select("uid", "tid", F.col("pos").alias("other"), F.floor(F.col("pos") / width).alias("cell"))
+        met = places.withColumn("cell", F.explode(span)).join(celled, ["uid", "tid", "cell"])
         return met.filter(F.abs(F.col("other") - F.col("pos")) <= within).select("uid", "wid", "pos", "tid").distinct()
 
-    first = postings.join(sets.select("wid", F.col("tids")[0].alias("tid"), F.get("tids", F.lit(1)).alias("second")), "tid").select("uid", "wid", "pos", "second")
-    first = table(first)
-    alone = first.filter("second is null").select("uid", "wid", "pos")
-    two = table(close(first.filter("second is not null").select("uid", "wid", "pos", F.col("second").alias("tid"))).select("uid", "wid", "pos"))
-    rest = two.join(sets.select("wid", F.explode(F.slice("tids", 3, WINDOW)).alias("tid")), "wid")
-    seen = close(rest).groupBy("uid", "wid", "pos").agg(F.count(F.lit(1)).alias("seen"))
-    needed = sets.select("wid", (F.size("tids") - 2).alias("needed"))
-    whole = two.join(needed, "wid").join(seen, ["uid", "wid", "pos"], "left").filter(F.coalesce("seen", F.lit(0)) == F.col("needed")).select("uid", "wid", "pos")
+    left = postings.join(sets.select("wid", F.col("t0").alias("tid"), F.size("tids").alias("n")), "tid").select("uid", "wid", "pos", "n")
+    for k in (1, 2):
+        asked = left.filter(F.col("n") > k).join(sets.select("wid", F.col(f"t{k}").alias("tid")), "wid")
+        left = table(close(asked, _only(postings, sets, f"t{k}")).select("uid", "wid", "pos").join(sets.select("wid", F.size("tids").alias("n")), "wid").union(left.filter(F.col("n") <= k).select("wid", "uid", "pos", "n")).select("uid", "wid", "pos", "n"))
+    rest = left.filter("n > 3").join(sets.select("wid", F.explode(F.slice("tids", 4, WINDOW)).alias("tid")), "wid").select("uid", "wid", "pos", "tid")
+    there = postings.join(table(left.select("uid").distinct()), "uid", "left_semi")
+    seen = close(table(rest), there).groupBy("uid", "wid", "pos").agg(F.count(F.lit(1)).alias("seen"))
+    whole = left.join(seen, ["uid", "wid", "pos"], "left").filter(F.coalesce("seen", F.lit(0)) == F.greatest(F.col("n") - 3, F.lit(0)))
     names = index.items.select("iid", "item").distinct()
-    return alone.union(whole).join(sets.select("wid", "iid"), "wid").join(names, "iid").select("uid", "item", "pos").distinct()
+    return whole.join(sets.select("wid", "iid"), "wid").join(names, "iid").select("uid", "item", "pos").distinct()
 
 
 def indexed(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> Index:
