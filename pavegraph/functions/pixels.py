@@ -33,6 +33,45 @@ def class_of_colour(rgb: Column) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, PALETTE)), rgb), F.lit(0)) - 1
 
 
+#: The grey of a filler image. Fixed value.
+GRAY = 50.0
+
+
+def inverted(value: Column) -> Column:
+    return F.lit(255) - value
+
+
+def flipped(place: Column, size: int) -> Column:
+    """The row or column of a pixel in the mirrored image."""
+    return F.lit(size - 1) - place
+
+
+def raw_id(train_id: Column) -> Column:
+    """The label in files of a class in training."""
+    return train_id + 1
+
+
+def train_id(raw: Column, known: dict[int, int], ignore: int = 255) -> Column:
+    """The class in training of a label in files; ``ignore`` for others, class 0 where there is no label."""
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return F.coalesce(F.when(raw.isNull(), F.lit(0)), F.try_element_at(table, raw), F.lit(ignore))
+
+
+def has_alpha(channels: Column) -> Column:
+    return channels == 4
+
+
+def is_transparent(alphas: Column) -> Column:
+    """Whether any of an image's alpha values is less than opaque."""
+    return F.exists(alphas, lambda a: a < 255)
+
+
+def flattened(value: Column, alpha: Column, ground: float = GRAY) -> Column:
+    """A colour laid on an opaque ground by its alpha, rounded half up."""
+    share = alpha / F.lit(255.0)
+    return F.floor(value * share + F.lit(ground) * (F.lit(1.0) - share) + F.lit(0.5))
+
+
 def blended(a: Column, b: Column, share: float) -> Column:
     """Rounded half up."""
     return F.floor(F.lit(1 - share) * a + F.lit(share) * b + F.lit(0.5))

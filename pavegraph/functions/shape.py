@@ -26,7 +26,8 @@ def ring_area(points: Column) -> Column:
 
 
 def is_closed(points: Column) -> Column:
-    return (F.size(points) >= 4) & (F.element_at(points, 1) == F.element_at(points, -1))
+    a, b = F.element_at(points, 1), F.element_at(points, -1)
+    return (F.size(points) >= 4) & (a["x"] == b["x"]) & (a["y"] == b["y"])
 
 
 def linearity(points: Column) -> Column:
@@ -99,5 +100,16 @@ def corner_angles(vertices: DataFrame, key: str = "geom_id") -> DataFrame:
     return around.select(key, "vtx_no", "x", "y", F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))).alias("angle"))
 
 
+def corner_distances(vertices: DataFrame, key: str = "geom_id", straight: float = 170.0) -> DataFrame:
+    """(key, mean_distance, deviation) of the corners of each ring from its centroid.
+
+    A ring without corners counts all its vertices, which are as good as on a circle, and deviates by nothing.
+    """
+    at = corner_angles(vertices, key).join(vertex_metrics(vertices, key).select(key, "cx", "cy"), key)
+    d = F.sqrt(F.pow(F.col("x") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("cy"), F.lit(2.0)))
+    corner = F.when(F.col("angle") <= straight, d)
+    return at.groupBy(key).agg(F.coalesce(F.avg(corner), F.max(d)).alias("mean_distance"), F.coalesce(F.stddev_pop(corner), F.lit(0.0)).alias("deviation"))
+
+
 def is_right_angle(angle: Column) -> Column:
     return angle.between(80, 100) | angle.between(260, 280)

@@ -52,14 +52,16 @@ def stitch_index(tiles: DataFrame, k: int, height: int) -> DataFrame:
 def stitch_pixels(pixels: DataFrame, tiles: DataFrame, k: int, size: int) -> DataFrame:
     """Pixels (tile, r, c, v) in coordinates of their super-tile; pixels of tiles without data are 0.
 
-    ``tiles`` (idd, col, row) is the whole grid, joined by tile number.
+    ``tiles`` (idd, col, row) is the whole grid, joined by tile number; only tiles without data are filled.
     """
-    canvas = tiles.crossJoin(tiles.sparkSession.range(size * size).select(F.floor(F.col("id") / size).cast("int").alias("r"), F.pmod("id", F.lit(size)).cast("int").alias("c")))
-    full = canvas.join(pixels.withColumnRenamed("tile", "idd"), ["idd", "r", "c"], "left")
-    return full.select(
+    placed = pixels.withColumnRenamed("tile", "idd").join(tiles, "idd").select("col", "row", F.col("r").cast("int"), F.col("c").cast("int"), "v")
+    missing = tiles.join(pixels.select(F.col("tile").alias("idd")).distinct(), "idd", "left_anti")
+    blank = missing.select("col", "row", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("i"))
+    blank = blank.select("col", "row", F.floor(F.col("i") / size).cast("int").alias("r"), F.pmod("i", F.lit(size)).cast("int").alias("c"), F.lit(0).alias("v"))
+    return placed.unionByName(blank).select(
         F.floor(F.col("col") / k).alias("big_col"), F.floor(F.col("row") / k).alias("big_row"),
         (F.pmod("row", F.lit(k)) * size + F.col("r")).alias("r"), (F.pmod("col", F.lit(k)) * size + F.col("c")).alias("c"),
-        F.coalesce("v", F.lit(0)).alias("v"),
+        "v",
     )
 
 

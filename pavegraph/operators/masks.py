@@ -5,29 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-
-
-def pixel_key(width: int = 1 << 12) -> Column:
-    return (F.col("tile") * width + F.col("r")) * width + F.col("c")
-
-
-def mask_components(px: DataFrame, width: int = 1 << 12) -> DataFrame:
-    """(tile, r, c, v, component): 4-connected runs of one value, named by their first pixel's number.
-
-    Links within a row or column come from windows, so no pixel is joined with all others of its tile.
-    """
-    keyed = px.withColumn("k", pixel_key(width))
-    links = []
-    for fixed, moving, step in (("r", "c", 1), ("c", "r", width)):
-        w = Window.partitionBy("tile", fixed).orderBy(moving)
-        same = (F.lead(moving).over(w) == F.col(moving) + 1) & (F.lead("v").over(w) == F.col("v"))
-        links.append(keyed.withColumn("same", same).filter("same").select(F.col("k").alias("a"), (F.col("k") + step).alias("b")))
-    roots = components(links[0].union(links[1]))
-    return keyed.join(roots, keyed["k"] == roots["node"], "left").select("tile", "r", "c", "v", F.coalesce("root", "k").alias("component"))
+from .polygonize import mask_components
 
 
 def component_areas(px: DataFrame, width: int = 1 << 12) -> DataFrame:
+    """A row for each component with its area and box."""
     return mask_components(px, width).groupBy("component").agg(F.min("tile").alias("tile"), F.min("v").alias("v"), F.count(F.lit(1)).alias("area"), F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("left"), F.max("c").alias("right"))
 
 
@@ -99,6 +81,19 @@ def class_report(hist: DataFrame) -> DataFrame:
     return rows.join(cols, "cls").select("cls", "tp", (p - tp).alias("fp"), (a - tp).alias("fn"), ratio(tp, a + p - tp).alias("iou"), ratio(tp, p).alias("precision"), ratio(tp, a).alias("recall"), ratio(a, F.sum("actual").over(all_)).alias("frequency"))
 
 
+def image_failures(pairs: DataFrame) -> DataFrame:
+    """(cls, tile, fp, fn, fail): wrong pixels of each class in each image, those of ``pairs`` (tile, truth, pred) that differ."""
+    sides = F.array(F.struct(F.col("truth").alias("cls"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("cls"), F.lit(1).alias("p")))
+    wrong = pairs.filter("truth <> pred").select("tile", F.explode(sides).alias("s"))
+    counted = wrong.groupBy(F.col("s.cls").alias("cls"), "tile").agg(F.sum("s.p").alias("fp"), F.count(F.lit(1)).alias("fail"))
+    return counted.select("cls", "tile", "fp", (F.col("fail") - F.col("fp")).alias("fn"), "fail")
+
+
+def image_errors(pairs: DataFrame) -> DataFrame:
+    """(tile, wrong, correct): pixels of each image by whether the prediction is right."""
+    return pairs.groupBy("tile").agg(F.count_if(F.col("truth") != F.col("pred")).alias("wrong"), F.count_if(F.col("truth") == F.col("pred")).alias("correct"))
+
+
 def summary(report: DataFrame) -> DataFrame:
     """(mean_iou, accuracy, mean_recall, weighted_iou) over the classes that occur."""
     return report.select(F.avg("iou").alias("mean_iou"), (F.sum("tp") / F.sum(F.col("tp") + F.col("fn"))).alias("accuracy"), F.avg("recall").alias("mean_recall"), F.sum(F.col("frequency") * F.col("iou")).alias("weighted_iou"))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -20,10 +21,12 @@ def _with(df: DataFrame, column: str, fields: dict[str, object], kernel: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for points in batch.column(at).to_pylist():
-                xy = np.array([(p["x"], p["y"]) for p in points or ()], float).reshape(-1, 2)
-                rows.append(kernel(xy) or (None,) * n)
+            column = batch.column(at)
+            flat = column.flatten()
+            xy = np.stack([pc.struct_field(flat, c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1)
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            ends = np.cumsum(size)
+            rows = [kernel(xy[b - k : b]) or (None,) * n for b, k in zip(ends.tolist(), size.tolist())]
             columns = [pa.array([_points(v) if isinstance(v, np.ndarray) else v for v in c], t) for c, t in zip(zip(*rows) if rows else [[]] * n, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
@@ -36,16 +39,16 @@ def _points(xy: np.ndarray) -> list[dict]:
 
 def hull(xy: np.ndarray) -> np.ndarray:
     """Corners of the convex hull counter-clockwise, without collinear ones."""
-    p = np.unique(xy, axis=0)
+    p = sorted(set(map(tuple, xy.tolist())))
     if len(p) < 3:
-        return p
+        return np.array(p, float).reshape(-1, 2)
 
-    def chain(points: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for q in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+    def chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for x, y in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0]) <= 0:
                 out.pop()
-            out.append(q)
+            out.append((x, y))
         return out[:-1]
 
     return np.array(chain(p) + chain(p[::-1]))
@@ -61,16 +64,14 @@ def rotated_box(xy: np.ndarray) -> np.ndarray | None:
     h = hull(xy)
     if len(h) < 3:
         return None
-    best = None
-    for k in range(len(h)):
-        d = h[(k + 1) % len(h)] - h[k]
-        u = d / np.hypot(*d)
-        w = np.array([-u[1], u[0]])
-        a, b = h @ u, h @ w
-        size = (a.max() - a.min()) * (b.max() - b.min())
-        if best is None or size < best[0] - 1e-12:
-            best = size, np.array([u * s + w * t for s, t in ((a.min(), b.min()), (a.max(), b.min()), (a.max(), b.max()), (a.min(), b.max()))])
-    return best[1]
+    d = np.roll(h, -1, 0) - h
+    u = d / np.hypot(d[:, 0], d[:, 1])[:, None]
+    w = np.stack([-u[:, 1], u[:, 0]], 1)
+    along, across = h @ u.T, h @ w.T
+    a, b, c, e = along.min(0), along.max(0), across.min(0), across.max(0)
+    size = (b - a) * (e - c)
+    k = int(np.flatnonzero(size <= size.min() + 1e-12)[0])
+    return np.array([u[k] * s + w[k] * t for s, t in ((a[k], c[k]), (b[k], c[k]), (b[k], e[k]), (a[k], e[k]))])
 
 
 def circle(xy: np.ndarray) -> tuple[float, float, float] | None:
@@ -112,6 +113,28 @@ def hulls_and_boxes(df: DataFrame, column: str = "ring") -> DataFrame:
     return _with(df, column, {"hull_area": DoubleType(), "box_area": DoubleType(), "box_perimeter": DoubleType()}, kernel)
 
 
+def _closed(xy: np.ndarray) -> np.ndarray:
+    return np.concatenate([xy, xy[:1]])
+
+
+def hull_rings(df: DataFrame, column: str = "ring") -> DataFrame:
+    """Adds ``hull``, the closed ring of the convex hull; null for rings without area."""
+    def kernel(xy: np.ndarray) -> tuple | None:
+        h = hull(xy)
+        return (_closed(h),) if len(h) > 2 else None
+
+    return _with(df, column, {"hull": ArrayType(POINT)}, kernel)
+
+
+def box_rings(df: DataFrame, column: str = "ring") -> DataFrame:
+    """Adds ``box``, the closed ring of the least box of any angle; null for rings without area."""
+    def kernel(xy: np.ndarray) -> tuple | None:
+        box = rotated_box(xy)
+        return None if box is None else (_closed(box),)
+
+    return _with(df, column, {"box": ArrayType(POINT)}, kernel)
+
+
 def enclosing_circles(df: DataFrame, column: str = "ring") -> DataFrame:
     """Adds the centre and radius of the least circle around the points."""
     return _with(df, column, {"centre_x": DoubleType(), "centre_y": DoubleType(), "radius": DoubleType()}, circle)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
+from .masks import image_failures
 
 #: Rows of a range partition, about.
 RANGE_ROWS = 100_000
@@ -65,7 +66,16 @@ def running_mean(df: DataFrame) -> DataFrame:
 
 
 def worst(pairs: DataFrame, n: int) -> DataFrame:
-    """(cls, tile, fail): for each class the ``n`` tiles with most wrong pixels; counted before they are ranked."""
-    fails = pairs.groupBy(F.col("truth").alias("cls"), "tile").agg(F.count_if(F.col("truth") != F.col("pred")).alias("fail"))
+    """(cls, tile, fail): for each class the ``n`` tiles with most false positives and negatives; counted before they are ranked."""
     order = Window.partitionBy("cls").orderBy(F.desc("fail"), "tile")
-    return fails.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).drop("k")
+    return image_failures(pairs).select("cls", "tile", "fail").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).drop("k")
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in ascending order; each task keeps its own first ones before they meet."""
+    return df.orderBy(*order).limit(n)
+
+
+def descending(values: Column) -> Column:
+    """An array from its largest value down."""
+    return F.sort_array(values, asc=False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import endtoend, masks, networks, shapes, small, tiles
+from . import endtoend, geometry, masks, networks, shapes, small, sources, tiles, training
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "endtoend", "masks", "networks", "shapes", "small", "tiles"]
+__all__ = ["QUERIES", "SQL", "endtoend", "geometry", "masks", "networks", "shapes", "small", "sources", "tiles", "training"]

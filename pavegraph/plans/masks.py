@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import pixels
 from ..functions import tilemath as tm
 from ..operators import masks, sampling
 from .fixtures import Views
@@ -37,19 +38,19 @@ def iou(v: Views) -> DataFrame:
     return s.select(*(F.round(c, 9).alias(c) for c in s.columns))
 
 
-@query(with_ctes(SHIFTED, "select truth as cls, tile, fail from (select tile, truth, count(*) filter (where truth <> pred) as fail, row_number() over (partition by truth order by count(*) filter (where truth <> pred) desc, tile) as k from sh group by tile, truth) t where k <= 5"), "mask_px")
+@query(with_ctes(SHIFTED, "select cls, tile, fail from (select cls, tile, fail, row_number() over (partition by cls order by fail desc, tile) as k from (select c as cls, tile, count(*) filter (where (truth = c) <> (pred = c)) as fail from sh, k group by c, tile) q where fail > 0) t where k <= 5"), "mask_px")
 def worst_topn(v: Views) -> DataFrame:
     return sampling.worst(_shifted(v), 5)
 
 
 @query(with_ctes(SHIFTED, "select tile, count(*) filter (where truth <> pred) as wrong, count(*) filter (where truth = pred) as correct from sh group by tile"), "mask_px")
 def per_image_errors(v: Views) -> DataFrame:
-    return _shifted(v).groupBy("tile").agg(F.count_if(F.col("truth") != F.col("pred")).alias("wrong"), F.count_if(F.col("truth") == F.col("pred")).alias("correct"))
+    return masks.image_errors(_shifted(v))
 
 
 @query(
     with_ctes(
-        """s as (select *, (tile * 4096 + r) * 4096 + c as k from mask_px where tile < 100),
+        """s as (select *, (tile * 4096 + r) * 4096 + c as k from mask_px),
         nb as (select a.k as a, b.k as b from s a join s b on a.tile = b.tile and a.v = b.v and abs(a.r - b.r) + abs(a.c - b.c) = 1)""",
         """, reach(node, root) as (select k, k from s union select nb.b, reach.root from reach join nb on nb.a = reach.node where reach.root < nb.b), cp as (select node, min(root) as component from reach group by node)
         select component, min(tile) as tile, min(v) as v, count(*) as area, min(r) as top, max(r) as bottom, min(c) as "left", max(c) as "right" from s join cp on cp.node = s.k group by component""",
@@ -57,12 +58,12 @@ def per_image_errors(v: Views) -> DataFrame:
     "mask_px",
 )
 def mask_components(v: Views) -> DataFrame:
-    return masks.component_areas(v.mask_px().filter("tile < 100"))
+    return masks.component_areas(v.mask_px())
 
 
 @query()
 def mask_components_whole(v: Views) -> DataFrame:
-    """``mask_components`` of all tiles; its recursive SQL takes the first 100."""
+    """``mask_components`` without SQL, which walks every link of all tiles."""
     return masks.component_areas(v.mask_px())
 
 
@@ -127,7 +128,7 @@ def black_ratio_filter(v: Views) -> DataFrame:
 @query("select tile, r, c, round((v * 80e0 / 255e0 - 0.485e0) / 0.229e0, 9) as normal, floor(0.3e0 * (v * 80e0) + 0.7e0 * 50e0 + 0.5e0) as blended, 255 - v * 80 as inverted, 7 - c as flipped, v + 1 as raw_id from mask_px", "mask_px")
 def pixel_point_ops(v: Views) -> DataFrame:
     value = F.col("v") * 80.0
-    return v.mask_px().select("tile", "r", "c", F.round((value / 255.0 - 0.485) / 0.229, 9).alias("normal"), F.floor(0.3 * value + 0.7 * F.lit(50.0) + 0.5).cast("double").alias("blended"), (F.lit(255) - F.col("v") * 80).alias("inverted"), (F.lit(7) - F.col("c")).alias("flipped"), (F.col("v") + 1).alias("raw_id"))
+    return v.mask_px().select("tile", "r", "c", F.round(pixels.normalised(value, 0), 9).alias("normal"), pixels.blended(value, F.lit(pixels.GRAY), 0.7).cast("double").alias("blended"), pixels.inverted(F.col("v") * 80).alias("inverted"), pixels.flipped(F.col("c"), 8).alias("flipped"), pixels.raw_id(F.col("v")).alias("raw_id"))
 
 
 @query("select id, r0, c0, least(16, h - r0) as height, least(16, w - c0) as width from (select id, h, w, r0, unnest(range(0, greatest(cast(ceil((w - 16) / 8e0) as int), 0) * 8 + 1, 8)) as c0 from (select p_partkey as id, p_size as h, p_size + 5 as w, unnest(range(0, greatest(cast(ceil((p_size - 16) / 8e0) as int), 0) * 8 + 1, 8)) as r0 from part) a) b")
@@ -161,11 +162,6 @@ def seeded_split(v: Views) -> DataFrame:
     return sampling.split(v.table("documents").select("doc_id"), "doc_id", 0.8)
 
 
-@query("select n, i % n as pick from (select 7 as n, unnest(range(20)) as i) t")
-def wrapped_sample(v: Views) -> DataFrame:
-    return v.spark.range(20).select(F.lit(7).alias("n"), (F.col("id") % 7).alias("pick"))
-
-
 @query("select o_orderkey, case when n < 1 then 0 else floor(log2(n) / 10e0 + 1e-12) end as power from (select o_orderkey, cast(floor(o_totalprice) as bigint) * 1000 as n from orders) t")
 def human_bytes_power(v: Views) -> DataFrame:
     n = F.floor("o_totalprice") * 1000

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shape
-from ..operators import spatial, topology
+from ..operators import lines, spatial, topology
 from .fixtures import Views
 from .registry import query
 from .shapes import with_ctes
@@ -23,10 +23,10 @@ def line_endpoints(v: Views) -> DataFrame:
     return topology.endpoints(v.line())
 
 
-@query(with_ctes(LINES, "select line_id, n_pts, round(length, 6) as length, round(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2)) / nullif(length, 0e0), 6) as linearity, n_pts > 5 as zigzag from ln"), "polyline_vertex")
+@query(with_ctes(LINES, "select line_id, n_pts, round(length, 6) as length, round(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2)) / nullif(length, 0e0), 6) as linearity, n_pts > 8 as zigzag from ln"), "polyline_vertex")
 def linearity(v: Views) -> DataFrame:
     pts = F.col("pts")
-    return v.line().select("line_id", F.size(pts).cast("long").alias("n_pts"), F.round(shape.line_length(pts), 6).alias("length"), F.round(shape.linearity(pts), 6).alias("linearity"), (F.size(pts) > 5).alias("zigzag"))
+    return v.line().select("line_id", F.size(pts).cast("long").alias("n_pts"), F.round(shape.line_length(pts), 6).alias("length"), F.round(shape.linearity(pts), 6).alias("linearity"), lines.is_zigzag(pts).alias("zigzag"))
 
 
 @query(with_ctes(LINES, "select x, y, degree from deg"), "polyline_vertex")
@@ -62,44 +62,38 @@ def extrapolate_end(v: Views) -> DataFrame:
     return v.line().filter(F.size("pts") > 1).select("line_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-def _few(v: Views) -> DataFrame:
-    """Lines of two vertices or more that are near a corner of the plane."""
-    return v.line().filter(F.size("pts") > 1).filter(F.forall("pts", lambda p: (p["x"] < 110) & (p["y"] < 110)))
+CROSSINGS = """sg as (select line_id, vtx_no, x, y, lead(x) over w as x2, lead(y) over w as y2 from street window w as (partition by line_id order by vtx_no)),
+    sc as (select line_id, ax, ay, bx, by_, cx, unnest(range(cast(floor(least(ay, by_) / 8e0) as bigint), cast(floor(greatest(ay, by_) / 8e0) as bigint) + 1)) as cy from
+        (select line_id, x as ax, y as ay, x2 as bx, y2 as by_, unnest(range(cast(floor(least(x, x2) / 8e0) as bigint), cast(floor(greatest(x, x2) / 8e0) as bigint) + 1)) as cx from sg where x2 is not null) q),
+    pq as (select a.line_id as l, b.line_id as r, a.ax as x1, a.ay as y1, a.bx as x2, a.by_ as y2, b.ax as x3, b.ay as y3, b.bx as x4, b.by_ as y4, (a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax) as det from sc a join sc b on a.cx = b.cx and a.cy = b.cy and a.line_id <> b.line_id),
+    cr as (select l, r, ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / det as t, ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / det as u from pq where det <> 0)"""
 
 
-FEW = LINES + """, few as (select line_id from polyline_vertex group by line_id having count(*) > 1 and max(x) < 110e0 and max(y) < 110e0),
-    sg as (select line_id, x as ax, y as ay, x2 as bx, y2 as by_ from seg join few using (line_id) where x2 is not null),
-    cr as (select l, r, x1, y1, x2, y2, t, u from (select l, r, x1, y1, x2, y2, ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / det as t, ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / det as u from
-        (select a.line_id as l, b.line_id as r, a.ax as x1, a.ay as y1, a.bx as x2, a.by_ as y2, b.ax as x3, b.ay as y3, b.bx as x4, b.by_ as y4, (a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax) as det from sg a, sg b where a.line_id <> b.line_id
-         and least(a.ax, a.bx) <= greatest(b.ax, b.bx) and least(b.ax, b.bx) <= greatest(a.ax, a.bx)) q where det <> 0) p where t between 0 and 1 and u between 0 and 1)"""
-
-
-@query(with_ctes(FEW, "select l as line_id, count(distinct r) as n_lines from cr group by l"), "polyline_vertex")
+@query(with_ctes(CROSSINGS, "select l as line_id, count(distinct r) as n_lines from cr where t between 0 and 1 and u between 0 and 1 group by l"), "street")
 def line_crossings(v: Views) -> DataFrame:
-    few = _few(v)
-    return topology.crossings(few, few, 10.0).groupBy(F.col("left_id").alias("line_id")).agg(F.countDistinct("right_id").alias("n_lines"))
+    """How many other lines cross each line of the street plane."""
+    streets = v.street()
+    return topology.crossings(streets, streets, 8.0).groupBy(F.col("left_id").alias("line_id")).agg(F.countDistinct("right_id").alias("n_lines"))
 
 
 @query()
 def line_crossings_whole(v: Views) -> DataFrame:
-    """``line_crossings`` of all lines; its SQL takes those near a corner of the plane."""
+    """The crossings of all lines of the crowded plane, in which most cross thousands of others."""
     lines = v.line().filter(F.size("pts") > 1)
     return topology.crossings(lines, lines, 10.0).groupBy(F.col("left_id").alias("line_id")).agg(F.countDistinct("right_id").alias("n_lines"))
 
 
-@query(
-    with_ctes(
-        FREE + """, two as (select ln.*, a.x as fx, a.y as fy, b.x as lx, b.y as ly from ln join seg a on a.line_id = ln.line_id and a.vtx_no = 2 join seg b on b.line_id = ln.line_id and b.vtx_no = ln.n_pts - 1 where ln.n_pts > 1),
+EXTENSIONS = (FREE + """, two as (select ln.*, a.x as fx, a.y as fy, b.x as lx, b.y as ly from ln join seg a on a.line_id = ln.line_id and a.vtx_no = 2 join seg b on b.line_id = ln.line_id and b.vtx_no = ln.n_pts - 1 where ln.n_pts > 1),
         ray as (select line_id, 'start' as which, sx as x1, sy as y1, fx as px, fy as py from two join fr using (line_id) where s union all select line_id, 'end', ex, ey, lx, ly from two join fr using (line_id) where e),
         ext as (select *, x1 + case when x1 >= px then 6e0 else -6e0 end * cos(atan(abs(y1 - py + 1e-6) / abs(x1 - px + 1e-6))) as x2, y1 + case when y1 >= py then 6e0 else -6e0 end * sin(atan(abs(y1 - py + 1e-6) / abs(x1 - px + 1e-6))) as y2 from ray),
         cand as (select e.line_id, which, e.x1, e.y1, e.x2 as xe, e.y2 as ye, s.x as x3, s.y as y3, s.x2 as x4, s.y2 as y4, (e.x2 - e.x1) * (s.y2 - s.y) - (e.y2 - e.y1) * (s.x2 - s.x) as det from ext e join seg s on s.line_id <> e.line_id and s.x2 is not null and least(s.x, s.x2) <= greatest(e.x1, e.x2) and greatest(s.x, s.x2) >= least(e.x1, e.x2) and least(s.y, s.y2) <= greatest(e.y1, e.y2) and greatest(s.y, s.y2) >= least(e.y1, e.y2)),
         hit as (select *, ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / det as t, ((x3 - x1) * (ye - y1) - (y3 - y1) * (xe - x1)) / det as u from cand where det <> 0),
         pt as (select line_id, which, x1, y1, round(x1 + t * (xe - x1), 6) as x, round(y1 + t * (ye - y1), 6) as y from hit where t between 0 and 1 and u between 0 and 1),
-        ds as (select line_id, which, x, y, round(sqrt(pow(x - x1, 2) + pow(y - y1, 2)), 6) as dist from pt)""",
-        "select line_id, which, min(dist) as dist from ds where dist > 0 group by line_id, which",
-    ),
-    "polyline_vertex",
+        ds as (select line_id, which, x, y, round(sqrt(pow(x - x1, 2) + pow(y - y1, 2)), 6) as dist from pt)"""
 )
+
+
+@query(with_ctes(EXTENSIONS, "select line_id, which, min(dist) as dist from ds where dist > 0 group by line_id, which"), "polyline_vertex")
 def extension_hits(v: Views) -> DataFrame:
     return topology.extension_hits(v.line(), 6.0, 4.0).select("line_id", "which", "dist")
 
@@ -154,6 +148,6 @@ def connected_network(v: Views) -> DataFrame:
 
 @query(with_ctes(LINES, "select count(*) as n, count(distinct (pts)) as n_distinct from (select line_id, array_agg((x, y) order by vtx_no) as pts from polyline_vertex group by line_id) t"), "polyline_vertex")
 def dedupe_geometry(v: Views) -> DataFrame:
-    lines = v.line()
-    whole = lines.agg(F.count(F.lit(1)).alias("n"))
-    return whole.crossJoin(lines.select("pts").distinct().agg(F.count(F.lit(1)).alias("n_distinct")))  # two single rows
+    every = v.line().select(F.lit("line").alias("f_type"), "pts")
+    whole = every.agg(F.count(F.lit(1)).alias("n"))
+    return whole.crossJoin(lines.distinct_lines(every).agg(F.count(F.lit(1)).alias("n_distinct")))  # two single rows

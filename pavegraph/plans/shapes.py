@@ -15,6 +15,14 @@ EDGES = "e as (select *, lead(x) over (partition by geom_id order by vtx_no) as
 METRICS = f"{EDGES}, m as (select geom_id, abs(sum(x * y2 - x2 * y)) / 2e0 as area, sum(sqrt(pow(x2 - x, 2) + pow(y2 - y, 2))) as perimeter, sum((x + x2) * (x * y2 - x2 * y)) / (3e0 * sum(x * y2 - x2 * y)) as cx, sum((y + y2) * (x * y2 - x2 * y)) / (3e0 * sum(x * y2 - x2 * y)) as cy, count(*) as n_edges from e where x2 is not null group by geom_id)"
 OPEN = "o as (select *, first_value(x) over w as fx, first_value(y) over w as fy, last_value(x) over w as lx, last_value(y) over w as ly from (select * from vertex where vtx_no < 6) q window w as (partition by geom_id order by vtx_no rows between unbounded preceding and unbounded following)), n as (select geom_id, vtx_no, x, y, coalesce(lag(x) over v, lx) - x as ux, coalesce(lag(y) over v, ly) - y as uy, coalesce(lead(x) over v, fx) - x as vx, coalesce(lead(y) over v, fy) - y as vy from o window v as (partition by geom_id order by vtx_no)), a as (select *, degrees(acos(least(greatest((ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)), -1e0), 1e0))) as angle from n)"
 
+CIRCLES = """hp as (select geom_id, vtx_no as i, x - x0 as x, y - y0 as y from vertex join rect using (geom_id) where vtx_no < 6),
+    pr as (select a.geom_id, (a.x + b.x) / 2e0 as cx, (a.y + b.y) / 2e0 as cy, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 2e0 as r from hp a join hp b on a.geom_id = b.geom_id and a.i < b.i),
+    tr as (select a.geom_id, a.x as ax, a.y as ay, b.x as bx, b.y as by_, c.x as cx, c.y as cy, 2e0 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) as d from hp a join hp b on a.geom_id = b.geom_id and a.i < b.i join hp c on c.geom_id = b.geom_id and b.i < c.i),
+    ce as (select geom_id, ax, ay, ((ax * ax + ay * ay) * (by_ - cy) + (bx * bx + by_ * by_) * (cy - ay) + (cx * cx + cy * cy) * (ay - by_)) / d as ux, ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by_ * by_) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d as uy from tr where d <> 0),
+    cd as (select geom_id, cx, cy, r from pr union all select geom_id, ux, uy, sqrt(pow(ax - ux, 2) + pow(ay - uy, 2)) from ce),
+    ok as (select cd.geom_id, cd.r from cd join hp using (geom_id) group by cd.geom_id, cd.cx, cd.cy, cd.r having max(sqrt(pow(hp.x - cd.cx, 2) + pow(hp.y - cd.cy, 2))) <= cd.r + 1e-6),
+    circ as (select geom_id, min(r) as radius from ok group by geom_id)"""
+
 
 def with_ctes(ctes: str, sql: str) -> str:
     """A query over further common table expressions; the registry puts the views in front."""
@@ -37,16 +45,19 @@ def ring_centroid(v: Views) -> DataFrame:
 
 
 @query(
-    with_ctes(METRICS, """select geom_id, round((perimeter * h + area) / pow(area * h, 2e0 / 3e0), 6) as form_factor, round(2e0 * ln(perimeter / 4e0) / ln(area), 6) as fractal,
-        round(area * h / (perimeter * h), 6) as volume_facade, round(pow(4e0 * sqrt(area) / perimeter, 2e0), 6) as square_compactness, round(area / 3e0 / area, 6) as courtyard,
-        round(sqrt(area / pi()) / (0.5e0 * sqrt(w * w + h * h)), 6) as shape_index, round(4e0 * area / perimeter, 6) as width, round(2e0 * sqrt(pi() * area) / perimeter, 6) as roundness
-        from m join rect using (geom_id) where area > 1.5e0"""),
+    with_ctes(METRICS + ", " + CIRCLES, """select geom_id, round((perimeter * h + area) / pow(area * h, 2e0 / 3e0), 6) as form_factor, round(2e0 * ln(perimeter / 4e0) / ln(area), 6) as fractal,
+        round(area * h / (perimeter * h), 6) as volume_facade, round(pow(4e0 * sqrt(area) / perimeter, 2e0), 6) as square_compactness, round((w * h - area) / area, 6) as courtyard,
+        round(sqrt(area / pi()) / radius, 6) as shape_index, round(4e0 * area / perimeter, 6) as width, round(2e0 * sqrt(pi() * area) / perimeter, 6) as roundness
+        from m join rect using (geom_id) join circ using (geom_id) where area > 1.5e0"""),
     "vertex",
 )
 def shape_simple(v: Views) -> DataFrame:
-    m = shape.vertex_metrics(v.vertex()).join(v.rect(), "geom_id").filter("area > 1.5")
-    diagonal = F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h"))
-    found = shape.simple_metrics(F.col("area"), F.col("perimeter"), F.col("h"), diagonal, F.col("area") / 3.0)
+    """Closed-form descriptors; the courtyard is what a polygon leaves of its box, the longest axis its enclosing circle's."""
+    from ..operators import polygons
+
+    circles = polygons.enclosing_circles(v.polygon().select("geom_id", "ring")).select("geom_id", "radius")
+    m = shape.vertex_metrics(v.vertex()).join(v.rect(), "geom_id").join(circles, "geom_id").filter("area > 1.5")
+    found = shape.simple_metrics(F.col("area"), F.col("perimeter"), F.col("h"), F.lit(2.0) * F.col("radius"), F.col("w") * F.col("h") - F.col("area"))
     return m.select("geom_id", *(F.round(c, 6).alias(n) for n, c in found.items()))
 
 
@@ -64,9 +75,8 @@ def corners(v: Views) -> DataFrame:
 @query(with_ctes(METRICS + ", " + OPEN, "select geom_id, round(avg(sqrt(pow(x - cx, 2) + pow(y - cy, 2))), 5) as mean_distance, round(stddev_pop(sqrt(pow(x - cx, 2) + pow(y - cy, 2))), 5) as deviation from a join m using (geom_id) where angle <= 170e0 group by geom_id"), "vertex")
 def centroid_corners(v: Views) -> DataFrame:
     vertices = v.vertex()
-    near = shape.corner_angles(vertices).filter("angle <= 170").join(shape.vertex_metrics(vertices), "geom_id")
-    d = F.sqrt(F.pow(F.col("x") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("cy"), F.lit(2.0)))
-    return near.groupBy("geom_id").agg(F.round(F.avg(d), 5).alias("mean_distance"), F.round(F.stddev_pop(d), 5).alias("deviation"))
+    found = shape.corner_distances(vertices)
+    return found.select("geom_id", F.round("mean_distance", 5).alias("mean_distance"), F.round("deviation", 5).alias("deviation"))
 
 
 @query(with_ctes(METRICS, """select geom_id, round(least(w, h) / greatest(w, h), 6) as elongation, round(area / (w * h), 6) as rectangularity, round(sqrt(area / (w * h)) * (2e0 * (w + h) / perimeter), 6) as eri,
@@ -86,19 +96,21 @@ def rectangle_metrics(v: Views) -> DataFrame:
     )
 
 
-@query("select geom_id, round(w * h / (pi() * (w * w + h * h) / 4e0), 6) as circular_compactness from rect where kind = 0", "rect")
+@query(with_ctes(CIRCLES, "select geom_id, round(area / (pi() * radius * radius), 6) as circular_compactness from (select geom_id, radius, case when kind = 0 then w * h else w * h * 0.75e0 end as area from rect join circ using (geom_id)) t"), "rect", "vertex")
 def circular_compactness(v: Views) -> DataFrame:
+    """Area over that of the least enclosing circle; the oracle tries every circle through two or three corners."""
     from ..operators import polygons
 
-    circles = polygons.enclosing_circles(v.polygon().filter("kind = 0").select("geom_id", "ring"))
+    circles = polygons.enclosing_circles(v.polygon().select("geom_id", "ring"))
     return circles.select("geom_id", F.round(shape.ring_area(F.col("ring")) / (F.lit(shape.PI) * F.pow("radius", F.lit(2.0))), 6).alias("circular_compactness"))
 
 
-@query("select geom_id, round(case when w >= h then x0 else x0 + w / 2e0 end, 6) as ax, round(case when w >= h then y0 + h / 2e0 else y0 end, 6) as ay, round(case when w >= h then x0 + w else x0 + w / 2e0 end, 6) as bx, round(case when w >= h then y0 + h / 2e0 else y0 + h end, 6) as by_ from rect where kind = 0 and w <> h", "rect")
+@query("select geom_id, round(case when w >= h then x0 else x0 + w / 2e0 end, 6) as ax, round(case when w >= h then y0 + h / 2e0 else y0 end, 6) as ay, round(case when w >= h then x0 + w else x0 + w / 2e0 end, 6) as bx, round(case when w >= h then y0 + h / 2e0 else y0 + h end, 6) as by_ from rect where w <> h", "rect")
 def crosswalk_centerline(v: Views) -> DataFrame:
+    """The middle line of each polygon's least box; a square has two and is left out."""
     from ..operators import polygons
 
-    return polygons.mid_axes(v.polygon().join(v.rect().select("geom_id", "w", "h"), "geom_id").filter("kind = 0 and w <> h").select("geom_id", "ring")).select("geom_id", *(F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by_")))
+    return polygons.mid_axes(v.polygon().join(v.rect().select("geom_id", "w", "h"), "geom_id").filter("w <> h").select("geom_id", "ring")).select("geom_id", *(F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by_")))
 
 
 @query("select geom_id, 1 + cast(w * h / 8e0 >= 25e0 as int) as rings from rect", "rect")
@@ -112,8 +124,10 @@ def fill_holes(v: Views) -> DataFrame:
 
 @query("select geom_id, f_type from (select geom_id, case kind when 0 then 'sidewalk' when 1 then 'crosswalk' else 'road' end as f_type, w * h as area from rect) t where f_type = 'sidewalk' and area >= 20e0", "rect")
 def class_and_area_filter(v: Views) -> DataFrame:
+    from ..sources import vectors
+
     kinds = v.polygon().select("geom_id", F.element_at(F.array(*map(F.lit, ("sidewalk", "crosswalk", "road"))), (F.col("kind") + 1).cast("int")).alias("f_type"), "ring")
-    return kinds.filter((F.col("f_type") == "sidewalk") & (shape.ring_area(F.col("ring")) >= 20)).select("geom_id", "f_type")
+    return vectors.class_layer(kinds, "sidewalk", 20.0).select("geom_id", "f_type")
 
 
 @query(with_ctes(METRICS, "select round(quantile_cont(area, 0.25), 6) as a1, round(quantile_cont(area, 0.5), 6) as a2, round(quantile_cont(area, 0.75), 6) as a3, round(quantile_cont(perimeter, 0.5), 6) as p2, round(quantile_cont(area / perimeter, 0.5), 6) as r2 from m"), "vertex")
@@ -122,12 +136,9 @@ def quartile_stats(v: Views) -> DataFrame:
     return q.select(*(F.round(F.col("a")[i], 6).alias(f"a{i + 1}") for i in range(3)), F.round("p2", 6).alias("p2"), F.round("r2", 6).alias("r2"))
 
 
-@query(
-    "select geom_id, roundness > 0.8e0 as near_circle, case when roundness > 0.8e0 then round(sqrt(area / pi()) / 4e0, 6) else 0.2e0 end as spacing from (select geom_id, area, 2e0 * sqrt(pi() * area) / perimeter as roundness from (select geom_id, w * h as area, 2e0 * (w + h) as perimeter from rect where kind = 0) a) t",
-    "rect",
-)
+@query(with_ctes(METRICS, "select geom_id, roundness > 0.8e0 as near_circle, case when roundness > 0.8e0 then round(sqrt(area / pi()) / 4e0, 6) else 0.2e0 end as spacing from (select geom_id, area, 2e0 * sqrt(pi() * area) / perimeter as roundness from m) t"), "vertex")
 def centerline_spacing(v: Views) -> DataFrame:
-    m = shape.vertex_metrics(v.vertex()).join(v.rect().filter("kind = 0").select("geom_id"), "geom_id")
+    m = shape.vertex_metrics(v.vertex())
     roundness = F.lit(2.0) * F.sqrt(F.lit(shape.PI) * F.col("area")) / F.col("perimeter")
     return m.select("geom_id", (roundness > 0.8).alias("near_circle"), F.when(roundness > 0.8, F.round(F.sqrt(F.col("area") / F.lit(shape.PI)) / 4.0, 6)).otherwise(0.2).alias("spacing"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..operators import dissolve
-from ..sources import catalog
+from ..sources import catalog, paths, vectors
 from .fixtures import Views
 from .registry import query
 from .shapes import with_ctes
@@ -45,22 +45,21 @@ def catalog_diff(v: Views) -> DataFrame:
 @query("select f_type, count(*) as n, count(w) as with_width from (select 'sidewalk' as f_type, w from rect where kind = 0 union all select 'road', null from rect where kind = 2) t group by f_type", "rect")
 def union_layers(v: Views) -> DataFrame:
     r = v.rect()
-    layers = r.filter("kind = 0").select(F.lit("sidewalk").alias("f_type"), "w").unionByName(r.filter("kind = 2").select(F.lit("road").alias("f_type")), allowMissingColumns=True)
+    layers = vectors.union_layers({"sidewalk": r.filter("kind = 0").select("w"), "road": r.filter("kind = 2").select("geom_id")})
     return layers.groupBy("f_type").agg(F.count(F.lit(1)).alias("n"), F.count("w").alias("with_width"))
 
 
 @query("select count(*) as n from (select lead(x) over (partition by geom_id order by vtx_no) as nx from vertex) t where nx is not null", "vertex")
 def drop_nulls(v: Views) -> DataFrame:
+    """Sides of rings: vertices of which the next one is there."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("geom_id").orderBy("vtx_no")
-    return v.vertex().withColumn("nx", F.lead("x").over(w)).na.drop().agg(F.count(F.lit(1)).alias("n"))
+    return vectors.complete(v.vertex().withColumn("nx", F.lead("x").over(w))).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select p_partkey as stem, 'img/' || p_partkey || '.png' as image, 'ann/' || p_partkey || '.png' as mask from part where p_partkey % 3 = 0")
 def image_mask_pairs(v: Views) -> DataFrame:
-    from ..sources import paths
-
     named = lambda folder: v.table("part").select(F.concat(F.lit(folder), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), "p_partkey")
     pairs = paths.images_with_masks(named("img/").select("path"), named("ann/").filter("p_partkey % 3 = 0").select("path"))
     return pairs.select(F.col("stem").cast("long").alias("stem"), "image", "mask")
@@ -74,37 +73,37 @@ def content_types(v: Views) -> DataFrame:
 
 @query("select p_partkey, sha256(p_name) as digest from part")
 def content_digest(v: Views) -> DataFrame:
-    return v.table("part").select("p_partkey", F.sha2("p_name", 256).alias("digest"))
+    return v.table("part").select("p_partkey", paths.digest(F.col("p_name")).alias("digest"))
 
 
 @query("select cls, '<tr><td>' || cls || '</td><td>' || n || '</td></tr>' as html from (select v as cls, count(*) as n from mask_px group by v) t", "mask_px")
 def results_rows(v: Views) -> DataFrame:
     counted = v.mask_px().groupBy(F.col("v").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("cls", F.concat(F.lit("<tr><td>"), F.col("cls").cast("string"), F.lit("</td><td>"), F.col("n").cast("string"), F.lit("</td></tr>")).alias("html"))
+    return counted.select("cls", vectors.html_row("cls", "n").alias("html"))
 
 
-CELLS = """c as (select distinct kind, x0 + a as cx, y0 + b as cy from (select kind, x0, y0, h, unnest(range(cast(w as bigint))) as a from rect where kind = 0) q, (select unnest(range(18)) as b) r where b < h),
+CELLS = """c as (select distinct 2 * x0 + a as cx, 2 * y0 + b as cy from (select kind, w, x0, y0, h, unnest(range(cast(2 * w as bigint))) as a from rect) q, (select unnest(range(36)) as b) r where b < 2 * h and (kind = 0 or b < h or a < w)),
     o as (select x.i - 1 as dx, y.i - 1 as dy from (select unnest(range(3)) as i) x, (select unnest(range(3)) as i) y),
     d as (select distinct cx + dx as cx, cy + dy as cy from c, o), e as (select cx + dx as cx, cy + dy as cy, count(*) as n from d, o group by 1, 2 having count(*) = 9)"""
 
 
 @query(with_ctes(CELLS, "select (select count(*) from c) as covered, (select count(*) from d) as buffered, (select count(*) from e) as closed"), "rect")
 def buffer_union_erode(v: Views) -> DataFrame:
-    layer = v.polygon().filter("kind = 0").select(F.col("kind").alias("f_type"), "ring")
-    cells = dissolve.rasterised(layer, 1.0)
-    wide = dissolve.buffered(cells, 1)
+    """Cells of half a unit that all polygons cover, with a cell around them, and without it again."""
+    layer = v.polygon().select(F.lit("any").alias("f_type"), "ring")
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(cells, "covered").crossJoin(count(wide, "buffered")).crossJoin(count(dissolve.eroded(wide, 1), "closed"))  # three single rows
+    cells = dissolve.rasterised(layer, 0.5)
+    return count(cells, "covered").crossJoin(count(dissolve.buffered(cells, 1), "buffered")).crossJoin(count(dissolve.closed(layer, 0.5, 1), "closed"))  # three single rows
 
 
 @query(
     with_ctes(
-        "b as (select geom_id as id, x0, y0, x0 + w as x1, y0 + h as y1 from rect where kind = 0), lk as (select a.id as a, b.id as b from b a, b where a.id <> b.id and ((a.x0 < b.x1 and b.x0 < a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1) or (a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 < b.y1 and b.y0 < a.y1)))",
+        "b as (select geom_id * 2 as id, x0, y0, x0 + w as x1, y0 + case when kind = 0 then h else h / 2e0 end as y1 from rect union all select geom_id * 2 + 1, x0, y0 + h / 2e0, x0 + w / 2e0, y0 + h from rect where kind <> 0), lk as (select a.id as a, b.id as b from b a, b where a.id <> b.id and ((a.x0 < b.x1 and b.x0 < a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1) or (a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 < b.y1 and b.y0 < a.y1)))",
         ", reach(node, root) as (select id, id from b union select lk.b, reach.root from reach join lk on lk.a = reach.node where reach.root < lk.b) select count(distinct root) as parts from (select node, min(root) as root from reach group by node) t",
     ),
     "rect",
 )
 def dissolved_parts(v: Views) -> DataFrame:
-    """Connected parts of a union of rectangles, counted on cells; the oracle links rectangles that share area or a side."""
-    layer = v.polygon().filter("kind = 0").select(F.col("kind").alias("f_type"), "ring")
-    return dissolve.dissolved(dissolve.rasterised(layer, 1.0)).agg(F.count(F.lit(1)).alias("parts"))
+    """Connected parts of a union of polygons, counted on cells; the oracle links their rectangles that share area or a side."""
+    layer = v.polygon().select(F.lit("any").alias("f_type"), "ring")
+    return dissolve.dissolved(dissolve.rasterised(layer, 0.5)).agg(F.count(F.lit(1)).alias("parts"))

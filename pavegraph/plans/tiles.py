@@ -114,7 +114,7 @@ def neighbor_block(v: Views) -> DataFrame:
 
 
 SMALL_TILES = f"(select id as idd, round({LON.format(x='xtile', z=9)}, 8) as west, round({LAT.format(y='ytile', z=9)}, 8) as north, round({LON.format(x='(xtile + 1)', z=9)}, 8) as east, round({LAT.format(y='(ytile + 1)', z=9)}, 8) as south from (select id, {tile_sql(9)} from geo_point) q)"
-SMALL_BOXES = "(select id, lon - 1e0 as west, lat - 1e0 as south, lon + 1e0 as east, lat + 1e0 as north from geo_point where id % 10 = 0)"
+SMALL_BOXES = "(select id, lon + 2e0 as west, lat + 2e0 as south, lon + 4e0 as east, lat + 4e0 as north from geo_point)"
 MEET = "t.west < b.east and b.west < t.east and t.south < b.north and b.south < t.north"
 
 
@@ -122,7 +122,7 @@ def _tiles_and_boxes(v: Views) -> tuple[DataFrame, DataFrame]:
     p = v.geo_point()
     tiles = grid.tile_corners(p.select(F.col("id").alias("idd"), tm.tile_x("lon", 9).alias("xtile"), tm.tile_y("lat", 9).alias("ytile")), 9)
     tiles = tiles.select("idd", *(F.round(c, 8).alias(c) for c in ("west", "north", "east", "south")))
-    boxes = p.filter("id % 10 = 0").select("id", (F.col("lon") - 1.0).alias("west"), (F.col("lat") - 1.0).alias("south"), (F.col("lon") + 1.0).alias("east"), (F.col("lat") + 1.0).alias("north"))
+    boxes = p.select("id", (F.col("lon") + 2.0).alias("west"), (F.col("lat") + 2.0).alias("south"), (F.col("lon") + 4.0).alias("east"), (F.col("lat") + 4.0).alias("north"))
     return tiles, boxes
 
 

@@ -81,3 +81,18 @@ def mask_pixels(masks: DataFrame, size: int, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), tile, np.int64)), pa.array(r), pa.array(c), pa.array(np.frombuffer(batch.column(2)[k].as_py(), np.uint8).astype(np.int32))], names=["tile", "r", "c", "v"])
 
     return masks.mapInArrow(run, "tile long, r int, c int, v int")
+
+
+def write_images(canvases: DataFrame, folder: str, extension: str) -> None:
+    """Images (col, row, i, content), a folder image={row}_{col}_{i}.{extension} with one file for each.
+
+    Spark's text writer puts the bytes down as they are, on any store, with a line end after them that decoders skip.
+    """
+    name = F.concat(F.concat_ws("_", "row", "col", "i"), F.lit(f".{extension}"))
+    canvases.select(name.alias("image"), F.col("content").cast("string").alias("value")).write.mode("overwrite").partitionBy("image").text(folder)
+
+
+def read_written(spark: SparkSession, folder: str) -> DataFrame:
+    """(image, content) of images that ``write_images`` wrote."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_extract("path", r"image=([^/]+)/", 1).alias("image"), "content").filter("image != ''")

@@ -93,3 +93,14 @@ def project_paths(root: Column, name: Column) -> dict[str, Column]:
     """The folders of a project."""
     parts = {"tiles": ("tiles",), "static": ("tiles", "static"), "stitched": ("tiles", "stitched"), "segmentation": ("segmentation",), "polygons": ("polygons",), "network": ("network",)}
     return {k: F.concat_ws("/", root, name, *map(F.lit, v)) for k, v in parts.items()}
+
+
+def digest(content: Column) -> Column:
+    """The SHA-256 of a file's content, in lower-case hex, to hold against the one that is published."""
+    return F.sha2(content, 256)
+
+
+def numbered_files(files: DataFrame) -> DataFrame:
+    """(idd, path): files by the number at the end of their stem, after the last underscore."""
+    number = F.regexp_extract("path", r"_(\d+)\.[^./]+$", 1)
+    return files.filter(number != "").select(number.cast("long").alias("idd"), "path")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shape import ring_area
+
 POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -67,6 +69,47 @@ def write_features(lines: DataFrame, path: str) -> None:
     lines.select(geojson_line(F.col("pts"), F.col("f_type"))).write.mode("overwrite").text(path)
 
 
+def union_layers(layers: dict[str, DataFrame], by: str = "f_type") -> DataFrame:
+    """Layers under each other with their class in ``by``; columns that a layer lacks are null there."""
+    named = [layer.withColumn(by, F.lit(name)) for name, layer in layers.items()]
+    out = named[0]
+    for layer in named[1:]:
+        out = out.unionByName(layer, allowMissingColumns=True)
+    return out
+
+
+def complete(layer: DataFrame) -> DataFrame:
+    """Rows without a null in any column."""
+    return layer.na.drop()
+
+
+def class_layer(layer: DataFrame, f_type: str, least_area: float = 0.0, ring: str = "ring") -> DataFrame:
+    """The polygons of a class of at least an area; the class is compared first, so that it reaches the scan."""
+    return layer.filter((F.col("f_type") == f_type) & F.col(ring).isNotNull() & (ring_area(F.col(ring)) >= least_area))
+
+
+def where(layer: DataFrame, **wanted: object) -> DataFrame:
+    """Rows in which each column has the value given, or one of the values of a list."""
+    for column, value in wanted.items():
+        layer = layer.filter(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
+    return layer
+
+
+def of_kinds(layer: DataFrame, *kinds: str, wkt: str = "wkt") -> DataFrame:
+    """Rows whose WKT is of one of the geometry types."""
+    return layer.filter(F.upper(F.regexp_extract(wkt, r"^\s*([A-Za-z]+)", 1)).isin([k.upper() for k in kinds]))
+
+
+def exploded_parts(layer: DataFrame, parts: str = "parts") -> DataFrame:
+    """A row for each part of multi-part geometries, numbered in ``part``."""
+    return layer.select(*[c for c in layer.columns if c != parts], F.posexplode(parts).alias("part", "pts"))
+
+
+def html_row(*columns: str) -> Column:
+    """A table row of a results page."""
+    return F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>")) for c in columns), F.lit("</tr>"))
+
+
 def city_info(name: Column, box: Column, zoom: Column, tile_step: Column, crs: Column) -> Column:
     """A project's description as JSON: name, box (south, west, north, east), zoom, step and reference system."""
     return F.to_json(F.struct(name.alias("name"), box.alias("bbox"), zoom.alias("zoom"), tile_step.alias("tile_step"), crs.alias("crs")))
@@ -80,3 +123,13 @@ def confusion_csv(hist: DataFrame, path: str) -> None:
     """A confusion matrix as CSV: a row for each true class, a column for each predicted one."""
     classes = [r["pred"] for r in hist.select("pred").distinct().orderBy("pred").collect()]  # as many rows as classes
     hist.groupBy("truth").pivot("pred", classes).agg(F.first("n")).orderBy("truth").write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_masks(px: DataFrame, path: str) -> None:
+    """Masks (tile, r, c, v) as a table sorted by tile, so that a reader of few tiles skips most of it."""
+    px.repartitionByRange("tile").sortWithinPartitions("tile", "r", "c").write.mode("overwrite").parquet(path)
+
+
+def read_masks(spark: SparkSession, path: str, tiles: DataFrame) -> DataFrame:
+    """The masks of ``tiles`` (tile) that were saved; others drop out."""
+    return spark.read.parquet(path).join(tiles, "tile", "left_semi")

@@ -47,3 +47,50 @@ def test_confusion_over_a_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.truth, r.pred): r.n for r in spark.sql("select truth, pred, sum(n) as n from confusion group by truth, pred").collect()}
     assert got == {(r.truth, r.pred): r["count"] for r in rows.groupBy("truth", "pred").count().collect()}
+
+
+#: Places with a box (south, west, north, east) and a display name, as a gazetteer would have them.
+PLACES = [
+    ("New York City", "City of New York, New York, United States", 40.477, -74.259, 40.918, -73.700),
+    ("New Jersey", "New Jersey, United States", 38.789, -75.564, 41.357, -73.886),
+    ("New Brunswick, New Jersey", "New Brunswick, Middlesex County, New Jersey, United States", 40.460, -74.490, 40.507, -74.412),
+    ("Massachusetts", "Massachusetts, United States", 41.187, -73.508, 42.887, -69.859),
+    ("King County, Washington", "King County, Washington, United States", 47.084, -122.541, 47.781, -121.066),
+    ("Washington, DC", "Washington, District of Columbia, United States", 38.792, -77.120, 38.996, -76.909),
+    ("Los Angeles", "Los Angeles, Los Angeles County, California, United States", 33.659, -118.668, 34.337, -118.155),
+    ("Jersey City", "Jersey City, Hudson County, New Jersey, United States", 40.662, -74.117, 40.769, -74.021),
+    ("Hoboken", "Hoboken, Hudson County, New Jersey, United States", 40.733, -74.044, 40.760, -74.021),
+    ("Spring Hill, TN", "Spring Hill, Maury County, Tennessee, United States", 35.691, -86.996, 35.790, -86.862),
+    ("Virginia", "Virginia, United States", 36.541, -83.675, 39.466, -75.166),
+    ("Maywood, CA", "Maywood, Los Angeles County, California, United States", 33.980, -118.203, 33.994, -118.176),
+]
+WANTED = {
+    "New York City": "nyc", "new jersey": "nj", "New Brunswick, New Jersey": "nj", "Massachusetts": "ma", "King County, Washington": "king",
+    "Washington, DC": "dc", "Los Angeles": "la", "Jersey City": "nj", "Hoboken": "nj", "Spring Hill, TN": "sh_tn", "Virginia": "va", "Maywood, CA": "la",
+    "40.72663613847755, -73.99494276578649": "nyc", "38.90277706745021, -77.03617656372798": "dc", "43.05052202494481, -76.19505424681927": "ny",
+    "33.97576931943177, -118.19841961122856, 34.116579445776445, -117.97154942950205": "la", "40.496044, -74.443672, 40.561051, -74.332089": "nj",
+    "nyc": "nyc", "ny": "ny", "nj": "nj", "la": "la", "va": "va",
+    "-15.49933207, 28.203229539, -15.338660813, 28.358324353": None, "39.525834067367256, 116.21383162969653, 39.582584, 116.292915": None,
+    "-37.15612782594927, 64.98947402062927, -37.15612782594927, 64.98947402062927": None, "73.59343881883807, -51.62165778082543": None,
+    "54.998172689668486, 36.68930259694381, 55.00000000000001, 36.69112990727614": None, "25.06763435341293, -0.7971811600872423": None,
+    "21.82528963135751, -93.76345422053639": None, "Nowhere": None,
+}
+
+
+def test_places_find_their_source(spark):
+    from pavegraph.sources import catalog
+
+    gazetteer = spark.createDataFrame(PLACES, "address string, display string, south double, west double, north double, east double")
+    items = spark.createDataFrame([(i,) for i in WANTED], "item string")
+    assert {r["item"]: r["source"] for r in catalog.resolve(items, gazetteer, catalog.sources(spark)).collect()} == WANTED
+
+
+def test_every_source_is_found_by_its_own_coverage_and_keyword(spark):
+    from pyspark.sql import functions as F
+
+    from pavegraph.sources import catalog
+
+    table = catalog.sources(spark)
+    gazetteer = table.select(F.concat(F.lit("place of "), "source").alias("address"), F.col("keyword")[0].alias("display"), "south", "west", "north", "east")
+    found = catalog.resolve(gazetteer.select(F.col("address").alias("item")), gazetteer, table).collect()
+    assert {r["item"]: r["source"] for r in found} == {f"place of {r.source}": r.source for r in table.collect()}
