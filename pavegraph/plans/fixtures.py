@@ -21,7 +21,7 @@ SQL = {
     "polyline_vertex": """select l_orderkey as line_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as vtx_no,
         cast(l_partkey % 200 as double) as x, cast(l_suppkey % 200 as double) as y from lineitem""",
     "street": """select line_id, vtx_no, x, y from (select l_orderkey as line_id, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as vtx_no,
-        cast((l_orderkey * 7919) % 1999 + l_partkey % 9 as double) as x, cast((l_orderkey * 104729) % 2003 + l_suppkey % 9 as double) as y from lineitem) t where n > 1""",
+        cast(((l_orderkey % 10007) * (l_orderkey % 10007) * 7919 + l_orderkey) % 1201 + l_partkey % 9 as double) as x, cast(((l_orderkey % 10009) * (l_orderkey % 10009) * 104729 + l_orderkey * 31) % 1303 + l_suppkey % 9 as double) as y from lineitem) t where n > 1""",
     "tile": "select o_orderkey as idd, cast(floor(o_orderkey / 64e0) as bigint) as col, o_orderkey % 64 as row from orders",
     "labelled": "select doc_id as id, quality as truth, toxic as pred from labels",
     "metric_stream": "select event_id as seq, floor(value * 100e0) as val, user_id % 7 + 1 as n from events",
@@ -90,7 +90,8 @@ class Views:
         """Short lines (line_id, pts) of two points or more, as far apart on a larger plane as streets are."""
         p = F.struct(F.col("l_linenumber").alias("k1"), F.col("l_partkey").alias("k2"), F.col("l_suppkey").alias("k3"), F.col("l_extendedprice").alias("k4"), F.col("l_shipdate").alias("k5"))
         lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("line_id")).agg(F.sort_array(F.collect_list(p)).alias("v")).filter(F.size("v") > 1)
-        x0, y0 = (F.col("line_id") * 7919) % 1999, (F.col("line_id") * 104729) % 2003
+        k = F.col("line_id")
+        x0, y0 = ((k % 10007) * (k % 10007) * 7919 + k) % 1201, ((k % 10009) * (k % 10009) * 104729 + k * 31) % 1303
         return lines.select("line_id", F.transform("v", lambda v: F.struct((x0 + v["k2"] % 9).cast("double").alias("x"), (y0 + v["k3"] % 9).cast("double").alias("y"))).alias("pts"))
 
     def tile(self) -> DataFrame:

@@ -200,7 +200,7 @@ def connectors_to_lines(v: Views) -> DataFrame:
 @query(
     with_ctes(
         NETWORK + ", gp as (select line_id, max(n_pts) as n_pts, list(x order by vtx_no) as xs, list(y order by vtx_no) as ys from sg join sl using (line_id) group by line_id)",
-        "select 'crosswalk' as f_type, count(distinct (xs, ys)) as n from gp where n_pts <= 3 union all select 'sidewalk', count(distinct (xs, ys)) from gp where n_pts > 3 union all select 'sidewalk_connection', count(*) from (select distinct nx, ny, x, y from wd join wm using (id, which, dist)) d",
+        "select 'crosswalk' as f_type, count(distinct (xs, ys)) as n from gp where n_pts <= 3 union all select 'sidewalk', count(distinct (xs, ys)) from gp where n_pts > 3 union all select 'sidewalk_connection', count(*) from (select distinct p.nx, p.ny, x, y from (select wd.id, wd.which, wd.line_id, any_value(x) as x, any_value(y) as y, min({'nx': nx, 'ny': ny}) as p from wd join wm using (id, which, dist) group by 1, 2, 3) g) d left join (select distinct xs[1] as a1, ys[1] as b1, xs[2] as a2, ys[2] as b2 from gp where n_pts = 2) o on a1 = d.nx and b1 = d.ny and a2 = d.x and b2 = d.y where a1 is null",
     ),
     "street",
 )
