@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut, discard, shared_dir, table
+from ..functions.storage import cut, discard, remove, shared_dir, table
 
-__all__ = ["blocks_for", "cut", "discard", "read", "shared_dir", "table", "text_of", "without"]
+__all__ = ["blocks_for", "cut", "discard", "read", "remove", "shared_dir", "table", "text_of", "without"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

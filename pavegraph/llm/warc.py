@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import discard, remove, shared_dir, table
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 8_192
@@ -121,6 +121,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, id_col:
 
     lines = joined.mapInArrow(archive, "record binary").select(F.col("record").cast("string"))
     lines.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    discard(rows, first)
 
 
 def parse_warc(chunks: Iterator[bytes]) -> Iterator[dict]:
@@ -239,4 +240,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0
     """Write ``pages`` to the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, min_revisit_bytes)
-    return read_warc(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_warc(spark, path, keep_payload=False)
+    remove(spark, path)  # its records are in tables by now
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
