@@ -72,6 +72,38 @@ def test_stages_and_run(spark, folder, tmp_path):
     assert key(packed) == sorted(want)
 
 
+def test_stages_with_nulls_repeated_rows_and_clashing_columns(spark, folder):
+    rows = [(i, t, "x", "y", 7) for i, t in ROWS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string, `group` string, n long")
+    docs.write.parquet(f"{folder}/odd.parquet")
+    docs = spark.read.parquet(f"{folder}/odd.parquet")
+    key = lambda df: sorted(((r.doc_id is not None, r.doc_id or 0, text(r.text)) for r in df.collect()))
+    all_rows = sorted((i is not None, i or 0, text(t)) for i, t in ROWS)
+    norm = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), text(t))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = key(out)
+        if name == "toxicity":
+            assert set(got) <= set(all_rows)
+        elif name == "exact_dedup":
+            best = {}
+            for r in all_rows:
+                best[norm(r[2])] = r
+            assert got == sorted(best.values())
+        elif name == "near_dedup":
+            keep = {min(i for i in g if i is not None) for g in brute_classes(ROWS) if g != {None}}
+            assert got == [r for r in all_rows if not r[0] or r[1] in keep]
+        else:
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+            clean = {row[0] for row in brute_hits(ROWS, items) if not row[-1]}
+            assert got == [r for r in all_rows if (r[1] if r[0] else None) in clean]
+        none = stage(spark, docs.filter("n = 0"), folder)
+        assert none.columns == docs.columns and none.count() == 0
+    assert corpus_pipeline.packing(spark, docs.filter("n = 0"), folder).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, docs, folder).collect()} == {i for i, _ in ROWS}
+
+
 def test_one_query_for_each_operator():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
     assert names == list(range(1, 11))
