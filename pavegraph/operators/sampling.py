@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.storage import cut
 from .masks import image_failures
 
-#: Rows of a range partition, about.
+#: Rows of a range partition, about, and ranges at most: what is said of each range is broadcast.
 RANGE_ROWS = 100_000
+RANGES = 10_000
+
+
+def ranges_for(n: int) -> int:
+    return min(RANGES, max(2, -(-n // RANGE_ROWS)))
 
 
 def numbered(df: DataFrame, order: str | Column, name: str = "i") -> DataFrame:
@@ -17,9 +22,9 @@ def numbered(df: DataFrame, order: str | Column, name: str = "i") -> DataFrame:
 
     Rows are dealt by range and numbered in each range; the ranges' sizes, one row each, are summed up and joined back.
     """
-    n = max(1, -(-df.count() // RANGE_ROWS))
+    n = ranges_for(df.count())
     key = F.col(order) if isinstance(order, str) else order
-    parts = cut(df.withColumn("_key", key).repartitionByRange(max(2, n), "_key").withColumn("_part", F.spark_partition_id()))
+    parts = cut(df.withColumn("_key", key).repartitionByRange(n, "_key").withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
     here = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
@@ -55,7 +60,7 @@ def running_mean(df: DataFrame) -> DataFrame:
 
     Sums within ranges come from a window, sums of the ranges before from one row per range.
     """
-    n = max(2, -(-df.count() // RANGE_ROWS))
+    n = ranges_for(df.count())
     parts = cut(df.repartitionByRange(n, "seq").withColumn("_part", F.spark_partition_id()))
     sums = parts.groupBy("_part").agg(F.sum(F.col("val") * F.col("n")).alias("_v"), F.sum("n").alias("_w"))
     past = Window.orderBy("_part")

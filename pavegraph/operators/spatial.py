@@ -59,13 +59,24 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(crosses, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
+#: Sources that a catalogue has at most; every region is held against each.
+CATALOGUE_ROWS = 10_000
+
+
+def catalogue(sources: DataFrame) -> DataFrame:
+    """``sources``, after a check that there are few enough to broadcast."""
+    if sources.limit(CATALOGUE_ROWS + 1).count() > CATALOGUE_ROWS:
+        raise ValueError(f"a catalogue has at most {CATALOGUE_ROWS} sources")
+    return sources
+
+
 def select_source(regions: DataFrame, sources: DataFrame, address: Column | None = None) -> DataFrame:
     """(name, source, share): for each region box the source whose coverage it overlaps most, relative to the coverage.
 
     ``sources`` is the small catalogue: (source, keyword, west, south, east, north). With ``address`` a source that has
     a keyword in the address beats those without. Regions without a source are left out; ties go to the first name.
     """
-    r, s = regions.alias("r"), F.broadcast(sources).alias("s")  # a literal catalogue of a few rows
+    r, s = regions.alias("r"), F.broadcast(catalogue(sources)).alias("s")
     east, west = F.least("r.east", "s.east"), F.greatest("r.west", "s.west")
     north, south = F.least("r.north", "s.north"), F.greatest("r.south", "s.south")
     share = (east - west) * (north - south) / ((F.col("s.east") - F.col("s.west")) * (F.col("s.north") - F.col("s.south")))

@@ -229,3 +229,15 @@ def minimum_slice(v: Views) -> DataFrame:
     tiles = v.geo_point().select(tm.tile_x("lon", ZOOM).alias("xtile"), tm.tile_y("lat", ZOOM).alias("ytile"))
     big = tiles.withColumn("bx", F.floor(F.col("xtile") / 4096)).withColumn("by_", F.floor(F.col("ytile") / 4096))
     return big.groupBy("bx", "by_").agg(F.count(F.lit(1)).alias("n"), F.round(F.min(tm.tile_lon("xtile", ZOOM)), 8).alias("west"), F.round(F.max(tm.tile_lat("ytile", ZOOM)), 8).alias("north"))
+
+
+CITY = """b as (select cast(floor((-74.27615e0 + 180e0) / 360e0 * pow(2, 19)) as bigint) as x0, cast(floor((-73.69048e0 + 180e0) / 360e0 * pow(2, 19)) as bigint) as x1, cast(floor((1e0 - asinh(tan(radians(40.92834e0))) / pi()) / 2e0 * pow(2, 19)) as bigint) as y0, cast(floor((1e0 - asinh(tan(radians(40.4889e0))) / pi()) / 2e0 * pow(2, 19)) as bigint) as y1)"""
+
+
+@query(f"with {CITY} select c // 4 as big_col, count(*) as tiles, cast(min(c * (y1 - y0 + 1) + r) as bigint) as first, cast(max(c * (y1 - y0 + 1) + r) as bigint) as last from (select *, unnest(range(x1 - x0 + 1)) as c from b) q, lateral (select unnest(range(y1 - y0 + 1)) as r) o group by 1")
+def city_grid(v: Views) -> DataFrame:
+    """All tiles of a city's box at zoom 19, numbered and dealt to canvases of four by four: the whole grid is enumerated lazily."""
+    city = catalog.sources(v.spark).filter("source = 'nyc'").select(F.col("source").alias("name"), "south", "west", "north", "east")
+    tiles = grid.regions_to_tiles(city, 19)
+    canvases = grid.stitch_index(tiles, 4, 1 << 10)
+    return canvases.groupBy("big_col").agg(F.count(F.lit(1)).alias("tiles"), F.min("idd").alias("first"), F.max("idd").alias("last"))

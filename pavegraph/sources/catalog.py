@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tilemath as tm
-from ..operators.spatial import select_source
+from ..operators.spatial import catalogue, select_source
 from .paths import parse_location
 
 #: Name, keywords, coverage (west, south, east, north; maine a box around its outline), zoom, image
@@ -99,7 +99,7 @@ def resolve(items: DataFrame, gazetteer: DataFrame, table: DataFrame) -> DataFra
     west, north, east) knows. Of the sources that cover it those named in the address come first, then those of which it
     covers most. ``table`` is the catalogue.
     """
-    names = F.broadcast(table.select(F.col("source").alias("item"), F.col("source").alias("own")))  # a literal catalogue
+    names = F.broadcast(catalogue(table).select(F.col("source").alias("item"), F.col("source").alias("own")))
     known = items.select("item").distinct().join(names, "item", "left")
     boxes = parse_location(known.filter("own is null").select(F.col("item").alias("id"), F.col("item").alias("location")))
     there = boxes.filter("south is not null").select(F.col("id").alias("name"), F.lit("").alias("display"), "south", "west", "north", "east")
@@ -130,7 +130,7 @@ def keywords_sql() -> str:
 
 def by_keyword(addresses: DataFrame, table: DataFrame) -> DataFrame:
     """(source, keyword, address): sources of which a keyword stands in an address, whatever the case."""
-    words = F.broadcast(table.select("source", F.explode("keyword").alias("keyword")))  # a literal catalogue
+    words = F.broadcast(catalogue(table).select("source", F.explode("keyword").alias("keyword")))
     return addresses.join(words, F.contains(F.lower("address"), F.lower("keyword"))).select("source", "keyword", "address")
 
 
