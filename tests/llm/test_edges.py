@@ -209,6 +209,85 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.toxicity(docs, labels.filter("doc_id = -1")).collect()} == {0.0}
 
 
+def plain_features(t, weights):
+    words = re.findall(r"[^\W\d_]+", t.lower())
+
+    def weight(w):
+        found = [weights.get("=" + w, 0.0)]
+        return max(found + [weights.get(w[:n], 0.0) for n in (4, 5, 6)]) if len(w) > 3 else found[0]
+
+    each = [weight(w) for w in words]
+    n, raw = max(1, len(words)), t.encode()
+    you = [w in toxicity.SECOND_PERSON for w in words]
+    hits = [i for i, x in enumerate(each) if x > 0]
+    near = sum(1 for i in hits if any(you[max(0, i - 5) : i + 6]))
+    mixed = [m for m in re.findall(r"[\w@$!]+", t) if re.search(r"[^\W\d_]", m) and re.search(r"[0-9@$!]", m)]
+    mixed = [m.rstrip("0123456789_@$!") for m in mixed if re.search(r"[^\W\d_]", m)]
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 for b in raw)
+    top = sorted((each[i] for i in hits), reverse=True)[:3]
+    return {
+        "weight_density": sum(each) / n,
+        "hit_density": len(hits) / n,
+        "weight_max": max(top, default=0.0),
+        "weight_top": sum(top),
+        "hits": len(hits),
+        "near_you": near,
+        "near_density": near / n,
+        "you_density": sum(you) / n,
+        "capitals": sum(65 <= b <= 90 for b in raw) / max(1, letters),
+        "exclaims": t.count("!") / max(1, len(raw)),
+        "questions": t.count("?") / max(1, len(raw)),
+        "punctuation": sum(chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for b in raw) / max(1, len(raw)),
+        "digits": sum(48 <= b <= 57 for b in raw) / max(1, len(raw)),
+        "word_length": sum(map(len, words)) / n,
+        "log_words": np.log1p(len(words)),
+    }
+
+
+def test_features_equal_plain_ones():
+    weights = {"=moronx": 2.0, "scum": 1.5, "pathe": 0.7, "=du": 0.2}
+    texts = ["", "You utter MORONX!! pathetic scumx?", "du bist 3 scummy, tu es b4d m0ron", prose(60, 900) + " you " + prose(3, 901) + " moronx " + prose(30, 902), "ÄÖ ß 😀 a_b (x) [y]", None]
+    for t in texts:
+        got = dict(zip(toxicity.FEATURES, toxicity.features_of(text(t), toxicity.Lexicon(weights))))
+        for name, value in plain_features(text(t), weights).items():
+            assert abs(got[name] - value) < 1e-12, (t, name)
+
+
+def test_trees_score_by_walking_them():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 5))
+    x[:, 1] = np.where(x[:, 1] < 0.8, 0, x[:, 1])
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 0)).astype(float)
+    trees = toxicity.Trees().fit(x, y)
+    for row, got in zip(x, trees.score(x)):
+        total = trees.base
+        for which, cut, leaf in trees.trees:
+            node = 0
+            for _ in range(trees.depth):
+                w = which[node]
+                right = w >= 0 and sum(row[w] > e for e in trees.edges[w]) > cut[node]
+                node = 2 * node + 1 + int(right)
+            total += leaf[node - (2**trees.depth - 1)]
+        assert abs(got - total) < 1e-9
+    assert np.mean((trees.score(x) > 0) == (y > 0)) > 0.97
+
+
+def test_isotonic_steps_are_the_best_monotone_fit():
+    rng = np.random.default_rng(2)
+    s = np.round(rng.random(60), 2)
+    y = (rng.random(60) < s).astype(float)
+    values = sorted(set(s))
+    sums, counts = np.array([y[s == v].sum() for v in values]), np.array([(s == v).sum() for v in values])
+    best = np.array([max(min(sums[j : k + 1].sum() / counts[j : k + 1].sum() for k in range(i, len(values))) for j in range(i + 1)) for i in range(len(values))])
+    out = np.zeros(len(values))
+    for v in np.unique(best.round(12)):  # blocks of one value, drawn a little to the middle
+        mine = best.round(12) == v
+        out[mine] = (sums[mine].sum() + 0.5) / (counts[mine].sum() + 1)
+    out = np.maximum.accumulate(out)
+    knots, heights = toxicity.isotonic(s, y)
+    assert np.allclose(np.interp(values, knots, heights), out)
+
+
 def test_scores_never_see_held_out_labels(spark):
     corpus = _table(spark, [(i, prose(30, 300 + i) + (" scumx" if i % 3 == 0 else "")) for i in range(120)], "held")
     labels = [(i, int(i % 3 == 0)) for i in range(120)]
