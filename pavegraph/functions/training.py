@@ -124,8 +124,8 @@ def scaled_size(width: Column, height: Column, short: int) -> tuple[Column, Colu
 
 
 def scale_key(prefix: str, scale: Column) -> Column:
-    """The name of an output at a scale, such as pred_05x for 0.5."""
-    return F.concat(F.lit(prefix + "_"), F.regexp_replace(scale.cast("string"), r"\.", ""), F.lit("x"))
+    """The name of an output at a scale, such as pred_0.5x."""
+    return F.concat(F.lit(prefix + "_"), scale.cast("string"), F.lit("x"))
 
 
 def solarized(value: Column, threshold: float) -> Column:

@@ -266,3 +266,30 @@ def centerlines_of_polygons(v: Views) -> DataFrame:
 
     found = centerlines.centerlines(v.polygon().select("geom_id", "ring"), 0.5)
     return found.groupBy("geom_id").agg(F.count(F.lit(1)).alias("n_parts"), F.round(F.sum(shape.line_length(F.col("pts"))), 6).alias("length"))
+
+
+@query(with_ctes(STREETS, "select line_id, round(length + 2e0 * floor(length * 0.8e0), 2) as length from sl"), "street")
+def lengthened_lines(v: Views) -> DataFrame:
+    """Lines made longer at both ends by the whole part of four fifths of their length."""
+    return topology.lengthened(v.street(), 0.8).select("line_id", F.round(shape.line_length(F.col("pts")), 2).alias("length"))
+
+
+@query("select geom_id, case when kind = 0 then 5 else 7 end as points from rect", "rect")
+def straightened_rings(v: Views) -> DataFrame:
+    """Rings with a point in the middle of their first side, which straightening takes out again."""
+    r = F.col("ring")
+    middle = F.array(F.struct(((r[0]["x"] + r[1]["x"]) / 2.0).alias("x"), ((r[0]["y"] + r[1]["y"]) / 2.0).alias("y")))
+    bent = v.polygon().withColumn("ring", F.concat(lines.plain_ring(F.slice(r, 1, 1)), middle, lines.plain_ring(F.slice(r, 2, 10))))
+    return polygons.straightened(bent.select("geom_id", "ring"), 10.0).select("geom_id", F.size("simple").alias("points"))
+
+
+@query("select geom_id, round((w + 2e0) * (h + 2e0), 6) as wider, case when least(w, h) > 1e0 then round((w - 1e0) * (h - 1e0), 6) end as narrower from rect", "rect")
+def mitred_buffers(v: Views) -> DataFrame:
+    """The boxes of all polygons moved out by one and in by a half, with mitred corners."""
+    r = v.rect()
+    p = lambda a, b: F.struct((F.col("x0") + a).alias("x"), (F.col("y0") + b).alias("y"))
+    w, h, z = F.col("w"), F.col("h"), F.lit(0.0)
+    boxes = r.select("geom_id", F.array(p(z, z), p(w, z), p(w, h), p(z, h), p(z, z)).alias("ring"))
+    wide = polygons.buffered(boxes, 1.0).withColumnRenamed("moved", "wide")
+    both = polygons.buffered(wide, -0.5)
+    return both.select("geom_id", F.round(shape.ring_area(F.col("wide")), 6).alias("wider"), F.round(shape.ring_area(F.col("moved")), 6).alias("narrower"))

@@ -216,3 +216,27 @@ def classes_in_tiles(v: Views) -> DataFrame:
     px = v.mask_px()
     kinds = px.filter("v < 3").groupBy("tile").agg(F.count_distinct("v").alias("classes"))
     return polygonize.has_class(px, 2).join(kinds, "tile", "left").select("tile", F.col("present").alias("crosswalks"), F.coalesce("classes", F.lit(0)).alias("classes"))
+
+
+@query("select p_partkey, path, count(*) over () as matches from (select p_partkey, 'a/b_' || p_partkey || '.png' as path from part) t where starts_with(split_part(path, '/', 2), 'b_1') and ends_with(path, '7.png')")
+def found_files(v: Views) -> DataFrame:
+    """Files told by the beginning and the end of their name."""
+    files = v.table("part").select(F.concat(F.lit("a/b_"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"))
+    return paths.found_files(files, "b_1", "7.png").select(F.regexp_extract("path", r"_(\d+)\.", 1).cast("long").alias("p_partkey"), "path", "matches")
+
+
+@query("select c_custkey as id, n_nationkey as place from customer left join nation on n_nationkey = c_nationkey and n_nationkey % 5 > 0")
+def geocoded(v: Views) -> DataFrame:
+    """Addresses looked up in a gazetteer that knows four places of five."""
+    n = v.table("nation")
+    key = F.col("n_nationkey").cast("double")
+    gazetteer = n.filter("n_nationkey % 5 > 0").select(F.col("n_name").alias("place"), *(key.alias(c) for c in ("south", "west", "north", "east")))
+    addresses = v.table("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat("n_name", F.lit(", World")).alias("address"))
+    return paths.geocode(addresses, gazetteer).select("id", F.col("south").cast("long").alias("place"))
+
+
+@query(f"select source, 'POLYGON ((' || west || ' ' || south || ', ' || east || ' ' || north || '))' as wkt from ({catalog.values_sql()}) s")
+def coverage_text(v: Views) -> DataFrame:
+    """The coverage of each source as text, simplified to its diagonal."""
+    ring = F.array(F.struct(F.col("west").alias("x"), F.col("south").alias("y")), F.struct(F.col("east").alias("x"), F.col("north").alias("y")))
+    return catalog.coverage(v.spark).select("source", vectors.wkt_polygon(F.array(ring)).alias("wkt"))

@@ -140,7 +140,7 @@ def crop_placement(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", start.cast("long").alias("start"), before.cast("long").alias("before"), after.cast("long").alias("after"), tr.centre_crop(size, F.lit(31)).alias("middle"))
 
 
-@query("select p_partkey, case when w <= h then 64 else cast(floor(64e0 * w / h) as bigint) end as width, case when w <= h then cast(floor(64e0 * h / w) as bigint) else 64 end as height, 'pred_' || replace(s, '.', '') || 'x' as key from (select p_partkey, cast(p_size as double) as w, cast(p_partkey % 17 + 1 as double) as h, case p_partkey % 3 when 0 then '0.5' when 1 then '1.0' else '2.0' end as s from part) t")
+@query("select p_partkey, case when w <= h then 64 else cast(floor(64e0 * w / h) as bigint) end as width, case when w <= h then cast(floor(64e0 * h / w) as bigint) else 64 end as height, 'pred_' || s || 'x' as key from (select p_partkey, cast(p_size as double) as w, cast(p_partkey % 17 + 1 as double) as h, case p_partkey % 3 when 0 then '0.5' when 1 then '1.0' else '2.0' end as s from part) t")
 def scaled_sizes(v: Views) -> DataFrame:
     """Sizes after the shorter side is scaled to 64, and the names of outputs at scales."""
     w, h = tr.scaled_size(F.col("p_size").cast("double"), (F.col("p_partkey") % 17 + 1).cast("double"), 64)

@@ -104,3 +104,10 @@ def numbered_files(files: DataFrame) -> DataFrame:
     """(idd, path): files by the number at the end of their stem, after the last underscore."""
     number = F.regexp_extract("path", r"_(\d+)\.[^./]+$", 1)
     return files.filter(number != "").select(number.cast("long").alias("idd"), "path")
+
+
+def found_files(files: DataFrame, prefix: str = "", suffix: str = "") -> DataFrame:
+    """(path, matches) of files whose name begins and ends so; ``matches`` is how many there are, 1 where a name is told by them."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kept = files.filter(name.startswith(prefix) & name.endswith(suffix))
+    return kept.select("path").crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("matches"))))  # one row on the right
