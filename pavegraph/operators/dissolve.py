@@ -7,13 +7,20 @@ cells are small, needs no geometry to be whole in one task, and polygons that ov
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shape import bounding_box
+from ..functions.storage import table
 from .components import components
+from .polygonize import label_grid
 from .spatial import point_in_ring
 
+#: Cells along a side of the squares that are labelled at once.
+BLOCK = 256
+
 
 def rasterised(polygons: DataFrame, cell: float, by: str = "f_type") -> DataFrame:
     """(by, cx, cy): the cells of each class whose centre lies in a polygon (ring)."""
@@ -45,12 +52,32 @@ def closed(polygons: DataFrame, cell: float, radius: int, by: str = "f_type") ->
 
 
 def dissolved(cells: DataFrame, by: str = "f_type", width: int = 1 << 20) -> DataFrame:
-    """(by, part, n_cells): the connected parts of each class; cells must have coordinates within +-width/2."""
-    key = (F.col("cx") + width // 2) * width + F.col("cy") + width // 2
-    keyed = cells.select(F.struct(F.col(by).alias("k"), key.alias("c")).alias("node"), by, "cx", "cy")
-    east = keyed.select(F.col("node").alias("a"), F.struct(F.col(by).alias("k"), (F.col("node.c") + width).alias("c")).alias("b"))
-    north = keyed.select(F.col("node").alias("a"), F.struct(F.col(by).alias("k"), (F.col("node.c") + 1).alias("c")).alias("b"))
-    links = east.union(north).join(keyed.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-    roots = components(links)
-    parts = keyed.withColumnRenamed("node", "own").join(roots, F.col("own") == roots["node"], "left")
-    return parts.groupBy(by, F.coalesce("root", "own").alias("part")).agg(F.count(F.lit(1)).alias("n_cells")).select(by, F.col("part.c").alias("part"), "n_cells")
+    """(by, part, n_cells): the connected parts of each class, named by their first cell; coordinates lie within +-width/2.
+
+    Squares of BLOCK cells are labelled in one Arrow group each. Only parts that touch over the edges of squares, a row
+    for each such pair, go through the rounds of ``components``.
+    """
+    off = width // 2
+
+    def label(t: pa.Table) -> pa.Table:
+        x, y = t.column("cx").to_numpy(), t.column("cy").to_numpy()
+        west, south = int(x.min()), int(y.min())
+        there = np.zeros((int(x.max()) - west + 1, int(y.max()) - south + 1), bool)
+        there[x - west, y - south] = True
+        first = label_grid(np.zeros(there.shape, np.int64), there)[x - west, y - south]
+        local = (west + first // there.shape[1] + off) * width + south + first % there.shape[1] + off
+        return pa.table({by: t.column(by), "cx": t.column("cx"), "cy": t.column("cy"), "local": pa.array(local.astype(np.int64))})
+
+    square = lambda c: F.floor(F.col(c) / BLOCK)
+    narrow = cells.select(by, F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy"))
+    labelled = table(narrow.groupBy(by, square("cx"), square("cy")).applyInArrow(label, f"`{by}` {cells.schema[by].dataType.simpleString()}, cx long, cy long, local long"))
+    node = lambda c: F.struct(F.col(by).alias("k"), F.col(c).alias("c"))
+    links = []
+    for c in ("cx", "cy"):
+        last = labelled.filter(F.pmod(c, F.lit(BLOCK)) == BLOCK - 1).withColumn(c, F.col(c) + 1).withColumnRenamed("local", "before")
+        first = labelled.filter(F.pmod(c, F.lit(BLOCK)) == 0)
+        links.append(last.join(first, [by, "cx", "cy"]).select(node("before").alias("a"), node("local").alias("b")))
+    roots = components(links[0].union(links[1]))
+    parts = labelled.groupBy(by, "local").agg(F.count(F.lit(1)).alias("n")).withColumn("own", node("local"))
+    merged = parts.join(roots, F.col("own") == roots["node"], "left")
+    return merged.groupBy(by, F.coalesce("root", "own").alias("part")).agg(F.sum("n").alias("n_cells")).select(by, F.col("part.c").alias("part"), "n_cells")
