@@ -37,7 +37,7 @@ def test_crossings_of_all_lines(spark):
 
     rng = random.Random(3)
     lines = [(i, [(float(rng.randrange(200)), float(rng.randrange(200))) for _ in range(rng.randint(1, 4))]) for i in range(40)]
-    view = SimpleNamespace(line=lambda: spark.createDataFrame(lines, "line_id long, pts array<struct<x: double, y: double>>"))
+    view = SimpleNamespace(street=lambda: spark.createDataFrame(lines, "line_id long, pts array<struct<x: double, y: double>>"))
 
     def cross(p, q, r, s):
         det = (q[0] - p[0]) * (s[1] - r[1]) - (q[1] - p[1]) * (s[0] - r[0])
