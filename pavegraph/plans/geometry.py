@@ -153,7 +153,7 @@ def ends_on_lines(v: Views) -> DataFrame:
 
 
 @query(with_ctes(STREETS, "select s.line_id, case when s.n = 0 and e.n = 0 then 'both' when s.n = 0 then 'start' when e.n = 0 then 'end' else 'none' end as open_end from tn s join tn e on s.line_id = e.line_id and s.which = 'start' and e.which = 'end'"), "street")
-def open_ends(v: Views) -> DataFrame:
+def loose_ends(v: Views) -> DataFrame:
     return lines.end_cases(v.street(), 8.0)
 
 
