@@ -7,7 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut, discard, remove, shared_dir, table
 
-__all__ = ["blocks_for", "cut", "discard", "read", "remove", "shared_dir", "table", "text_of", "without"]
+__all__ = ["blocks_for", "cut", "discard", "read", "remove", "shared_dir", "small_batches", "table", "text_of", "without"]
+
+
+#: Rows that a task hands to Python at once; whole texts may be long, and both sides hold a batch.
+BATCH_ROWS = 1_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts go to Python in batches of at most BATCH_ROWS from now on; a smaller setting stays."""
+    now = int(spark.conf.get(BATCH_CONF, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

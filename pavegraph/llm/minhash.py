@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components, merged
-from .common import discard, table, without
+from .common import discard, small_batches, table, without
 from .hashing import U, Words, groups, mix, rolled, utf8
 
 SHINGLE = 5
@@ -272,6 +272,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str
     then, in bands that still hold several components, the texts outside the largest one are compared with all others.
     Nothing that could join two classes is left out, and the rows of every round are in proportion to the texts.
     """
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = table(signatures(narrow, weighting, bands, rows))
     key = lambda same: F.coalesce("id", F.xxhash64(same))  # noqa: E731  never null

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Labelled rows that fitting sees at most, those of lowest hash; a documented bound of the sample.
 SAMPLE_ROWS = 20_000
@@ -214,6 +214,7 @@ def lexicon_from(counts: list[tuple[str, float, float]], toxic: float, clean: fl
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), of which rows with crc32(doc_id) % 5 = 0 are never seen."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.filter("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -279,6 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as bounded as the sample
 
