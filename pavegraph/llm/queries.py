@@ -10,13 +10,16 @@ from .common import read
 from .decontam import decontaminate
 from .exact import exact_dedup
 from .extract import extract
+from .licenses import PHRASES, STRIDE, TEMPLATES, Template, license_scan, words_of
 from .minhash import near_classes
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .substring import substring_dedup
 from .suffix import suffix_dedup
 from .tokens import token_counts
 from .toxicity import toxicity
 from .warc import round_trip
+from .whitening import component_rows, whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,7 +68,56 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_rows(whiten(read(spark, sf_dir, "embeddings")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))[0].drop("turn_id")
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents")).drop("matches")
+
+
+def _rows(of) -> str:
+    return ", ".join("(" + ", ".join("[" + ", ".join(f"'{w}'" for w in v) + "]" if isinstance(v, (list, tuple)) else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in of)
+
+
 SQL: dict[str, str] = {
+    "op12_prefix_trie": """
+        with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p,
+                          {'r': coalesce(role, ''), 't': coalesce(text, '')} as k from conversations where conv_id is not null),
+        own as (select conv_id, list(k order by p) as ks from t group by conv_id),
+        h as (select *, conv_id - conv_id % 100 as first,
+                     xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                         lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 6 as h from own),
+        c as (select a.conv_id, coalesce(list_slice(b.ks, 1, a.h), []) || list_slice(a.ks, a.h + 1, len(a.ks)) as ks from h a left join own b on a.first = b.conv_id),
+        m as (select conv_id, ks, unnest(range(0, len(ks) + 1)) as d from c),
+        p as (select conv_id, len(ks) = d as ends, d, list_slice(ks, 1, d) as k from m),
+        n as (select k, d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ends,
+                     case when d = 0 then 0 else (count(*) - 1) * length(k[d].t) end as saved from p group by k, d),
+        kids as (select list_slice(k, 1, d - 1) as k, count(*) as n_children from n where d > 0 group by 1),
+        f as (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (k)),
+        u as (select list_slice(k, 1, e) as k, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum(saved) as saved_tokens from (select k, n_children, saved, unnest(range(0, d + 1)) as e from f) group by 1)
+        select f.conv_id, f.d as depth, up.conv_id as parent_conv_id, f.n_convs, f.n_children, u.n_leaves::bigint as n_leaves, u.saved_tokens::bigint as saved_tokens, sha256(f.ends) as ends_sha256
+        from f join u using (k) left join n up on f.d > 0 and up.k = list_slice(f.k, 1, f.d - 1)
+    """,
+    "op13_licenses": rf"""
+        with d as (select row_number() over () as uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        ph(ws, label) as (values {_rows((words_of(p), label) for p, label in PHRASES)}),
+        hit as (select uid, s - 1 as s, label from (select uid, w, ws, label, unnest(range(1, len(w) - len(ws) + 2)) as s from d, ph where list_has_all(w, ws)) where list_slice(w, s, s + len(ws) - 1) = ws),
+        base as (select uid, count(*) as n, min(s) as a, max(s) as b, list_sort(list_distinct(list(label))) as labels from hit group by uid),
+        tp(label, ws, least) as (values {_rows((t.label, sorted(t.words), t.least) for t in (Template.of(*x) for x in TEMPLATES))}),
+        bl as (select uid, b, list_distinct(list_slice(w, b * {STRIDE} + 1, (b + 2) * {STRIDE})) as ws from (select uid, w, unnest(range(0, greatest(1, ceil(len(w) / {STRIDE})::bigint - 1))) as b from d)),
+        may as (select uid, b, label, tp.ws, len(list_intersect(bl.ws, tp.ws)) as o, len(tp.ws) as n from bl, tp where len(list_intersect(bl.ws, tp.ws)) >= least),
+        met as (select * from may where not exists (select 1 from may as m where m.uid = may.uid and m.b = may.b and m.n > may.n and list_has_all(m.ws, may.ws))),
+        lab as (select uid, list_distinct(list(label)) as labels, max(o / n) as share from met group by uid)
+        select doc_id, len(w) as n_words, coalesce(n, 0) as n_base, a as first_word, b as last_word, coalesce(array_to_string(base.labels, ','), '') as base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(coalesce(base.labels, []) || coalesce(lab.labels, []))), ','), '') as labels,
+               case when n > 0 then 1e0 else coalesce(share, 0e0) end as score
+        from d left join base using (uid) left join lab using (uid)
+    """,
     "op2_substring_dedup": r"""
         with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
         s as (select doc_id, unnest(range(1, len(w) - 33)) as s, w from d where len(w) >= 35),
