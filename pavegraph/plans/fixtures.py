@@ -1,4 +1,7 @@
-"""Views over the driver tables that stand in for tiles, polygons, lines and masks, for Spark and as SQL for the oracle."""
+"""Views over the driver tables that stand in for tiles, polygons, lines and masks, for Spark and as SQL for the oracle.
+
+Planes of polygons and lines grow eastwards with the keys, so shapes lie as close in large tables as in small ones.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 SQL = {
     "geo_point": "select c_custkey as id, c_nationkey as nation, -60e0 + cast((c_custkey * 7919) % 120000 as double) / 1e3 as lat, -179e0 + cast((c_custkey * 104729) % 358000 as double) / 1e3 as lon from customer",
     "region_box": "select cast(nation as varchar) as name, min(lat) as south, min(lon) as west, max(lat) as north, max(lon) as east from geo_point group by nation",
-    "rect": "select p_partkey as geom_id, cast(p_size as double) as w, cast(p_partkey % 17 + 1 as double) as h, cast((p_partkey * 7919) % 2000 as double) as x0, cast((p_partkey * 104729) % 1500 as double) as y0, p_partkey % 3 as kind from part",
+    "rect": "select p_partkey as geom_id, cast(p_size as double) as w, cast(p_partkey % 17 + 1 as double) as h, cast((p_partkey * 7919) % 2000 + p_partkey // 2000 * 2100 as double) as x0, cast((p_partkey * 104729) % 1500 as double) as y0, p_partkey % 3 as kind from part",
     "vertex": """select geom_id, vtx_no, x0 + dx as x, y0 + dy as y from (
         select geom_id, x0, y0, 0 as vtx_no, 0e0 as dx, 0e0 as dy from rect union all
         select geom_id, x0, y0, 1, w, 0e0 from rect union all
@@ -19,9 +22,9 @@ SQL = {
         select geom_id, x0, y0, 5, 0e0, h from rect union all
         select geom_id, x0, y0, 6, 0e0, 0e0 from rect) t""",
     "polyline_vertex": """select l_orderkey as line_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as vtx_no,
-        cast(l_partkey % 200 as double) as x, cast(l_suppkey % 200 as double) as y from lineitem""",
+        cast(l_partkey % 200 + l_orderkey // 15000 * 210 as double) as x, cast(l_suppkey % 200 as double) as y from lineitem""",
     "street": """select line_id, vtx_no, x, y from (select l_orderkey as line_id, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as vtx_no,
-        cast(((l_orderkey % 10007) * (l_orderkey % 10007) * 7919 + l_orderkey) % 1201 + l_partkey % 9 as double) as x, cast(((l_orderkey % 10009) * (l_orderkey % 10009) * 104729 + l_orderkey * 31) % 1303 + l_suppkey % 9 as double) as y from lineitem) t where n > 1""",
+        cast(((l_orderkey % 10007) * (l_orderkey % 10007) * 7919 + l_orderkey) % 1201 + l_partkey % 9 + l_orderkey // 15000 * 1300 as double) as x, cast(((l_orderkey % 10009) * (l_orderkey % 10009) * 104729 + l_orderkey * 31) % 1303 + l_suppkey % 9 as double) as y from lineitem) t where n > 1""",
     "tile": "select o_orderkey as idd, cast(floor(o_orderkey / 64e0) as bigint) as col, o_orderkey % 64 as row from orders",
     "labelled": "select doc_id as id, quality as truth, toxic as pred from labels",
     "metric_stream": "select event_id as seq, floor(value * 100e0) as val, user_id % 7 + 1 as n from events",
@@ -66,7 +69,7 @@ class Views:
 
     def rect(self) -> DataFrame:
         k = F.col("p_partkey")
-        return self.table("part").select(k.alias("geom_id"), F.col("p_size").cast("double").alias("w"), (k % 17 + 1).cast("double").alias("h"), ((k * 7919) % 2000).cast("double").alias("x0"), ((k * 104729) % 1500).cast("double").alias("y0"), (k % 3).alias("kind"))
+        return self.table("part").select(k.alias("geom_id"), F.col("p_size").cast("double").alias("w"), (k % 17 + 1).cast("double").alias("h"), ((k * 7919) % 2000 + F.floor(k / 2000) * 2100).cast("double").alias("x0"), ((k * 104729) % 1500).cast("double").alias("y0"), (k % 3).alias("kind"))
 
     def polygon(self) -> DataFrame:
         """(geom_id, ring) with rectangles and L-shapes."""
@@ -84,14 +87,14 @@ class Views:
         """(line_id, pts) in vertex order."""
         p = F.struct(F.col("l_linenumber").alias("k1"), F.col("l_partkey").alias("k2"), F.col("l_suppkey").alias("k3"), F.col("l_extendedprice").alias("k4"), F.col("l_shipdate").alias("k5"))
         lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("line_id")).agg(F.sort_array(F.collect_list(p)).alias("v"))
-        return lines.select("line_id", F.transform("v", lambda v: F.struct((v["k2"] % 200).cast("double").alias("x"), (v["k3"] % 200).cast("double").alias("y"))).alias("pts"))
+        return lines.select("line_id", F.transform("v", lambda v: F.struct((v["k2"] % 200 + F.floor(F.col("line_id") / 15000) * 210).cast("double").alias("x"), (v["k3"] % 200).cast("double").alias("y"))).alias("pts"))
 
     def street(self) -> DataFrame:
         """Short lines (line_id, pts) of two points or more, as far apart on a larger plane as streets are."""
         p = F.struct(F.col("l_linenumber").alias("k1"), F.col("l_partkey").alias("k2"), F.col("l_suppkey").alias("k3"), F.col("l_extendedprice").alias("k4"), F.col("l_shipdate").alias("k5"))
         lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("line_id")).agg(F.sort_array(F.collect_list(p)).alias("v")).filter(F.size("v") > 1)
         k = F.col("line_id")
-        x0, y0 = ((k % 10007) * (k % 10007) * 7919 + k) % 1201, ((k % 10009) * (k % 10009) * 104729 + k * 31) % 1303
+        x0, y0 = ((k % 10007) * (k % 10007) * 7919 + k) % 1201 + F.floor(k / 15000) * 1300, ((k % 10009) * (k % 10009) * 104729 + k * 31) % 1303
         return lines.select("line_id", F.transform("v", lambda v: F.struct((x0 + v["k2"] % 9).cast("double").alias("x"), (y0 + v["k3"] % 9).cast("double").alias("y"))).alias("pts"))
 
     def tile(self) -> DataFrame:
