@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut, discard, remove, shared_dir, table
 
-__all__ = ["blocks_for", "cut", "discard", "read", "remove", "shared_dir", "small_batches", "table", "text_of", "without"]
+__all__ = ["blocks_for", "cut", "discard", "numbered", "read", "remove", "shared_dir", "small_batches", "table", "text_of", "without"]
 
 
 #: Rows that a task hands to Python at once; whole texts may be long, and both sides hold a batch.
@@ -39,7 +39,15 @@ BROADCAST_DROPS = 1_000_000
 
 
 def without(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
-    """``rows`` but for those whose ``key`` is in ``drop`` (one column); a null key is in no such list."""
-    drop = cut(drop.toDF("_drop"))
+    """``rows`` but for those whose ``key`` is in ``drop`` (one column); a null key is in no such list. Any other columns may be there."""
+    name = "drop"
+    while name in map(str.lower, rows.columns):
+        name += "_"
+    drop = cut(drop.toDF(name))
     small = drop.count() <= BROADCAST_DROPS
-    return rows.join(F.broadcast(drop) if small else drop, rows[key] == F.col("_drop"), "left_anti")
+    return rows.join(F.broadcast(drop) if small else drop, rows[key] == drop[name], "left_anti")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(uid, row): the rows of ``docs`` whole, each with a number of its own, written so that the number stays."""
+    return table(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")))

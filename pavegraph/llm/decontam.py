@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, table, without
+from .common import discard, numbered, table, without
 
 #: Words in a window.
 WINDOW = 10
@@ -192,8 +192,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows without a hit, with all their columns; judged as by ``decontaminate``."""
-    marked = table(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    index = Index(marked.select(F.col("_uid").alias("uid"), F.lit(None).cast("string").alias("id"), F.col(text_col).alias("text")), items_of(benchmark, item_col, item_text))
+    marked = numbered(docs)
+    index = Index(marked.select("uid", F.lit(None).cast("string").alias("id"), F.col("row")[text_col].alias("text")), items_of(benchmark, item_col, item_text))
     drop = table(phrase_matches(index).select("uid").distinct())
     index.discard()
-    return without(marked, drop, "_uid").select(*docs.columns)
+    return without(marked, drop, "uid").select("row.*")

@@ -14,7 +14,7 @@ import string
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, table, without
+from .common import discard, numbered, table, without
 
 #: Bytes in a block: large enough for few rows, small enough that long texts spread over many tasks.
 BLOCK_BYTES = 1024
@@ -120,6 +120,7 @@ def _judged(rows: DataFrame, block_bytes: int) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows that ``exact_dedup`` keeps, with all their columns."""
-    marked = table(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    drop = _judged(marked.select(F.col("_uid").alias("uid"), F.col(id_col).alias("id"), normalised(text_col).alias("text")), block_bytes).filter("not kept").select("uid")
-    return without(marked, drop, "_uid").select(*docs.columns)
+    marked = numbered(docs)
+    narrow = marked.select("uid", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text")).select("uid", "id", normalised("text").alias("text"))
+    drop = _judged(narrow, block_bytes).filter("not kept").select("uid")
+    return without(marked, drop, "uid").select("row.*")

@@ -106,5 +106,18 @@ def test_stages_with_nulls_repeated_rows_and_clashing_columns(spark, folder):
 
 def test_one_query_for_each_operator():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_stages_return_columns_of_any_name(spark, folder):
+    names = ["_uid", "_drop", "uid", "ROW", "Drop", "drop_", "ID", "Size"]
+    rows = [(i, t, *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(ROWS)]
+    path = f"{folder}/clashing.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)).write.parquet(path)
+    docs = spark.read.parquet(path)
+    every = set(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) <= every, name
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, docs, folder).collect()} == {i for i, _ in ROWS}
