@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shape import line_length
+from ..functions.storage import table
 from . import polygons, topology
 from .spatial import cell
 
@@ -22,9 +23,13 @@ def squared(dx: Column, dy: Column) -> Column:
 
 
 def spread(segments: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """Segments with the cells (cx, cy) of their box and ``margin`` around it."""
-    span = lambda a, b: F.sequence(cell(F.least(a, b) - margin, size), cell(F.greatest(a, b) + margin, size))
-    return segments.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
+    """Segments with the cells (cx, cy) that they come within ``margin`` of, column by column; so these grow with the length, not its square."""
+    c = F.col
+    columns = segments.withColumn("cx", F.explode(F.sequence(cell(F.least("ax", "bx") - margin, size), cell(F.greatest("ax", "bx") + margin, size))))
+    flat = F.abs(c("bx") - c("ax")) <= TOUCH
+    at = lambda x: c("ay") + (F.least(F.greatest(x, F.least("ax", "bx")), F.greatest("ax", "bx")) - c("ax")) * (c("by") - c("ay")) / (c("bx") - c("ax"))
+    p, q = (F.when(flat, c(end)).otherwise(at(x)) for end, x in (("ay", c("cx") * size - margin), ("by", (c("cx") + 1) * size + margin)))
+    return columns.withColumn("cy", F.explode(F.sequence(cell(F.least(p, q) - margin - TOUCH, size), cell(F.greatest(p, q) + margin + TOUCH, size))))
 
 
 def nearest_point() -> tuple[Column, Column]:
@@ -38,8 +43,7 @@ def nearest_point() -> tuple[Column, Column]:
 def nearest_on_lines(points: DataFrame, lines: DataFrame, radius: float, size: float | None = None, digits: int = 9) -> DataFrame:
     """(id, line_id, x, y, nx, ny, dist): for each point (id, x, y) its nearest point of each nearest line within ``radius``; ties kept.
 
-    A point meets the segments of its own cell only, as these are dealt into all cells within the radius; the least
-    distance is aggregated before it is joined back.
+    A point meets the segments of its own cell only, as these are dealt into all cells within the radius, once.
     """
     size = size or max(radius, 1.0)
     segs = spread(topology.segments(lines), size, radius).select("line_id", "ax", "ay", "bx", "by", "cx", "cy")
@@ -47,8 +51,8 @@ def nearest_on_lines(points: DataFrame, lines: DataFrame, radius: float, size: f
     nx, ny = nearest_point()
     near = met.withColumns({"nx": nx, "ny": ny}).withColumn("dist", F.round(F.sqrt(squared(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))), digits)).filter(F.col("dist") <= radius)
     by_line = near.groupBy("id", "line_id").agg(F.min(F.struct("dist", "nx", "ny", "x", "y")).alias("b")).select("id", "line_id", "b.*")
-    least = near.groupBy("id").agg(F.min("dist").alias("_least"))
-    return by_line.join(least, "id").filter("dist = _least").drop("_least")
+    least = F.min("dist").over(Window.partitionBy("id"))  # over the lines near one point
+    return by_line.withColumn("_least", least).filter("dist = _least").drop("_least")
 
 
 def touching(lines: DataFrame, size: float) -> DataFrame:
@@ -133,7 +137,7 @@ def extended_lines(lines: DataFrame, reach: float, size: float, barrier: DataFra
 def cuts(lines: DataFrame, size: float) -> DataFrame:
     """(line_id, at, x, y): places where another line meets a line, ``at`` counting segments from its start; its own ends left out.
 
-    Parallel segments that lie on each other are not cut.
+    Parallel segments that lie on each other are not cut; ``planar`` parts these first.
     """
     segs = topology.segments(lines)
     a = spread(segs, size, TOUCH).select("line_id", "seg", "ax", "ay", "bx", "by", "cx", "cy")
@@ -149,6 +153,35 @@ def cuts(lines: DataFrame, size: float) -> DataFrame:
     return once.join(last, "line_id").filter("at > 0 and at < _last").drop("_last")
 
 
+def disjoint_segments(lines: DataFrame) -> DataFrame:
+    """(ax, ay, bx, by): all that the segments of lines cover, in segments of which no two lie on each other.
+
+    Segments on one straight line share its direction and offset (rounded to nine and six digits). A sweep along each
+    straight line counts the segments that begin and end, and keeps what lies between two such points under any of them.
+    """
+    s = topology.segments(lines).select(*(F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")))
+    back = (F.col("ax") > F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") > F.col("by")))
+    a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
+    s = s.select(F.when(back, b).otherwise(a).alias("a"), F.when(back, a).otherwise(b).alias("b")).filter("a != b").distinct()
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    length = F.sqrt(squared(dx, dy))
+    u = s.withColumns({"ux": dx / length, "uy": dy / length})
+    on = F.struct(F.round("ux", 9).alias("ux"), F.round("uy", 9).alias("uy"), F.round(F.col("ux") * F.col("a.y") - F.col("uy") * F.col("a.x"), 6).alias("offset"))
+    along = lambda p: F.round(F.col("ux") * F.col(f"{p}.x") + F.col("uy") * F.col(f"{p}.y"), 6)
+    event = lambda p, n: F.struct(along(p).alias("t"), F.lit(n).alias("n"), F.col(p).alias("p"))
+    events = u.select(on.alias("on"), F.explode(F.array(event("a", 1), event("b", -1))).alias("e")).groupBy("on", "e.t").agg(F.sum("e.n").alias("n"), F.min("e.p").alias("p"))
+    order = Window.partitionBy("on").orderBy("t")
+    swept = events.select("p", F.sum("n").over(order).alias("depth"), F.lead("p").over(order).alias("q")).filter("depth > 0")
+    return swept.select(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
+
+
+def planar(lines: DataFrame, size: float) -> DataFrame:
+    """(pts): the network of ``lines`` in pieces of one segment, which meet at their ends only; what lies on each other comes once."""
+    apart = table(disjoint_segments(lines).withColumn("line_id", F.monotonically_increasing_id()))
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return noded(apart.select("line_id", F.array(point("ax", "ay"), point("bx", "by")).alias("pts")), size).select("pts")
+
+
 def noded(lines: DataFrame, size: float) -> DataFrame:
     """(line_id, piece, pts): the network of ``lines`` cut wherever another line meets them."""
     at = cuts(lines, size).groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("at", "x", "y"))).alias("marks"))
@@ -188,6 +221,16 @@ def walk_network(sidewalks: DataFrame, crosswalks: DataFrame, size: float, reach
     return distinct_lines(out.na.drop())
 
 
+def network(sidewalk_lines: DataFrame, crosswalk_lines: DataFrame, size: float, reach: float = 12.0) -> DataFrame:
+    """(f_type, pts): lines (pts) of sidewalks and crosswalks as one network.
+
+    Sidewalks become planar, crosswalks are drawn out to the lines ahead of them, and their open ends are connected.
+    """
+    side = table(planar(sidewalk_lines.select(F.monotonically_increasing_id().alias("line_id"), F.col("pts").cast(POINTS).alias("pts")), size).withColumn("line_id", F.monotonically_increasing_id()))
+    cross = table(crosswalk_lines.select((-1 - F.monotonically_increasing_id()).alias("line_id"), F.col("pts").cast(POINTS).alias("pts")))
+    return walk_network(side, table(extended_lines(cross, reach, size)), size, reach)
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """One of each equal geometry; a line and its reverse are different."""
     return lines.groupBy("pts").agg(F.min("f_type").alias("f_type")).select("f_type", "pts")

@@ -346,25 +346,27 @@ def _strips(xy: np.ndarray, distance: float, shut: bool) -> Iterator[np.ndarray]
             yield wedge if distance > 0 else wedge[::-1]
 
 
-def strips(lines: DataFrame, distance: float | dict, by: str, column: str = "ring", shut: bool = True) -> DataFrame:
-    """(by, ring): pieces beside closed rings (or open lines), to the right by ``distance`` or to the left by its negative.
+def strips(lines: DataFrame, distance: float | dict | str, by: str, column: str = "ring", shut: bool = True, inwards: bool = False) -> DataFrame:
+    """(by, ring): pieces beside closed rings (or open lines), to the right by ``distance``, or to the left if ``inwards``.
 
-    A dictionary has a distance for each value of ``by``; lines of other values have no pieces.
+    A dictionary has a distance for each value of ``by``, a text names a column. What has no distance has no pieces.
     """
+    far = F.col(distance).cast("double") if isinstance(distance, str) else F.lit(None if isinstance(distance, dict) else float(distance)).cast("double")
+    sign = -1.0 if inwards else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rings = [], []
-            for row, (name, pts) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                far = distance.get(name, 0.0) if isinstance(distance, dict) else distance
-                if far and pts and len(pts) > 1:
-                    for piece in _strips(np.array([(p["x"], p["y"]) for p in pts], float), far, shut):
+            for row, (name, pts, own) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+                own = distance.get(name) if isinstance(distance, dict) else own
+                if own and pts and len(pts) > 1:
+                    for piece in _strips(np.array([(p["x"], p["y"]) for p in pts], float), sign * own, shut):
                         keys.append(row)
                         rings.append([{"x": x, "y": y} for x, y in [*piece.tolist(), piece[0].tolist()]])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(rings, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], names=[by, "ring"])
 
     kind = lines.schema[by].dataType.simpleString()
-    return lines.select(by, plain(F.col(column)).alias("ring")).mapInArrow(run, f"`{by}` {kind}, ring {RING}")
+    return lines.select(by, plain(F.col(column)).alias("ring"), far.alias("far")).mapInArrow(run, f"`{by}` {kind}, ring {RING}")
 
 
 def grown(rings: DataFrame, distance: float | dict, by: str = "f_type", **how) -> DataFrame:
@@ -374,8 +376,7 @@ def grown(rings: DataFrame, distance: float | dict, by: str = "f_type", **how) -
 
 def shrunk(rings: DataFrame, distance: float | dict, by: str = "f_type", **how) -> DataFrame:
     """Directed rings (by, ring) moved inwards. Those that overlap within a class have to be dissolved before."""
-    inwards = {k: -d for k, d in distance.items()} if isinstance(distance, dict) else -distance
-    return overlay(rings.select(by, "ring"), strips(rings, inwards, by), "difference", by, **how)
+    return overlay(rings.select(by, "ring"), strips(rings, distance, by, inwards=True), "difference", by, **how)
 
 
 #: Distances out and back of each class. Fixed values.

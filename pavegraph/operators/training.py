@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +152,39 @@ def region_covariance(px: DataFrame, radius: int) -> DataFrame:
     return pairs.groupBy("tile", "i", "j").agg((F.sum(F.col("a") * F.col("b")) - F.sum("a") * F.sum("b") / F.count(F.lit(1))).alias("cov"))
 
 
+#: Added to the diagonals of covariances, so that they can be inverted. Fixed value.
+REGION_ALPHA = 5e-4
+
+
+def region_loss(px: DataFrame, radius: int = 3, alpha: float = REGION_ALPHA) -> DataFrame:
+    """(tile, loss): half the log determinant of what the probabilities leave open of the labels' regions.
+
+    ``px``: (tile, r, c, label, prob), all pixels of each tile; a pixel's region is the radius x radius square that begins
+    at it. With P, L and Q the covariances of probabilities, of labels, and between them, that is
+    log det(L + a - Q (P + a)^-1 Q') / 2, which is the joint matrix's log determinant less that of P + a; both come from
+    batched Cholesky factors. A tile is a value; its pixels are listed in one row.
+    """
+    pixels = px.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("r", "c", F.col("label").cast("double").alias("label"), F.col("prob").cast("double").alias("prob")))).alias("px"))
+    kind = px.schema["tile"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            loss = []
+            for pts in batch.column(1).to_pylist():
+                h, w = max(p["r"] for p in pts) + 1, max(p["c"] for p in pts) + 1
+                if len(pts) != h * w or h < radius or w < radius:
+                    loss.append(None)
+                    continue
+                both = np.array([[p["prob"] for p in pts], [p["label"] for p in pts]]).reshape(2, h, w)
+                x = np.lib.stride_tricks.sliding_window_view(both, (radius, radius), axis=(1, 2)).reshape(2, -1, radius * radius)
+                x = np.concatenate(x - x.mean(1, keepdims=True), 1)
+                joint = x.T @ x + alpha * np.eye(2 * radius * radius)
+                loss.append(float(np.log(np.diagonal(np.linalg.cholesky(joint)))[radius * radius :].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(loss, pa.float64())], names=["tile", "loss"])
+
+    return pixels.mapInArrow(run, f"tile {kind}, loss double")
+
+
 def out_of_balance(loads: DataFrame, least: float = 0.75) -> DataFrame:
     """(metric, ratio, warn): whether the least of each metric is under ``least`` of its most; ``loads``: (metric, value)."""
     ratio = F.min("value") / F.nullif(F.max("value"), F.lit(0.0))

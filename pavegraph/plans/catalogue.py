@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import endtoend, geometry, masks, networks, overlays, shapes, small, sources, tiles, training
+from . import endtoend, geometry, masks, networks, overlays, places, shapes, small, sources, tiles, training
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "endtoend", "geometry", "masks", "networks", "overlays", "shapes", "small", "sources", "tiles", "training"]
+__all__ = ["QUERIES", "SQL", "endtoend", "geometry", "masks", "networks", "overlays", "places", "shapes", "small", "sources", "tiles", "training"]

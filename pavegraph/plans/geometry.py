@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shape
-from ..operators import lines, polygonize, polygons, spatial, topology
+from ..functions.storage import table
+from ..operators import lines, medial, polygonize, polygons, spatial, topology
 from .fixtures import Views
 from .networks import EXTENSIONS, LINES
 from .registry import query
@@ -172,6 +173,30 @@ def noded_network(v: Views) -> DataFrame:
     return pieces.groupBy("line_id").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum(shape.line_length(F.col("pts"))), 6).alias("length"))
 
 
+@query(
+    with_ctes(
+        """box as (select geom_id, w, h, floor(x0 / 4e0) as x0, floor(y0 / 4e0) as y0 from rect),
+        he as (select distinct 2 * x0 + a as x, y from (select x0, unnest(range(cast(2 * w as bigint))) as a, y0, h from box) b, lateral (select unnest([2 * y0, 2 * y0 + 2 * h]) as y) s),
+        ve as (select distinct x, 2 * y0 + a as y from (select y0, unnest(range(cast(2 * h as bigint))) as a, x0, w from box) b, lateral (select unnest([2 * x0, 2 * x0 + 2 * w]) as x) s),
+        corner as (select distinct x, y from box, lateral (select unnest([2 * x0, 2 * x0 + 2 * w]) as x) s, lateral (select unnest([2 * y0, 2 * y0 + 2 * h]) as y) t),
+        hs as (select x, y, count(*) as n from (select x, y from he union all select x + 1, y from he) t group by 1, 2),
+        vs as (select x, y, count(*) as n from (select x, y from ve union all select x, y + 1 from ve) t group by 1, 2)""",
+        """select (select count(*) from he) + (select count(*) from ve)
+            - (select count(*) from hs where n = 2 and not exists (select 1 from vs where vs.x = hs.x and vs.y = hs.y) and not exists (select 1 from corner c where c.x = hs.x and c.y = hs.y))
+            - (select count(*) from vs where n = 2 and not exists (select 1 from hs where vs.x = hs.x and vs.y = hs.y) and not exists (select 1 from corner c where c.x = vs.x and c.y = vs.y)) as pieces,
+            round(((select count(*) from he) + (select count(*) from ve)) * 0.5e0, 3) as length""",
+    ),
+    "rect",
+)
+def noded_outlines(v: Views) -> DataFrame:
+    """Outlines of boxes that cross, touch and lie on each other, as a planar network: every bit of the plane is in one piece."""
+    x, y = F.floor(F.col("x0") / 4).cast("double"), F.floor(F.col("y0") / 4).cast("double")
+    p = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    w, h, z = F.col("w"), F.col("h"), F.lit(0.0)
+    outlines = v.rect().select(F.col("geom_id").alias("line_id"), F.array(p(z, z), p(w, z), p(w, h), p(z, h), p(z, z)).alias("pts"))
+    return lines.planar(outlines, 8.0).agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum(shape.line_length(F.col("pts"))), 3).alias("length"))
+
+
 @query(with_ctes(STREETS, "select line_id, n_pts as n_vertices, n_pts - 1 as n_edges from sl"), "street")
 def line_parts(v: Views) -> DataFrame:
     return lines.vertices_and_edges(v.street()).select("line_id", F.col("n_vertices").cast("long"), F.col("n_edges").cast("long"))
@@ -206,7 +231,7 @@ def connectors_to_lines(v: Views) -> DataFrame:
 )
 def walk_network(v: Views) -> DataFrame:
     """The whole network: sidewalks, crosswalks and the connectors between them, equal geometries once."""
-    streets = v.street()
+    streets = table(v.street())
     out = lines.walk_network(streets.filter(F.size("pts") > 3), streets.filter(F.size("pts") <= 3), 16.0)
     return out.groupBy("f_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -268,6 +293,43 @@ def centerlines_of_polygons(v: Views) -> DataFrame:
     return found.groupBy("geom_id").agg(F.count(F.lit(1)).alias("n_parts"), F.round(F.sum(shape.line_length(F.col("pts"))), 6).alias("length"))
 
 
+@query("select geom_id, true as has_line, case when kind = 0 and w <> h then true end as as_long_as_known from rect where w * h * case when kind = 0 then 1 else 0.75e0 end > 5", "rect")
+def medial_axes(v: Views) -> DataFrame:
+    """Centrelines of all polygons that are not tiny; a rectangle's is as long as its sides differ, within a tenth of the shorter one."""
+    layer = v.polygon().select("geom_id", "ring").filter(shape.ring_area(F.col("ring")) > 5)
+    found = medial.medial_lines(layer.withColumn("gap", shape.ring_area(F.col("ring")) / shape.line_length(F.col("ring")) * 0.6), "geom_id", "gap")
+    length = found.groupBy("geom_id").agg(F.sum(shape.line_length(F.col("pts"))).alias("length"))
+    near = F.abs(F.col("length") - F.abs(F.col("w") - F.col("h"))) <= F.least("w", "h") / 10
+    both = layer.select("geom_id").join(length, "geom_id", "left").join(v.rect(), "geom_id")
+    return both.select("geom_id", (F.coalesce("length", F.lit(0.0)) > 0).alias("has_line"), F.when((F.col("kind") == 0) & (F.col("w") != F.col("h")), near).alias("as_long_as_known"))
+
+
+BRANCHES = "select geom_id, kind, w, h, case when area < 5e0 then 'skip' when kind <> 0 then 'erode' when greatest(w, h) < 8e0 then 'extend' else 'middle' end as branch from m join rect using (geom_id)"
+
+
+@query(with_ctes(METRICS, f"select geom_id, branch, case when kind = 0 then greatest(w, h) end as length, true as enough from ({BRANCHES}) t where branch <> 'skip' and (kind = 0 or least(w, h) >= 8)"), "vertex")
+def crosswalk_lines(v: Views) -> DataFrame:
+    """Lines of crosswalk polygons by their branch: rectangles get their longer side, L-shapes at least what erosion leaves of their upright part."""
+    found = medial.crosswalk_lines(v.polygon().select("geom_id", "ring"), convexity=0.87).groupBy("geom_id", "branch").agg(F.sum(shape.line_length(F.col("pts"))).alias("length"))
+    both = found.join(v.rect(), "geom_id").filter("kind = 0 or least(w, h) >= 8")
+    erosion = 0.75 * F.col("w") * F.col("h") / (2 * (F.col("w") + F.col("h")))
+    left = 0.75 * F.greatest(F.col("w") / 2 - 2 * erosion, F.col("h") - 2 * erosion)
+    return both.select("geom_id", "branch", F.when(F.col("kind") == 0, F.round("length", 6)).alias("length"), ((F.col("kind") == 0) | (F.col("length") >= left)).alias("enough"))
+
+
+@query()
+def network_of_polygons(v: Views) -> DataFrame:
+    """From polygons to a walkable network: lines of sidewalks and crosswalks, noded, connected; pieces and length by type.
+
+    Without SQL, as centrelines have none; tests hold its parts.
+    """
+    layer = v.polygon()
+    side = medial.sidewalk_lines(layer.filter("kind = 0").select("geom_id", "ring"))
+    cross = medial.crosswalk_lines(layer.filter("kind <> 0").select("geom_id", "ring"))
+    out = lines.network(side, cross, 32.0)
+    return out.groupBy("f_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(shape.line_length(F.col("pts"))), 3).alias("length"))
+
+
 @query(with_ctes(STREETS, "select line_id, round(length + 2e0 * floor(length * 0.8e0), 2) as length from sl"), "street")
 def lengthened_lines(v: Views) -> DataFrame:
     """Lines made longer at both ends by the whole part of four fifths of their length."""

@@ -11,7 +11,7 @@ from ..functions import pixels, shape
 from ..functions import tilemath as tm
 from ..functions.storage import shared_dir
 from ..operators import grid, masks, polygonize, sampling
-from ..sources import catalog, checks, images, paths, vectors
+from ..sources import catalog, checks, images, paths, shapefile, vectors
 from .fixtures import Views
 from .registry import query
 from .shapes import with_ctes
@@ -163,13 +163,53 @@ def confusion_round_trip(v: Views) -> DataFrame:
     return read.select(F.col("truth").cast("long").alias("truth"), F.col("0").cast("long").alias("zero"), F.col("1").cast("long").alias("one"))
 
 
-@query("select row || '_' || col || '_' || idd || '.png' as image, true as is_png from tile where idd % 64 = 0", "tile")
+@query("select row || '_' || col || '_' || idd || '.png' as image, 2 as height, array_to_string(list_transform([2, 1, 0, 5, 4, 3, 8, 7, 6, 11, 10, 9], lambda k: lpad(to_hex((idd * (2 * k + 1)) % 256), 2, '0')), '') as pixels from tile", "tile")
 def image_round_trip(v: Views) -> DataFrame:
-    """The canvases of the first row written as image files by their place, and read again."""
+    """Every tile of the grid as a PNG of its own four pixels, written by its place and decoded by Spark; blue comes first."""
     folder = _folder(v)
-    first = v.tile().filter("row = 0").select("col", "row", F.col("idd").alias("i"), F.lit(images.black_tile(8)).alias("content"))
-    images.write_images(first, folder, "png")
-    return images.read_written(v.spark, folder).select("image", (F.substring(F.hex("content"), 3, 6) == "504E47").alias("is_png"))
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.lpad(F.hex((F.col("idd") * (2 * k + 1)) % 256), 2, "0")), ""))
+    tiles = v.tile().select("col", "row", F.col("idd").alias("i"), data.alias("pixels"))
+    images.write_images(images.pngs(tiles, 2, 2), folder, "png")
+    return images.read_images(v.spark, folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("image"), "height", F.hex("data").alias("pixels"))
+
+
+@query("select row || '_' || col || '_' || idd || '.npy' as image, sha256('mask ' || idd || chr(10)) as digest from tile where idd % 4 = 0 union all select row || '_' || col || '_' || idd || '.npy', sha256(' ' || chr(9)) from tile where idd % 4 = 1", "tile")
+def file_round_trip(v: Views) -> DataFrame:
+    """Files written byte for byte, some of them blank, and read again."""
+    folder = _folder(v)
+    content = F.when(F.col("idd") % 4 == 0, F.concat(F.lit("mask "), F.col("idd").cast("string"), F.lit("\n"))).otherwise(F.lit(" \t"))
+    images.write_images(v.tile().filter("idd % 4 < 2").select("col", "row", F.col("idd").alias("i"), content.cast("binary").alias("content")), folder, "npy")
+    return images.read_written(v.spark, folder).select("image", F.sha2("content", 256).alias("digest"))
+
+
+SHAPE_TOTALS = "count(*) as n, count(*) filter (n_parts is null) as n_null, coalesce(sum(n_parts), 0)::bigint as n_parts, coalesce(sum(n_points), 0)::bigint as n_points, round(sum(sx), 3) as sum_x, sum(id)::bigint as ids, round(sum(size), 3) as sizes, count(*) filter (flag) as flags"
+
+
+@query(
+    f"""select 'polygon' as layer, name, {SHAPE_TOTALS} from (select geom_id as id, 'kind ' || kind as name, w as size, geom_id % 7 = 0 as flag, case when geom_id % 50 > 0 then case when kind = 2 then 2 else 1 end end as n_parts,
+            case when geom_id % 50 > 0 then case kind when 0 then 5 when 1 then 7 else 14 end end as n_points,
+            case when geom_id % 50 > 0 then case kind when 0 then 5 * x0 + 2 * w when 1 then 7 * x0 + 3 * w else 14 * x0 + 6 * w + 700 end end as sx from rect) p group by name
+        union all select 'line', name, {SHAPE_TOTALS} from (select line_id as id, case when line_id % 3 > 0 then 'ä' || line_id % 3 end as name, any_value(line_id / 8e0) as size, any_value(line_id % 7 = 0) as flag, 1 as n_parts, count(*) as n_points, sum(x) as sx from street group by line_id) l group by name""",
+    "rect", "street",
+)
+def shapefile_round_trip(v: Views) -> DataFrame:
+    """All polygons and all lines as shapefiles and read again: several parts, no geometry, texts, numbers and nulls."""
+    ring = lambda dx: F.transform("ring", lambda p: F.struct((p["x"] + dx).alias("x"), p["y"].alias("y")))
+    parts = F.when(F.col("geom_id") % 50 > 0, F.when(F.col("kind") == 2, F.array(ring(0.0), ring(100.0))).otherwise(F.array(ring(0.0))))
+    polygons_ = v.polygon().join(v.rect().select("geom_id", "w"), "geom_id").select(F.col("geom_id").alias("id"), F.concat(F.lit("kind "), F.col("kind").cast("string")).alias("name"), F.col("w").alias("size"), (F.col("geom_id") % 7 == 0).alias("flag"), parts.alias("parts"))
+    name = F.when(F.col("line_id") % 3 > 0, F.concat(F.lit("ä"), (F.col("line_id") % 3).cast("string")))
+    streets = v.street().select(F.col("line_id").alias("id"), name.alias("name"), (F.col("line_id") / 8).alias("size"), (F.col("line_id") % 7 == 0).alias("flag"), F.array("pts").alias("parts"))
+    found = []
+    for layer, rows in (("polygon", polygons_), ("line", streets)):
+        folder = _folder(v)
+        shapefile.write_shapefile(rows, folder, layer)
+        points = F.flatten("parts")
+        read = shapefile.read_shapefile(v.spark, folder).select("id", "name", "size", "flag", F.when(F.col("parts").isNotNull(), F.size("parts")).alias("n_parts"), F.when(F.col("parts").isNotNull(), F.size(points)).alias("n_points"), F.aggregate(F.transform(points, lambda p: p["x"]), F.lit(0.0), lambda a, x: a + x).alias("sx"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+        found.append(
+            read.groupBy(F.lit(layer).alias("layer"), "name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_parts").isNull().cast("long")).alias("n_null"), total("n_parts"), total("n_points"), F.round(F.sum("sx"), 3).alias("sum_x"), F.sum("id").alias("ids"), F.round(F.sum("size"), 3).alias("sizes"), F.sum(F.col("flag").cast("long")).alias("flags"))
+        )
+    return found[0].unionByName(found[1])
 
 
 @query("select name, name || '/tiles/static' as static, name || '/network' as network from (select 'out/' || replace(lower(n_name), ' ', '_') as name from nation) t")

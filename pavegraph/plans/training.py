@@ -94,6 +94,26 @@ def region_covariance(v: Views) -> DataFrame:
     return found.select("tile", "i", "j", F.round("cov", 6).alias("cov"))
 
 
+@query(
+    with_ctes(
+        """e as (select tile, r, c, (v * 2e0 + (r * c + tile) % 5) / 12e0 as prob, case when v >= 2 then 1e0 else 0e0 end as label from mask_px),
+        w as (select a.tile, unnest(range(8)) as i, unnest([a.prob, b.prob, c.prob, d.prob, a.label, b.label, c.label, d.label]) as x, a.r * 8 + a.c as n from e a join e b on b.tile = a.tile and b.r = a.r and b.c = a.c + 1
+            join e c on c.tile = a.tile and c.r = a.r + 1 and c.c = a.c join e d on d.tile = a.tile and d.r = a.r + 1 and d.c = a.c + 1),
+        m as (select *, x - avg(x) over (partition by tile, i) as y from w),
+        j as (select p.tile, p.i, q.i as j, sum(p.y * q.y) + case when p.i = q.i then 0.0005e0 else 0e0 end as v from m p join m q on q.tile = p.tile and q.n = p.n group by 1, 2, 3)""",
+        """, reach(k, tile, i, j, v) as (select 0, tile, i, j, v from j union all
+            select k + 1, tile, i, j, v - col * rw / pv from (select *, max(case when i = k and j = k then v end) over (partition by tile) as pv, max(case when j = k then v end) over (partition by tile, i) as col, max(case when i = k then v end) over (partition by tile, j) as rw from reach) s where i > k and j > k)
+        select tile, round(sum(ln(v)) / 2e0, 6) as loss from reach where i = k and j = k and k >= 4 group by tile""",
+    ),
+    "mask_px",
+)
+def region_loss(v: Views) -> DataFrame:
+    """The loss of 2 x 2 regions of each mask; the oracle eliminates the joint matrix row by row."""
+    prob = (F.col("v") * 2.0 + (F.col("r") * F.col("c") + F.col("tile")) % 5) / 12.0
+    px = v.mask_px().select("tile", "r", "c", (F.col("v") >= 2).cast("double").alias("label"), prob.alias("prob"))
+    return training.region_loss(px, 2).select("tile", F.round("loss", 6).alias("loss"))
+
+
 @query("select tile, cast(floor(r / 4e0) as bigint) as pr, cast(floor(c / 4e0) as bigint) as pc, round(avg(v), 9) as value from mask_px group by 1, 2, 3", "mask_px")
 def pooled_masks(v: Views) -> DataFrame:
     return training.pooled(v.mask_px().withColumn("value", F.col("v").cast("double")), 4).select("tile", "pr", "pc", F.round("value", 9).alias("value"))

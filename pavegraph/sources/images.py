@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def png(pixels: np.ndarray) -> bytes:
     """An 8-bit RGB or gray image as PNG."""
@@ -22,13 +24,26 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes(), 6)) + part(b"IEND", b"")
 
 
+def pngs(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Rows with ``content``, the PNG of each row's ``pixels`` (RGB bytes, height x width x 3), in place of them."""
+    names = [c for c in pixels.columns if c != "pixels"]
+    schema = ", ".join(f"`{c}` {pixels.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [png(np.frombuffer(b.as_py(), np.uint8).reshape(height, width, 3)) for b in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(content, pa.binary())], names=[*names, "content"])
+
+    return pixels.select(*names, "pixels").mapInArrow(run, f"{schema}, content binary")
+
+
 def black_tile(size: int = 256) -> bytes:
     return png(np.zeros((size, size, 3), np.uint8))
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, height, width, channels, data) of images, by Spark's own decoder; channels come blue first."""
-    return spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("path", "height", "width", "channels", "data")
+    return spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("path", "height", "width", "channels", "data")
 
 
 def stitch_images(tiles: DataFrame, k: int, size: int) -> DataFrame:
@@ -84,15 +99,11 @@ def mask_pixels(masks: DataFrame, size: int, width: int) -> DataFrame:
 
 
 def write_images(canvases: DataFrame, folder: str, extension: str) -> None:
-    """Images (col, row, i, content), a folder image={row}_{col}_{i}.{extension} with one file for each.
-
-    Spark's text writer puts the bytes down as they are, on any store, with a line end after them that decoders skip.
-    """
+    """Images (col, row, i, content) as files {row}_{col}_{i}.{extension}, byte for byte, many a task."""
     name = F.concat(F.concat_ws("_", "row", "col", "i"), F.lit(f".{extension}"))
-    canvases.select(name.alias("image"), F.col("content").cast("string").alias("value")).write.mode("overwrite").partitionBy("image").text(folder)
+    files.write_files(canvases.select(name.alias("name"), "content"), folder)
 
 
 def read_written(spark: SparkSession, folder: str) -> DataFrame:
     """(image, content) of images that ``write_images`` wrote."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_extract("path", r"image=([^/]+)/", 1).alias("image"), "content").filter("image != ''")
+    return files.read_files(spark, folder).withColumnRenamed("name", "image")
