@@ -309,12 +309,12 @@ BRANCHES = "select geom_id, kind, w, h, case when area < 5e0 then 'skip' when ki
 
 @query(with_ctes(METRICS, f"select geom_id, branch, case when kind = 0 then greatest(w, h) end as length, true as enough from ({BRANCHES}) t where branch <> 'skip' and (kind = 0 or least(w, h) >= 8)"), "vertex")
 def crosswalk_lines(v: Views) -> DataFrame:
-    """Lines of crosswalk polygons by their branch: rectangles get their longer side, L-shapes at least what erosion leaves of their upright part."""
+    """Lines of crosswalk polygons by their branch: rectangles get their longer side, L-shapes at least most of what erosion leaves of their upright part, if it is a unit wide."""
     found = medial.crosswalk_lines(v.polygon().select("geom_id", "ring"), convexity=0.87).groupBy("geom_id", "branch").agg(F.sum(shape.line_length(F.col("pts"))).alias("length"))
     both = found.join(v.rect(), "geom_id").filter("kind = 0 or least(w, h) >= 8")
     erosion = 0.75 * F.col("w") * F.col("h") / (2 * (F.col("w") + F.col("h")))
     left = 0.75 * F.greatest(F.col("w") / 2 - 2 * erosion, F.col("h") - 2 * erosion)
-    return both.select("geom_id", "branch", F.when(F.col("kind") == 0, F.round("length", 6)).alias("length"), ((F.col("kind") == 0) | (F.col("length") >= left)).alias("enough"))
+    return both.select("geom_id", "branch", F.when(F.col("kind") == 0, F.round("length", 6)).alias("length"), ((F.col("kind") == 0) | (F.col("length") >= left) | (F.col("w") / 2 - 2 * erosion < 1)).alias("enough"))
 
 
 @query()
