@@ -4,8 +4,10 @@ The element trees of all pages of a host are merged by path: an element's style
 the styles from the root down. For each path of a host two entropies are taken over its pages, that of the texts in it
 (content) and that of the sequences of child styles (presentation), each relative to the most they could be. A page
 counts once for a path, with all that it has there taken together; inline elements are never judged. Branches
-whose combined importance is low say the same on page after page and go; so do branches that the page itself marks as
-menu, footer, advert and the like, which are left out of the tree. What a page marks as its main content (main,
+whose combined importance is low say the same on page after page and go. What HTML itself says is no content (nav,
+footer, form, scripts, what is hidden) and comments of readers are left out of the tree; all else is in it. Class names
+like those of adverts, menus and boxes are a prior: they stand for so many pages on which the branch was unimportant, so
+they decide where few pages were seen, and the entropies where there are many. What a page marks as its main content (main,
 role=main, article) is judged too, but more mildly and relative to the importance of that element: an article copied to
 other pages of the host is still its article, while a box that is the same in different articles is none of it.
 """
@@ -31,6 +33,9 @@ BROADCAST_PATHS = 1_000_000
 IMPORTANCE = 0.5
 #: Entropies of few pages say little: importance is that of the pages seen and of so many more that all differ.
 PRIOR_PAGES = 8
+#: A name like noise counts as so many pages on which the branch had no importance; a soft name within main content as
+#: PRIOR_PAGES of half the importance.
+NAMED_PAGES = 400
 #: Share of presentation in the importance of a branch; the rest is content.
 PRESENTATION = 0.2
 #: Inside a main element the importance of a branch is multiplied by this and divided by that of the element.
@@ -49,13 +54,23 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 AROUND = frozenset("ul ol menu dl table select".split())
 NOISE_TAGS = frozenset("nav footer aside form button select dialog menu svg object audio video canvas head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-NOISE_NAMES = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|site-header|page-header|topbar|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|widget|toolbar|pagination|pager)(?:$|[\s_-])", re.I)
+
+def _names(*words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words)})(?:$|[\s_-])", re.I)
+
+
+#: Names of readers' comments, of what is no content, and of what may be content within an article.
+COMMENT_NAMES = _names("comments?", "disqus", "replies", "respond")
+NOISE_NAMES = _names("nav", "navbar", "navigation", "menu", "breadcrumbs?", "sidebar", "footer", "masthead", "site-header", "page-header", "topbar", r"ads?", r"advert\w*", r"sponsor\w*", r"promo\w*", "cookies?", "consent", "gdpr", "popup", "modal", "newsletter", r"subscri\w*", "signup", "login", "pagination", "pager")
+SOFT_NAMES = _names("banner", "notice", "alert", "overlay", "share", "sharing", "social", "related", r"recommend\w*", "widget", "toolbar")
+#: How much a branch is named like noise: not, softly, or plainly.
+UNNAMED, SOFT, PLAIN = 0, 1, 2
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "style", "noise", "main", "children", "path")
+    __slots__ = ("tag", "style", "noise", "named", "main", "children", "path")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None) -> None:
         self.tag, self.children = tag, []
@@ -63,9 +78,11 @@ class Element:
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         role = found.get("role", "").lower()
         marked = tag == "main" or role == "main"
-        self.main = marked or tag == "article"
+        free = tag not in ("html", "body") and not marked
+        self.named = UNNAMED if not names or not free else PLAIN if NOISE_NAMES.search(names) else SOFT if SOFT_NAMES.search(names) else UNNAMED
+        self.main = marked or tag == "article" and not self.named
         inside = parent is not None and parent.tag in ("article", "section", "main")
-        self.noise = tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in found or tag == "header" and not inside or tag not in ("html", "body") and not marked and bool(names and NOISE_NAMES.search(names) or HIDDEN.search(found.get("style", "")))
+        self.noise = tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in found or tag == "header" and not inside or free and bool(names and COMMENT_NAMES.search(names) or HIDDEN.search(found.get("style", "")))
         self.style = f"{tag}.{DIGITS.sub('0', names)}" if names else tag
         if marked and tag != "main":
             self.style += "[main]"
@@ -128,7 +145,7 @@ def parse(page: str) -> Element:
 
 
 def text_of(node: Element, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """Text of a branch without its noise and its unimportant branches, but with main elements in the latter."""
+    """Text of a branch without its noise and its unimportant branches, but with main elements in those of the latter that are not named."""
     out: list[str] = []
     stack = [(iter(node.children), False, False)]
     while stack:
@@ -140,7 +157,7 @@ def text_of(node: Element, low: frozenset[int] | set[int] = frozenset()) -> str:
                 continue
             if c.tag in BLOCK:
                 out.append(" ")
-            if c.tag not in RAW and not c.noise:
+            if c.tag not in RAW and not c.noise and not (c.named and c.path in low):
                 stack.append((iter(c.children), c.path in low or gone and not c.main, c.tag in BLOCK))
                 break
             if c.tag in BLOCK:
@@ -156,12 +173,12 @@ def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     return text_of(parse(page), low)
 
 
-def style_nodes(page: str) -> Iterator[tuple[int, int, int, int]]:
-    """(path, main, content, presentation) of each path with text in block elements, as numbers; all that a page has at a path is one.
+def style_nodes(page: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """(path, main, named, content, presentation) of each path with text in block or named elements, as numbers; all that a page has at a path is one.
 
     ``main`` is the path of the outermost main element that holds the element or is it, else 0. Noise is left out.
     """
-    found: dict[int, tuple[int, xxhash.xxh64, xxhash.xxh64]] = {}
+    found: dict[int, tuple[int, int, xxhash.xxh64, xxhash.xxh64]] = {}
     root = parse(page)
     stack = [(root, iter(root.children), 0, xxhash.xxh64(), [])]
     some = [False]  # by level: whether there is text
@@ -180,14 +197,14 @@ def style_nodes(page: str) -> Iterator[tuple[int, int, int, int]]:
         else:
             stack.pop()
             if some.pop():
-                if e.tag in BLOCK:
-                    _, content, presentation = found.setdefault(e.path, (main, xxhash.xxh64(), xxhash.xxh64()))
+                if e.tag in BLOCK or e.named:
+                    *_, content, presentation = found.setdefault(e.path, (main, e.named, xxhash.xxh64(), xxhash.xxh64()))
                     content.update(own.digest())
                     presentation.update("\n".join(styles) + "\0")
                 if stack:
                     stack[-1][3].update(own.digest())
                     some[-1] = True
-    return ((path, main, content.intdigest(), presentation.intdigest()) for path, (main, content, presentation) in found.items())
+    return ((path, main, named, content.intdigest(), presentation.intdigest()) for path, (main, named, content, presentation) in found.items())
 
 
 def host_of(column):
@@ -199,26 +216,29 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def style_tree(pages: DataFrame, prior: int = PRIOR_PAGES) -> DataFrame:
-    """(host, path, main, pages, importance) of the merged trees; ``pages``: (host, html), ``main`` as in style_nodes."""
+def style_tree(pages: DataFrame, prior: int = PRIOR_PAGES, named_pages: int = NAMED_PAGES) -> DataFrame:
+    """(host, path, main, named, pages, importance) of the merged trees; ``pages``: (host, html), ``main`` as in style_nodes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 seen: Counter = Counter()
                 for host, page in zip(*(c.to_pylist() for c in batch.slice(start, 500).columns)):
-                    for path, main, content, presentation in style_nodes(page):
-                        seen[host, path, main, 0, content] += 1
-                        seen[host, path, main, 1, presentation] += 1
-                columns = list(zip(*seen)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), _signed(columns[1]), _signed(columns[2]), pa.array(columns[3], pa.int32()), _signed(columns[4]), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "main", "kind", "feature", "n"])
+                    for path, main, named, content, presentation in style_nodes(page):
+                        seen[host, path, main, named, 0, content] += 1
+                        seen[host, path, main, named, 1, presentation] += 1
+                columns = list(zip(*seen)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), _signed(columns[1]), _signed(columns[2]), *(pa.array(c, pa.int32()) for c in columns[3:5]), _signed(columns[5]), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "main", "named", "kind", "feature", "n"])
 
-    counted = pages.mapInArrow(count, "host string, path long, main long, kind int, feature long, n long").groupBy("host", "path", "main", "kind", "feature").agg(F.sum("n").alias("n"))
+    counted = pages.mapInArrow(count, "host string, path long, main long, named int, kind int, feature long, n long").groupBy("host", "path", "main", "named", "kind", "feature").agg(F.sum("n").alias("n"))
     entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-    by_kind = counted.groupBy("host", "path", "main", "kind").agg(F.sum("n").alias("m"), F.when(F.sum("n") > 1, entropy / F.log(F.sum("n"))).otherwise(1.0).alias("e"))
+    by_kind = counted.groupBy("host", "path", "main", "named", "kind").agg(F.sum("n").alias("m"), F.when(F.sum("n") > 1, entropy / F.log(F.sum("n"))).otherwise(1.0).alias("e"))
     both = F.sum(F.col("e") * F.when(F.col("kind") == 1, PRESENTATION).otherwise(1 - PRESENTATION))
     pages_ = F.max("m")
-    return by_kind.groupBy("host", "path", "main").agg(pages_.alias("pages"), ((both * pages_ + prior) / (pages_ + prior)).alias("importance"))
+    soft = (F.col("named") == SOFT) & (F.col("main") != 0)
+    more = F.when((F.col("named") == UNNAMED) | soft, prior).otherwise(named_pages)
+    good = F.when(F.col("named") == UNNAMED, 1.0).when(soft, 0.5).otherwise(0.0)
+    return by_kind.groupBy("host", "path", "main", "named").agg(pages_.alias("pages"), ((both * pages_ + more * good) / (pages_ + more)).alias("importance"))
 
 
 def unimportant(tree: DataFrame, importance: float = IMPORTANCE) -> DataFrame:
@@ -226,16 +246,17 @@ def unimportant(tree: DataFrame, importance: float = IMPORTANCE) -> DataFrame:
     judged = tree.filter((F.col("importance") < importance) & (F.col("path") != F.col("main")))
     mains = tree.filter("path = main").select(F.col("host").alias("_host"), F.col("path").alias("_main"), F.col("importance").alias("around"))
     inside = judged.filter("main != 0").join(mains, (F.col("host") == F.col("_host")) & (F.col("main") == F.col("_main")))
-    inside = inside.filter(F.col("importance") * MAIN < F.col("around") * importance)
+    inside = inside.filter((F.col("named") != UNNAMED) | (F.col("importance") * MAIN < F.col("around") * importance))
     return judged.filter("main = 0").select("host", "path").union(inside.select("host", "path"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", importance: float = IMPORTANCE, prior: int = PRIOR_PAGES) -> DataFrame:
     """One row per page: id, url, text, n_chars (code points of the text).
 
-    The text is that of the page without branches marked as navigation, page header, footer, sidebar, notice, advert,
-    form or comment, and without branches of low importance on the host, main elements in these excepted. References
-    are decoded, white space is one space, blocks are joined by one space. The fewer pages a branch is on, the less its
+    The text is that of the page without menus, page headers, footers, asides, forms, comments and hidden parts, and
+    without branches of low importance on the host, main elements in these excepted. Branches named like adverts,
+    sidebars and so on have little importance unless many pages show that they differ; within an article, names that may
+    be content (notice, related, ...) leave it to the pages. References are decoded, white space is one space, blocks are joined by one space. The fewer pages a branch is on, the less its
     sameness counts (PRIOR_PAGES). Null html counts as empty and gives an empty text; pages without a host are one site. Repeated rows are
     pages each for itself; other columns are ignored; an empty table gives no rows.
     """

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from pavegraph.llm import decontam, exact, extract, minhash, packing, substring, suffix, tokens, toxicity, warc
 
@@ -387,6 +388,30 @@ def test_repeated_branches_inside_main_content_go_and_text_outside_stays(spark):
     assert extract.main_text("<article class='comments'>no</article><article class='post'>yes</article>") == "yes"
 
 
+def test_names_are_a_prior(spark):
+    article = "<article><p>{}</p><p class='notice'>{}</p><div class='related work'>{}</div><div class='ad'>{}</div></article><div class='widget'>{}</div><p>{}</p>"
+    few = [(k, f"http://few{k}.example/", article.format(*(prose(6, 10 * k + j) for j in range(6)))) for k in range(3)]
+    many = [(100 + k, "http://many.example/", article.format(prose(6, 9000 + k), "mind the gap", prose(6, 9500 + k), "buy now", prose(6, 8000 + k), prose(6, 7000 + k))) for k in range(60)]
+    crowd = [(1000 + k, "http://crowd.example/", f"<div class='widget'>{prose(6, 20_000 + k)}</div><div class='promo'>all the same</div><p>{k}</p>") for k in range(2 * extract.NAMED_PAGES)]
+    got = {r.page_id: r.text for r in extract.extract(_table(spark, few + many + crowd, "named", "page_id long, url string, html string")).collect()}
+    for k, _, _ in few:  # nothing but the names to go by
+        assert got[k] == " ".join(prose(6, 10 * k + j) for j in (0, 1, 2, 5))
+    for k in range(60):  # a notice that is the same everywhere goes, one that differs stays
+        assert got[100 + k] == " ".join(prose(6, 1000 * j + k) for j in (9,)) + f" {prose(6, 9500 + k)} {prose(6, 7000 + k)}"
+    for k in range(2 * extract.NAMED_PAGES):  # enough pages outweigh a name
+        assert got[1000 + k] == f"{prose(6, 20_000 + k)} {k}"
+
+
+def test_the_tree_removes_branches_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    tree = extract.style_tree(pages.select(extract.host_of(F.col("url")).alias("host"), "html"))
+    gone = extract.unimportant(tree)
+    assert gone.count() >= tree.select("host").distinct().count()
+    bare = [extract.main_text(r.html or "") for r in pages.orderBy("page_id").collect()]
+    kept = [r.text for r in extract.extract(pages).orderBy("page_id").collect()]
+    assert all(len(a) > len(b) for a, b in zip(bare, kept))
+
+
 def brute_facts(e, path, main, found):
     """Text, content and presentation of every path of a page, by recursion and with plain strings."""
     own, styles = [], []
