@@ -13,6 +13,7 @@ SQL = {
     "geo_point": "select c_custkey as id, c_nationkey as nation, -60e0 + cast((c_custkey * 7919) % 120000 as double) / 1e3 as lat, -179e0 + cast((c_custkey * 104729) % 358000 as double) / 1e3 as lon from customer",
     "region_box": "select cast(nation as varchar) as name, min(lat) as south, min(lon) as west, max(lat) as north, max(lon) as east from geo_point group by nation",
     "rect": "select p_partkey as geom_id, cast(p_size as double) as w, cast(p_partkey % 17 + 1 as double) as h, cast((p_partkey * 7919) % 2000 + p_partkey // 2000 * 2100 as double) as x0, cast((p_partkey * 104729) % 1500 as double) as y0, p_partkey % 3 as kind from part",
+    "dense_rect": "select * replace (floor(x0 / 4e0) as x0, floor(y0 / 4e0) as y0) from rect",
     "vertex": """select geom_id, vtx_no, x0 + dx as x, y0 + dy as y from (
         select geom_id, x0, y0, 0 as vtx_no, 0e0 as dx, 0e0 as dy from rect union all
         select geom_id, x0, y0, 1, w, 0e0 from rect union all
@@ -29,7 +30,7 @@ SQL = {
     "labelled": "select doc_id as id, quality as truth, toxic as pred from labels",
     "metric_stream": "select event_id as seq, floor(value * 100e0) as val, user_id % 7 + 1 as n from events",
 }
-NEEDS = {"region_box": ["geo_point"], "vertex": ["rect"]}
+NEEDS = {"region_box": ["geo_point"], "vertex": ["rect"], "dense_rect": ["rect"]}
 
 
 def mask_sql(grid: int = 8) -> str:
@@ -71,6 +72,10 @@ class Views:
         k = F.col("p_partkey")
         return self.table("part").select(k.alias("geom_id"), F.col("p_size").cast("double").alias("w"), (k % 17 + 1).cast("double").alias("h"), ((k * 7919) % 2000 + F.floor(k / 2000) * 2100).cast("double").alias("x0"), ((k * 104729) % 1500).cast("double").alias("y0"), (k % 3).alias("kind"))
 
+    def dense_rect(self) -> DataFrame:
+        """The rectangles moved together, so that they overlap."""
+        return self.rect().withColumns({"x0": F.floor(F.col("x0") / 4).cast("double"), "y0": F.floor(F.col("y0") / 4).cast("double")})
+
     def polygon(self) -> DataFrame:
         """(geom_id, ring) with rectangles and L-shapes."""
         w, h, half = F.col("w"), F.when(F.col("kind") == 0, F.col("h")).otherwise(F.col("h") / 2.0), F.lit(2.0)

@@ -149,10 +149,10 @@ def box_overlap_join(v: Views) -> DataFrame:
     return spatial.boxes_overlapping(b, b, 64.0).filter("left_id < right_id")
 
 
-@query("select c.geom_id as median from (select a.geom_id, count(*) as n, min(a.w * a.h) as area from rect a, rect b where a.kind = 1 and b.kind = 0 and greatest(a.x0, b.x0) < least(a.x0 + a.w, b.x0 + b.w) and greatest(a.y0, b.y0) < least(a.y0 + a.h, b.y0 + b.h) group by a.geom_id) c where n >= 2 and area < 230e0", "rect")
+@query("select c.geom_id as median from (select a.geom_id, count(*) as n, min(a.w * a.h) as area from dense_rect a, dense_rect b where a.kind = 1 and b.kind = 0 and greatest(a.x0, b.x0) < least(a.x0 + a.w, b.x0 + b.w) and greatest(a.y0, b.y0) < least(a.y0 + a.h, b.y0 + b.h) group by a.geom_id) c where n >= 2 and area < 230e0", "dense_rect")
 def median_islands(v: Views) -> DataFrame:
     """Boxes of one class that meet at least two of another and are small."""
-    r = v.rect()
+    r = v.dense_rect()
     box = lambda k: r.filter(F.col("kind") == k).select(F.col("geom_id").alias("id"), F.col("x0").alias("west"), F.col("y0").alias("south"), (F.col("x0") + F.col("w")).alias("east"), (F.col("y0") + F.col("h")).alias("north"))
     met = spatial.boxes_overlapping(box(1), box(0), 64.0).groupBy(F.col("left_id").alias("geom_id")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     return met.join(r, "geom_id").filter(F.col("w") * F.col("h") < 230.0).select(F.col("geom_id").alias("median"))

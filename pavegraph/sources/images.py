@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -98,6 +99,37 @@ def mask_pixels(masks: DataFrame, size: int, width: int) -> DataFrame:
     return masks.mapInArrow(run, "tile long, r int, c int, v int")
 
 
+def write_arrays(px: DataFrame, folder: str, height: int, width: int, key: str = "tile", value: str = "v") -> None:
+    """The pixels (key, r, c, value) of each image as an array file {key}.npy of unsigned bytes; pixels not there are 0."""
+    each = px.groupBy(key).agg(F.collect_list(F.struct((F.col("r") * width + F.col("c")).cast("int").alias("at"), F.col(value).cast("int").alias("v"))).alias("px"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = []
+            for pixels in batch.column(1):
+                grid, out = np.zeros(height * width, np.uint8), io.BytesIO()
+                grid[pixels.values.field("at").to_numpy()] = pixels.values.field("v").to_numpy()
+                np.lib.format.write_array(out, grid.reshape(height, width))
+                content.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary())], names=["name", "content"])
+
+    named = each.select(F.concat(F.col(key).cast("string"), F.lit(".npy")).alias("name"), "px")
+    files.write_files(named.mapInArrow(run, "name string, content binary"), folder)
+
+
+def read_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """(tile, r, c, v) of the two-dimensional arrays in files {tile}.npy; other files are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grid = np.lib.format.read_array(io.BytesIO(content), allow_pickle=False)
+                r, c = (a.ravel().astype(np.int32) for a in np.indices(grid.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(grid.size, int(name), np.int64)), pa.array(r), pa.array(c), pa.array(grid.ravel().astype(np.int32))], names=["tile", "r", "c", "v"])
+
+    found = files.read_files(spark, folder).select(F.regexp_extract("name", r"^(-?\d+)\.npy$", 1).alias("tile"), "content")
+    return found.filter("tile != ''").mapInArrow(run, "tile long, r int, c int, v int")
+
+
 def write_images(canvases: DataFrame, folder: str, extension: str) -> None:
     """Images (col, row, i, content) as files {row}_{col}_{i}.{extension}, byte for byte, many a task."""
     name = F.concat(F.concat_ws("_", "row", "col", "i"), F.lit(f".{extension}"))
