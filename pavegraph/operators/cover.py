@@ -85,7 +85,8 @@ def covers(polygons: DataFrame, size: float, levels: int = 12, key: str = "geom_
             columns = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64())))], names=[key, "level", "cx", "cy"])
 
-    return polygons.select(key, F.transform(rings, plain).alias("rings")).mapInArrow(run, f"`{key}` {kind}, level int, cx long, cy long")
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is a lot of work here
+    return polygons.select(key, F.transform(rings, plain).alias("rings")).repartition(tasks).mapInArrow(run, f"`{key}` {kind}, level int, cx long, cy long")
 
 
 def _ancestors(tiles: DataFrame, levels: int) -> DataFrame:

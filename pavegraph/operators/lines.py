@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from . import polygons, topology
 from .spatial import cell
 
 POINTS = "array<struct<x:double,y:double>>"
+#: Lines in a bucket of chains, about.
+BUCKET_LINES = 2_000
 #: A point is on a line if it is this near to it.
 TOUCH = 1e-9
 #: Lines of more points than this are taken for zigzags. Fixed value.
@@ -86,9 +90,8 @@ def merged_lines(lines: DataFrame) -> DataFrame:
     sizes = chained.groupBy("chain").agg(F.count(F.lit(1)).alias("n_lines"))
     counted = chained.join(sizes, "chain")
 
-    def walk(t: pa.Table) -> pa.Table:
-        chain = t.column("chain")[0].as_py()
-        parts = [([(p["x"], p["y"]) for p in pts], (s, e)) for _, pts, s, e in sorted(zip(*(t.column(c).to_pylist() for c in ("line_id", "pts", "start", "end"))), key=lambda r: r[0])]
+    def walk(parts: list[tuple]) -> list[tuple[float, float]]:
+        """The points of one chain; ``parts``: (points, whether each end is a joint), by line."""
         at: dict[tuple[float, float], list[int]] = {}
         loose = []
         for k, (pts, joints) in enumerate(parts):
@@ -103,13 +106,24 @@ def merged_lines(lines: DataFrame) -> DataFrame:
             end = out[-1]
             nexts = [j for j in at.get(end, ()) if j in left]
             if not nexts:
-                break
+                return out
             k = nexts[0]
-        body = [{"x": x, "y": y} for x, y in out]
-        return pa.table({"chain": pa.array([chain], pa.int64()), "n_lines": pa.array([len(parts)], pa.int64()), "pts": pa.array([body], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
+
+    def walks(t: pa.Table) -> pa.Table:
+        """All chains of a bucket."""
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("chain", "line_id", "pts", "start", "end"))), key=lambda r: r[:2])
+        chains, sizes, bodies = [], [], []
+        for chain, own in itertools.groupby(rows, key=lambda r: r[0]):
+            parts = [([(p["x"], p["y"]) for p in pts], (s, e)) for _, _, pts, s, e in own]
+            chains.append(chain)
+            sizes.append(len(parts))
+            bodies.append([{"x": x, "y": y} for x, y in walk(parts)])
+        return pa.table({"chain": pa.array(chains, pa.int64()), "n_lines": pa.array(sizes, pa.int64()), "pts": pa.array(bodies, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
 
     several = counted.filter("n_lines > 1").drop("n_lines").join(joint, "line_id")
-    return counted.filter("n_lines = 1").select("chain", "n_lines", "pts").unionByName(several.groupBy("chain").applyInArrow(walk, f"chain long, n_lines long, pts {POINTS}"))
+    buckets = max(1, -(-lines.count() // BUCKET_LINES))  # chains of a bucket are walked by one call
+    dealt = several.groupBy(F.pmod(F.xxhash64("chain"), F.lit(buckets)).alias("bucket"))
+    return counted.filter("n_lines = 1").select("chain", "n_lines", "pts").unionByName(dealt.applyInArrow(lambda t: walks(t.drop(["bucket"]) if "bucket" in t.column_names else t), f"chain long, n_lines long, pts {POINTS}"))
 
 
 def extended_lines(lines: DataFrame, reach: float, size: float, barrier: DataFrame | None = None) -> DataFrame:

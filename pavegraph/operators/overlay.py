@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import table
 from .arrangement import boundaries
-from .components import components
+from .components import SMALL_LINKS, components
 from .spatial import point_in_ring
 
 #: Side of a cell and of the snapping grid, in units of the plane.
@@ -259,7 +259,7 @@ def _rings(chains: DataFrame, by: str, grain: float) -> DataFrame:
     if not open_.isEmpty():  # what is larger than any square
         known = table(open_.withColumn("id", F.monotonically_increasing_id()))
         links = table(_linked(known, by))
-        roots = components(links.select(F.col("id").alias("a"), F.coalesce("next", "id").alias("b")))
+        roots = components(links.select(F.col("id").alias("a"), F.coalesce("next", "id").alias("b")), SMALL_LINKS)
         keyed = known.join(links, "id").join(roots, F.col("id") == F.col("node"))
         parts = parts.unionByName(keyed.groupBy(by, "root").agg(F.collect_list(F.struct("id", F.coalesce("next", F.lit(-1)).alias("next"), "pts")).alias("parts")).select(by, "parts"))
 

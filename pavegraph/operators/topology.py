@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shape import line_length
-from .components import components
+from .components import SMALL_LINKS, components
 
 EPSILON = 1e-6
 
@@ -41,7 +41,7 @@ def chains(lines: DataFrame) -> DataFrame:
     """(line_id, chain): lines joined through nodes of degree two have one chain, named by its smallest line."""
     ends = endpoints(lines)
     links = ends.groupBy("x", "y").agg(F.count(F.lit(1)).alias("degree"), F.min("line_id").alias("a"), F.max("line_id").alias("b")).filter("degree = 2 and a < b")
-    roots = components(links.select("a", "b"))
+    roots = components(links.select("a", "b"), SMALL_LINKS)
     return lines.select("line_id").join(roots, lines["line_id"] == roots["node"], "left").select("line_id", F.coalesce("root", "line_id").alias("chain"))
 
 
