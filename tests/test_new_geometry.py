@@ -170,3 +170,13 @@ def test_shapefiles_of_odd_rows(spark, tmp_path, monkeypatch):
     assert struct.unpack("<4d", raw[36:68]) == (0.0, 0.0, 21.0, 21.0)
     with pytest.raises(ValueError):
         shapefile.encoded_value("x" * 300, "C", 254)
+
+
+def test_network_of_known_lines(spark):
+    frame = lambda rows: spark.createDataFrame([([(float(x), float(y)) for x, y in p],) for p in rows], "pts array<struct<x:double,y:double>>")
+    side = frame([[(0, 0), (20, 0)], [(10, 0), (30, 0)], [(0, 30), (20, 30)]])
+    cross = frame([[(10, 5), (10, 25)], [(10, 5), (10, 25)]])
+    found = {}
+    for r in lines.network(side, cross.limit(1), 8.0).collect():
+        found.setdefault(r.f_type, []).append(length(np.array(r.pts)))
+    assert {k: (len(v), sum(v)) for k, v in found.items()} == {"sidewalk": (4, 50.0), "crosswalk": (1, 20.0), "sidewalk_connection": (2, 10.0)}
