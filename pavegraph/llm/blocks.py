@@ -51,22 +51,31 @@ def packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKED_ARROW.types)], schema=PACKED_ARROW)
 
 
-def shared_hashes(sent: DataFrame, hot_blocks: int | None = None) -> DataFrame:
+def shared_hashes(sent: DataFrame, hot_blocks: int | None = None, hot_contents: int | None = None) -> DataFrame:
     """(bucket, block, body): for each block, the hashes it sent that it sent twice or that another block sent too.
 
-    Hashes that more than ``hot_blocks`` blocks sent come in rows of their own, whose bucket is negative. A body sent is 64-bit numbers: how many of the hashes the block has in several places, these, then those it has once.
+    Hashes that more than ``hot_blocks`` blocks sent, or that were sent with more than ``hot_contents`` contents, added up
+    over the blocks, come in rows of their own, whose bucket is negative. What a body sent is, ``send`` says.
     """
 
     def decide(table: pa.Table) -> pa.Table:
         blocks, bodies = table.column("block").to_numpy(), [np.frombuffer(b, np.uint64) for b in table.column("body").to_pylist()]
-        several = [b[1 : 1 + int(b[0])] for b in bodies]
-        once = [b[1 + int(b[0]) :] for b in bodies]
+        heads = [(int(b[0]), int(b[1])) for b in bodies]
+        several = [b[2 : 2 + n] for b, (n, _) in zip(bodies, heads)]
+        once = [b[2 + n + w :] for b, (n, w) in zip(bodies, heads)]
         everything = np.sort(np.concatenate([*several, *several, *once]))
         twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
         hot = np.empty(0, np.uint64)
         if hot_blocks is not None and len(bodies) > hot_blocks:
             values, counts = np.unique(np.concatenate([*several, *once]), return_counts=True)
             hot = values[counts > hot_blocks]
+        if hot_contents is not None:
+            weights = [b[2 + n : 2 + n + w] for b, (n, w) in zip(bodies, heads)]
+            n_once = sum(map(len, once))
+            if int(np.concatenate(weights).sum()) + n_once > hot_contents:
+                values, which = np.unique(np.concatenate([*several, *once]), return_inverse=True)
+                counts = np.bincount(which, np.concatenate([*weights, np.ones(n_once, np.uint64)]).astype(float), len(values))
+                hot = np.union1d(hot, values[counts > hot_contents])
         bucket = table.column("bucket")[0].as_py()
         rows = []
         for block, a, b in zip(blocks.tolist(), several, once):
@@ -81,22 +90,30 @@ def shared_hashes(sent: DataFrame, hot_blocks: int | None = None) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(decide, PACKED)
 
 
-def send(block: int, hashes: np.ndarray, n_buckets: int, route: np.ndarray | None = None) -> pa.Table:
+def send(block: int, hashes: np.ndarray, n_buckets: int, route: np.ndarray | None = None, content: np.ndarray | None = None) -> pa.Table:
     """The packed rows by which a block asks for its hashes, each distinct one once.
 
-    Equal hashes meet in a bucket only if their ``route``, a second hash, leads them there too.
+    Equal hashes meet in a bucket only if their ``route``, a second hash, leads them there too. A body is 64-bit numbers:
+    how many hashes the block has in several places, how many counts follow them, those hashes, for each of them the
+    number of distinct ``content`` (only if that is given), and the hashes in one place.
     """
     bucket = buckets_of(hashes if route is None else route, n_buckets)
-    order = np.lexsort((hashes, bucket))
+    order = np.lexsort((hashes, bucket) if content is None else (content, hashes, bucket))
     values, bucket = hashes[order], bucket[order]
-    at = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (bucket[1:] != bucket[:-1])][: len(values)])
+    new = np.r_[True, (values[1:] != values[:-1]) | (bucket[1:] != bucket[:-1])][: len(values)]
+    at = np.flatnonzero(new)
     several = np.diff(np.r_[at, len(values)]) > 1
+    weights = np.empty(0, np.uint64)
+    if content is not None and len(at):
+        told = content[order]
+        weights = np.add.reduceat((new | np.r_[True, told[1:] != told[:-1]]).astype(np.uint64), at)
     values, bucket = values[at], bucket[at]
     rows = []
     edges = np.r_[np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)]
     for a, b in zip(edges[:-1], edges[1:]):
         v, s = values[a:b], several[a:b]
-        rows.append((int(bucket[a]), block, np.r_[np.uint64(s.sum()), v[s], v[~s]].tobytes()))
+        w = weights[a:b][s] if len(weights) else weights
+        rows.append((int(bucket[a]), block, np.r_[np.uint64(s.sum()), np.uint64(len(w)), v[s], w, v[~s]].tobytes()))
     return packed(rows)
 
 

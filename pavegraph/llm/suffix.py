@@ -4,7 +4,8 @@ Each window of LENGTH bytes chooses an anchor, the K bytes of lowest hash in it,
 anchors. Windows that share an anchor place form a fragment; fragments whose anchor stands in one place only hold no
 repeated window and go no further. The others are dealt to shards by anchor, where equal fragments fall together and
 the rest is sorted: the shard's suffix array is induced, its permuted common prefixes part the suffixes into classes of
-equal windows, and all but the earliest of each class are removed.
+equal windows, and all but the earliest of each class are removed. Of equal fragments of a block only the earliest goes to
+a shard, as the others are later than it: so a shard gets no more of a passage than there are blocks, however many copies.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .blocks import BUCKET_HASHES, PACKED, blocked, buckets_of, isin_sorted, packed, per_block, received, send, shared_hashes
 from .common import blocks_for
-from .hashing import BYTE, groups, rolled, utf8
+from .hashing import BASE, BYTE, groups, rolled, utf8
 from .sais import common_prefixes, suffix_array
 
 LENGTH = 100
@@ -31,6 +32,8 @@ ANCHOR_BYTES = 35
 SHARD_FRAGMENTS = 100_000
 #: An anchor that more blocks than this share deals out its windows one by one, by their own hash.
 HOT_BLOCKS = 1_000
+#: So does one with more fragments than this, each different one of a block counted, as they would meet in one shard.
+HOT_FRAGMENTS = 50_000
 #: Longer texts are taken in pieces that overlap by a window.
 PIECE = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
@@ -58,7 +61,7 @@ class Fragments:
     def __init__(self, own: np.ndarray, data: np.ndarray) -> None:
         n = len(data)
         self.low = self.high = self.text = np.empty(0, np.int64)
-        self.hash = np.empty(0, np.uint64)
+        self.hash = self.content = np.empty(0, np.uint64)
         if n < LENGTH:
             return
         self.values = BYTE[data]
@@ -78,19 +81,39 @@ class Fragments:
         first = np.r_[0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1]
         self.low, self.high = starts[first], starts[np.r_[first[1:], len(starts)] - 1]
         self.hash = h[anchor[first]]
+        whole = rolled(self.values, LENGTH)  # a fragment is covered by its first and its last window
+        self.content = whole[self.low] * BASE + whole[self.high] + (self.high - self.low).astype(np.uint64)
         self.text = np.searchsorted(own, self.low, "right") - 1
 
 
 def _ask(n_buckets: int):
     def ask(block: int, docs: pa.Table, _) -> pa.Table:
-        found = [Fragments(own, data).hash for *_, own, data in _pieces(docs)]
-        return send(block, np.concatenate(found), n_buckets) if found else packed([])
+        found = [(f.hash, f.content) for f in (Fragments(own, data) for *_, own, data in _pieces(docs))]
+        if not found:
+            return packed([])
+        hashes, contents = (np.concatenate(c) for c in zip(*found))
+        return send(block, hashes, n_buckets, content=contents)
 
     return ask
 
 
+def _merged(uid: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
+    """Runs of bytes, those that touch or overlap in a text as one."""
+    order = np.lexsort((low, uid))
+    uid, low, high = uid[order], low[order], high[order]
+    _, text = np.unique(uid, return_inverse=True)
+    far = np.int64(high.max() + 1)
+    reach = np.maximum.accumulate(high + text * far) - text * far
+    new = np.flatnonzero(np.r_[True, (uid[1:] != uid[:-1]) | (low[1:] > reach[:-1])])
+    return np.stack([uid[new], low[new], reach[np.r_[new[1:], len(uid)] - 1]]).astype(np.int64).tobytes()
+
+
 def _cut_out(n_shards: int):
-    """Sends each shared fragment's bytes once for the block, with all its places."""
+    """Sends each shared fragment's bytes once for the block, with its earliest place there.
+
+    Its other places in the block are later than that, so their bytes go whatever the shard finds; the block has them
+    sent back to itself by a bucket that is no shard.
+    """
 
     def cut_out(block: int, docs: pa.Table, got: pa.Table) -> pa.Table:
         warm, hot = received(got), received(got, hot=True)
@@ -114,17 +137,20 @@ def _cut_out(n_shards: int):
         which, id_, uid, at = (np.concatenate(c) for c in zip(*places))
         hashes = np.array([h for h, _ in index], np.uint64)
         bodies = [b for _, b in index]
+        sizes = np.array([len(b) for b in bodies], np.int64)
+        order = np.lexsort((at, uid, id_, which))
+        first = np.r_[True, which[order][1:] != which[order][:-1]]
+        lead, rest = order[first], order[~first]
         shard = buckets_of(hashes, n_shards)
-        order, new = np.argsort(shard, kind="stable"), np.empty(len(shard), np.int64)
-        edges = np.searchsorted(shard[order], np.arange(n_shards + 1))
-        new[order] = np.arange(len(shard)) - edges[shard[order]]
-        by = np.argsort(shard[which], kind="stable")
-        cuts = np.searchsorted(shard[which][by], np.arange(n_shards + 1))
         rows = []
+        if len(rest):
+            rows.append((n_shards + block, block, _merged(uid[rest], at[rest], at[rest] + sizes[which[rest]])))
+        by = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[by], np.arange(n_shards + 1))
         for s in np.flatnonzero(np.diff(edges)):
-            mine, spots = order[edges[s] : edges[s + 1]], by[cuts[s] : cuts[s + 1]]
-            parts = [bodies[k] for k in mine.tolist()]
-            rows.append((int(s), block, pickle.dumps((hashes[mine], np.array([len(b) for b in parts]), b"".join(parts), new[which[spots]].astype(np.int32), id_[spots], uid[spots], at[spots]), 5)))
+            mine = by[edges[s] : edges[s + 1]]
+            spot = lead[mine]
+            rows.append((int(s), block, pickle.dumps((hashes[mine], sizes[mine], b"".join([bodies[k] for k in mine.tolist()]), id_[spot], uid[spot], at[spot]), 5)))
         return packed(rows)
 
     return cut_out
@@ -159,16 +185,18 @@ def later_windows(contents: list[bytes], rank: np.ndarray) -> list[tuple[int, in
     return [(int(owner[a]), int(here[a]), int(here[b - 1]) + LENGTH) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def _decide(table: pa.Table) -> pa.Table:
-    """For each block, (uid, from, to) of the bytes to remove."""
+def _decide(table: pa.Table, n_shards: int) -> pa.Table:
+    """For each block, (uid, from, to) of the bytes to remove; what blocks have found out themselves goes back as it is."""
+    if table.column("bucket")[0].as_py() >= n_shards:
+        return table
     blocks = table.column("block").to_numpy()
     index: dict[tuple[int, bytes], int] = {}
     spots: list[tuple[np.ndarray, ...]] = []
     for block, body in zip(blocks.tolist(), table.column("body").to_pylist()):
-        hashes, sizes, raw, which, id_, uid, at = pickle.loads(body)
+        hashes, sizes, raw, id_, uid, at = pickle.loads(body)
         ends = np.cumsum(sizes)
-        own = np.array([index.setdefault((h, raw[b - n : b]), len(index)) for h, b, n in zip(hashes.tolist(), ends.tolist(), sizes.tolist())])
-        spots.append((own[which], id_, uid, at, np.full(len(at), block)))
+        own = [index.setdefault((h, raw[b - n : b]), len(index)) for h, b, n in zip(hashes.tolist(), ends.tolist(), sizes.tolist())]
+        spots.append((np.array(own), id_, uid, at, np.full(len(at), block)))
     which, id_, uid, at, block = (np.concatenate(c) for c in zip(*spots))
     contents = [c for _, c in index]
     sizes = np.array([len(c) for c in contents], np.int64)
@@ -196,7 +224,7 @@ def _decide(table: pa.Table) -> pa.Table:
     return packed([(shard, int(block[by[a]]), np.stack([uid[by[a:b]], low[by[a:b]], high[by[a:b]]]).astype(np.int64).tobytes()) for a, b in zip(edges[:-1], edges[1:])])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_bytes: int | None = None, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_bytes: int | None = None, hot_blocks: int = HOT_BLOCKS, hot_fragments: int = HOT_FRAGMENTS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, the bytes kept as text.
 
     Every byte goes that is covered by a 100-byte string of the same text's UTF-8 that also starts earlier: in a row of
@@ -207,8 +235,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, n_bytes, grow = blocked(docs, id_col, text_col, block_bytes)
     anchors = n_bytes // ANCHOR_BYTES
     asked = per_block(rows, None, _ask(blocks_for(anchors, int(BUCKET_HASHES * grow))), PACKED)
-    sent = per_block(rows, shared_hashes(asked, hot_blocks), _cut_out(blocks_for(anchors, SHARD_FRAGMENTS)), PACKED)
-    decided = sent.groupBy("bucket").applyInArrow(_decide, PACKED)
+    n_shards = blocks_for(anchors, SHARD_FRAGMENTS)
+    sent = per_block(rows, shared_hashes(asked, hot_blocks, hot_fragments), _cut_out(n_shards), PACKED)
+    decided = sent.groupBy("bucket").applyInArrow(lambda t: _decide(t, n_shards), PACKED)
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * keep_text]
     types = [pa.int64()] * 4 + [pa.string()] * (1 + keep_text)
 

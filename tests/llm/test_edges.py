@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from pavegraph.llm import decontam, exact, extract, minhash, packing, substring, suffix, tokens, toxicity, warc
+from pavegraph.llm import blocks, decontam, exact, extract, minhash, packing, substring, suffix, tokens, toxicity, warc
 
 random.seed(5)
 SYLLABLES = ["th", "er", "on", "an", "re", "ti", "es", "ou", "ña", "ß", "é"]
@@ -182,6 +182,22 @@ def test_suffix_dedup(docs, none, hot):
     assert suffix.suffix_dedup(none).count() == 0
 
 
+def test_suffix_dedup_of_one_phrase_in_very_many_surroundings(spark):
+    phrase = "the same forty letters stand everywhere!"
+    rows = [(k, prose(30, 500 + k) + phrase + prose(30, 900 + k)) for k in range(60)]
+    rows += [(100 + k, "x" + rows[k][1][20:] * 2) for k in range(0, 60, 3)] + [(200 + k, rows[7][1]) for k in range(40)]
+    docs = _table(spark, rows, "long")
+    for few in (3, 10**6):
+        got = by_id(suffix.suffix_dedup(docs, block_bytes=4_000, hot_fragments=few))
+        assert {k: [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in v] for k, v in got.items()} == brute_bytes(rows)
+
+
+def test_hot_hashes_are_counted_by_contents():
+    hashes, contents = np.array([5] * 6 + [6] * 6 + [7], np.uint64), np.array([1, 2, 3, 4, 5, 5] + [1] * 6 + [1], np.uint64)
+    body = np.frombuffer(blocks.send(3, hashes, 1, content=contents).column("body")[0].as_py(), np.uint64)
+    assert body.tolist() == [2, 2, 5, 6, 5, 1, 7]
+
+
 def test_suffix_dedup_of_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 1 << 10)
     docs = _table(spark, [(1, prose(3_000, 20)), (2, prose(200, 21) + prose(3_000, 20)[700:9_000])], "long")
