@@ -101,8 +101,8 @@ def _added(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], dim: int
     return sum(found[1:], found[0].copy()).reshape(kind.shape) if found else np.zeros_like(kind)
 
 
-def _times_covariance(rows: DataFrame, mean: np.ndarray, n: int, block: np.ndarray) -> np.ndarray:
-    """V @ block in one pass over the rows for each slice of the block."""
+def _times_covariance(rows: DataFrame, mean: np.ndarray, n: int, block: np.ndarray) -> tuple[np.ndarray, float]:
+    """V @ block and the trace of V, in one pass over the rows for each slice of the block."""
     dim, step = len(mean), max(1, SLICE // len(mean))
     out = []
     for at in range(0, block.shape[1], step):
@@ -110,10 +110,11 @@ def _times_covariance(rows: DataFrame, mean: np.ndarray, n: int, block: np.ndarr
 
         def kernel(y: np.ndarray, part: np.ndarray = part) -> np.ndarray:
             c = y - mean
-            return c.T @ (c @ part)
+            return np.vstack([c.T @ (c @ part), np.full(part.shape[1], np.square(c).sum())])
 
         out.append(_added(rows, kernel, dim) / n)
-    return np.hstack(out)
+    both = np.hstack(out)
+    return both[:-1], float(both[-1, 0])
 
 
 def components(multiply: Callable[[np.ndarray], np.ndarray], dim: int, k: int, oversampling: int = OVERSAMPLING, passes: int = PASSES, seed: int = 7) -> tuple[np.ndarray, np.ndarray, int, bool]:
@@ -151,18 +152,24 @@ def fit_whitening(embeddings: DataFrame, vector_col: str = "embedding", k: int =
     Vectors count if they have the most frequent length above nothing (of two as frequent, the greater). Passes over the
     rows read whole numbers that the first of them wrote; only sums of d x r numbers reach the driver.
     """
-    rows = table(embeddings.select(whole_entries(vector_col).alias("y")).filter("size(y) > 0"))
-    common = rows.groupBy(F.size("y").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    rows = table(embeddings.select(whole_entries(vector_col).alias("y")).select("y", F.size("y").alias("dim")).filter("dim > 0"))
+    common = rows.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
     if common is None:
         discard(rows)
         return None
     n, dim = common["count"], common["dim"]
-    same = rows.filter(F.size("y") == dim)
+    same = rows.filter(F.col("dim") == dim).select("y")
     high, low = _added(same, lambda y: np.stack([(y >> LOW).sum(0), (y & ((1 << LOW) - 1)).sum(0)]), dim)
     sums = [(int(h) << LOW) + int(s) for h, s in zip(high, low)]
     mean = np.array([s / n for s in sums])
-    trace = float(_added(same, lambda y: np.array([np.square(y - mean).sum()]), dim)[0]) / n
-    values, vectors, made, full = components(lambda block: _times_covariance(same, mean, n, block), dim, min(k, dim), **options)
+    trace = 0.0
+
+    def multiply(block: np.ndarray) -> np.ndarray:
+        nonlocal trace
+        image, trace = _times_covariance(same, mean, n, block)
+        return image
+
+    values, vectors, made, full = components(multiply, dim, min(k, dim), **options)
     fit = Whitening(n, dim, sums, values, vectors, trace, made, full)
     use = fit.usable
     if use.any():
