@@ -288,3 +288,41 @@ def coverage_text(v: Views) -> DataFrame:
     """The coverage of each source as text, simplified to its diagonal."""
     ring = F.array(F.struct(F.col("west").alias("x"), F.col("south").alias("y")), F.struct(F.col("east").alias("x"), F.col("north").alias("y")))
     return catalog.coverage(v.spark).select("source", vectors.wkt_polygon(F.array(ring)).alias("wkt"))
+
+
+def _degrees(key: str, factor: int, least: int, span: int, sign: str = "") -> str:
+    """SQL text of a number of degrees with three places, for both engines."""
+    m = f"({least} + {key} * {factor} % {span})"
+    return f"'{sign}' || cast(floor({m} / 1000) as bigint) || '.' || lpad(cast({m} % 1000 as string), 3, '0')"
+
+
+def _corner(key: str, more: int = 0) -> tuple[str, str]:
+    return _degrees(key, 7919, 33000 + more, 15000), _degrees(key, 104729, 67000 - more, 56000, "-")
+
+
+NAMES = [*catalog.SERVERS, "nowhere"]
+LAT, LON = _corner("c_custkey")
+LAT_2, LON_2 = _corner("c_custkey", 400)
+PLACE = [f"cast({c} as double)" for more in (0, 300) for c in _corner("s_suppkey", more)]
+DISPLAY = "case s_suppkey % 3 when 0 then 'Place, New Jersey, United States' when 1 then 'Place, NEW YORK' else 'Place' end"
+ASKED = f"case c_custkey % 4 when 1 then {LAT} || ', ' || {LON} when 2 then {LAT} || ', ' || {LON} || ', ' || {LAT_2} || ', ' || {LON_2} when 3 then 'PLACE ' || cast(c_custkey % 97 as string) end"
+
+
+@query(f"""with s as ({catalog.values_sql()}), w as ({catalog.keywords_sql()}),
+    i as (select distinct coalesce({ASKED}, ({NAMES!r})[c_custkey % {len(NAMES)} + 1]) as item from customer),
+    n as (select item, {", ".join(f"try_cast(split_part(item, ', ', {k}) as double) as n{k}" for k in (1, 2, 3, 4))} from i),
+    g as (select 'place ' || s_suppkey as address, {DISPLAY} as display, {", ".join(f"{p} as p{k}" for k, p in enumerate(PLACE))} from supplier),
+    r as (select item, '' as display, least(n1, coalesce(n3, n1)) - 1e-9 as south, least(n2, coalesce(n4, n2)) - 1e-9 as west, greatest(n1, coalesce(n3, n1)) + 1e-9 as north, greatest(n2, coalesce(n4, n2)) + 1e-9 as east from n where n1 is not null
+        union all select item, display, p0 - 1e-9, p1 - 1e-9, p2 + 1e-9, p3 + 1e-9 from i join g on lower(item) = address),
+    m as (select r.item, s.source, exists (select 1 from w where w.source = s.source and contains(lower(r.display), lower(w.keyword))) as named,
+        (least(r.east, s.east) - greatest(r.west, s.west)) * (least(r.north, s.north) - greatest(r.south, s.south)) / ((s.east - s.west) * (s.north - s.south)) as share
+        from r, s where greatest(r.west, s.west) < least(r.east, s.east) and greatest(r.south, s.south) < least(r.north, s.north)),
+    f as (select item, source, row_number() over (partition by item order by named desc, share desc, source) as k from m)
+    select i.item, coalesce(s.source, f.source) as source from i left join s on i.item = s.source left join f on i.item = f.item and f.k = 1""")
+def sources_of_places(v: Views) -> DataFrame:
+    """The source of each place asked for: by name, point, box or an address of a gazetteer; null where there is none."""
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("c_custkey") % len(NAMES) + 1).cast("int"))
+    items = v.table("customer").select(F.coalesce(F.expr(ASKED), name).alias("item"))
+    box = [F.expr(p).alias(n) for n, p in zip(("south", "west", "north", "east"), PLACE)]
+    gazetteer = v.table("supplier").select(F.concat(F.lit("Place "), F.col("s_suppkey")).alias("address"), F.expr(DISPLAY).alias("display"), *box)
+    return catalog.resolve(items, gazetteer, catalog.sources(v.spark))

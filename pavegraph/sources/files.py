@@ -102,9 +102,15 @@ class FileSink(DataSource):
         return _Files(self.options, overwrite)
 
 
+def register(spark: SparkSession, source: type[DataSource]) -> None:
+    """Registers a source for callers in any thread: Spark looks it up in the session active there, which making a table sets."""
+    spark.createDataFrame([], "none int")
+    spark.dataSource.register(source)
+
+
 def write_files(rows: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Rows (name, content) as files under ``folder``; null content is an empty file, and equal names in one task overwrite each other."""
-    rows.sparkSession.dataSource.register(FileSink)
+    register(rows.sparkSession, FileSink)
     rows.select("name", F.col("content").cast("binary").alias("content")).write.format("pavegraph_files").mode(mode).save(folder)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, LongType, StringType, StructField, StructType
 
-from .files import FolderWriter, opened
+from .files import FolderWriter, opened, register
 
 #: Numbers of the format. Fixed values.
 FILE_CODE, VERSION, SHAPES = 9994, 1000, {"line": 3, "polygon": 5}
@@ -224,10 +224,10 @@ def write_shapefile(layer: DataFrame, folder: str, kind: str = "polygon", mode:
     Names have up to 10 bytes, texts up to 254; longer ones are an error. Trailing blanks of texts are lost, as blanks
     fill the fields. An empty layer leaves an empty folder.
     """
-    layer.sparkSession.dataSource.register(Shapefiles)
+    register(layer.sparkSession, Shapefiles)
     layer.write.format("pavegraph_shapefile").option("kind", kind).mode(mode).save(folder)
 
 
 def read_shapefile(spark: SparkSession, folder: str) -> DataFrame:
-    spark.dataSource.register(Shapefiles)
+    register(spark, Shapefiles)
     return spark.read.format("pavegraph_shapefile").load(folder)

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from pavegraph.sources import images, vectors
-from pavegraph.streaming.metrics import confusion_stream
+from pavegraph.sources import files, images, paths, vectors
+from pavegraph.streaming.metrics import confusion_stream, weighted_mean_stream
 
 
 def test_png_and_spark_image_reader_agree(spark, tmp_path):
@@ -49,7 +50,27 @@ def test_confusion_over_a_stream_equals_batch(spark, tmp_path):
     assert got == {(r.truth, r.pred): r["count"] for r in rows.groupBy("truth", "pred").count().collect()}
 
 
-#: Places with a box (south, west, north, east) and a display name, as a gazetteer would have them.
+def test_weighted_means_over_a_stream_equal_batch(spark, tmp_path):
+    rows = spark.range(300).select((F.col("id") % 7).cast("double").alias("val"), (F.col("id") % 4).alias("n"), F.timestamp_seconds(F.col("id") * 10).alias("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = weighted_mean_stream(stream, "ts", "10 minutes", "1 minute").writeStream.outputMode("complete").format("memory").queryName("means").start()
+    q.processAllAvailable()
+    q.stop()
+    want = rows.groupBy(F.window("ts", "10 minutes").alias("window")).agg((F.sum(F.col("val") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    by_start = lambda found: {r.window.start: (round(r["mean"], 9), r.n) for r in found.collect()}
+    assert by_start(spark.table("means")) == by_start(want)
+
+
+def test_files_are_written_and_read_in_any_thread(spark, tmp_path):
+    rows = spark.createDataFrame([("a.bin", b"\n\x00"), ("b.bin", b"x")], "name string, content binary")
+    with ThreadPoolExecutor(1) as pool:
+        pool.submit(files.write_files, rows, str(tmp_path / "out")).result()
+    assert {(r.name, bytes(r.content)) for r in files.read_files(spark, str(tmp_path / "out")).collect()} == {("a.bin", b"\n\x00"), ("b.bin", b"x")}
+    assert {(r.path[-5:], r.length) for r in paths.existing(spark, str(tmp_path / "out"), "*.bin").collect()} == {("a.bin", 2), ("b.bin", 1)}
+
+
+#: Fixed values. Places with a box (south, west, north, east) and a display name, as a gazetteer would have them.
 PLACES = [
     ("New York City", "City of New York, New York, United States", 40.477, -74.259, 40.918, -73.700),
     ("New Jersey", "New Jersey, United States", 38.789, -75.564, 41.357, -73.886),
@@ -64,6 +85,7 @@ PLACES = [
     ("Virginia", "Virginia, United States", 36.541, -83.675, 39.466, -75.166),
     ("Maywood, CA", "Maywood, Los Angeles County, California, United States", 33.980, -118.203, 33.994, -118.176),
 ]
+#: Items and the sources that they are about.
 WANTED = {
     "New York City": "nyc", "new jersey": "nj", "New Brunswick, New Jersey": "nj", "Massachusetts": "ma", "King County, Washington": "king",
     "Washington, DC": "dc", "Los Angeles": "la", "Jersey City": "nj", "Hoboken": "nj", "Spring Hill, TN": "sh_tn", "Virginia": "va", "Maywood, CA": "la",
