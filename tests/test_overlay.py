@@ -104,3 +104,11 @@ def test_buffers_of_concave_rings_and_lines(spark):
     assert {r.line_id for r in found} == {1} and sum(r.area for r in found) == pytest.approx(12 * 2 + 2 * 6, abs=1e-4)
     sharp = np.array([(0, 0), (100, 0), (0, 1)])  # its mitre would be 200 long
     assert max(p.x for r in overlay.grown(overlay.directed(frame(spark, [("x", sharp)]), "f_type"), 1.0).collect() for p in r.ring) < 102
+
+
+def test_corners_just_under_a_line_between_cells_stay():
+    """Their lines pass from cell to cell twice, half a grain beside each other."""
+    from pavegraph.operators.overlay import _uncut
+
+    way = [(2, 1), (27_000_000, 11_000_000), (0, 22_000_000), (0, 1)]
+    assert sorted(_uncut(way)) == [(0, 0), (0, 22_000_000), (27_000_000, 11_000_000)]
