@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import dealt, table
 from .overlay import plain
 
 #: Pairs of square and side that are compared at once.
@@ -54,6 +55,8 @@ def cover(rings: list[np.ndarray], size: float, levels: int) -> list[tuple[int,
     """(level, cx, cy): squares of 2^level tiles a side that lie in the rings, and tiles (level 0) that an outline goes through."""
     a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
     low, high = np.minimum(a, b).min(0), np.maximum(a, b).max(0)
+    fits = float((high - low).min()) / size  # no larger square lies in the rings
+    levels = min(levels, max(int(np.floor(np.log2(fits))), 0)) if fits >= 1 else 0
     top = size * 2**levels
     first, last = np.floor(low / top).astype(np.int64), np.floor(high / top).astype(np.int64)
     cells = np.stack(np.meshgrid(np.arange(first[0], last[0] + 1), np.arange(first[1], last[1] + 1), indexing="ij"), -1).reshape(-1, 2)
@@ -85,23 +88,35 @@ def covers(polygons: DataFrame, size: float, levels: int = 12, key: str = "geom_
             columns = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64())))], names=[key, "level", "cx", "cy"])
 
-    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is a lot of work here
-    return polygons.select(key, F.transform(rings, plain).alias("rings")).repartition(tasks).mapInArrow(run, f"`{key}` {kind}, level int, cx long, cy long")
+    return dealt(polygons.select(key, F.transform(rings, plain).alias("rings"))).mapInArrow(run, f"`{key}` {kind}, level int, cx long, cy long")
 
 
-def _ancestors(tiles: DataFrame, levels: int) -> DataFrame:
+def _ancestors(tiles: DataFrame, squares: DataFrame) -> DataFrame:
+    """Tiles with their ancestors at the levels that ``squares`` have, some ten at most."""
+    levels = sorted(r.level for r in squares.select("level").distinct().collect())
     up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
-    return tiles.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"cx": up("col"), "cy": up("row")})
+    return tiles.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumns({"cx": up("col"), "cy": up("row")})
+
+
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` to be joined by a shuffle: what Spark thinks of its size comes from the file, before ancestors and covers multiplied it."""
+    return df.hint("merge")
 
 
 def meeting(tiles: DataFrame, polygons: DataFrame, size: float, levels: int = 12, key: str = "geom_id", rings: str = "rings") -> DataFrame:
     """(idd, key): every tile (idd, col, row) with every polygon that it shares area with, once."""
-    found = covers(polygons, size, levels, key, rings)
-    return _ancestors(tiles.select("idd", "col", "row"), levels).join(found, ["level", "cx", "cy"]).select("idd", key)
+    found = table(covers(polygons, size, levels, key, rings))
+    return _ancestors(tiles.select("idd", "col", "row"), found).join(_shuffled(found), ["level", "cx", "cy"]).select("idd", key)
+
+
+def tiles_marked(tiles: DataFrame, polygons: DataFrame, size: float, levels: int = 12, key: str = "geom_id", rings: str = "rings") -> DataFrame:
+    """The tiles (idd, col, row, ...) with ``inside``: whether they share area with some polygon. Squares that several polygons cover count once."""
+    squares = table(covers(polygons, size, levels, key, rings).select("level", "cx", "cy").distinct())
+    hit = _ancestors(tiles.select("idd", "col", "row"), squares).join(_shuffled(squares), ["level", "cx", "cy"], "left_semi").select("idd").distinct()
+    marked = tiles.join(_shuffled(hit.withColumn("inside", F.lit(True))), "idd", "left")
+    return marked.withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
 def tiles_meeting(tiles: DataFrame, polygons: DataFrame, size: float, levels: int = 12, outside: bool = False, key: str = "geom_id", rings: str = "rings") -> DataFrame:
-    """The tiles (idd, col, row, ...) that share area with some polygon, or none if ``outside``. Squares that several polygons cover count once."""
-    squares = covers(polygons, size, levels, key, rings).select("level", "cx", "cy").distinct()
-    inside = _ancestors(tiles.select("idd", "col", "row"), levels).join(squares, ["level", "cx", "cy"], "left_semi").select("idd").distinct()
-    return tiles.join(inside, "idd", "left_anti" if outside else "left_semi")
+    """The tiles (idd, col, row, ...) that share area with some polygon, or with none if ``outside``."""
+    return tiles_marked(tiles, polygons, size, levels, key, rings).filter(F.col("inside") != F.lit(outside)).drop("inside")

@@ -75,10 +75,9 @@ HIT = """l as (select x0, y0, x0 + w as x1, y0 + h / 2e0 as y1 from rect where k
 
 @query(with_ctes(HIT, "select idd, exists (select 1 from cells where cx = col and cy = row) as inside from tile"), "rect", "tile")
 def tiles_in_polygons(v: Views) -> DataFrame:
-    """Which tiles share area with an L-shape, and which do not: the semi join and the anti join together."""
+    """Which tiles share area with an L-shape, and which do not."""
     layer = v.polygon().filter("kind <> 0").select("geom_id", F.array("ring").alias("rings"))
-    part = lambda outside: cover.tiles_meeting(v.tile(), layer, SIDE, outside=outside).select("idd", F.lit(not outside).alias("inside"))
-    return part(False).unionByName(part(True))
+    return cover.tiles_marked(v.tile(), layer, SIDE).select("idd", "inside")
 
 
 @query(with_ctes(HIT.replace("select x0, y0, x0 + w as x1", "select geom_id, x0, y0, x0 + w as x1").replace("union all select x0,", "union all select geom_id, x0,").replace("select distinct cast", "select distinct geom_id, cast"), "select geom_id, count(*) as tiles from cells join tile on cx = col and cy = row group by geom_id"), "rect", "tile")
