@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..functions.storage import dealt
+
+#: Files, and bytes of them, that are handed on at once.
+BATCH_FILES, BATCH_BYTES = 1_000, 1 << 24
+
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path, local or remote, and the path within it."""
@@ -111,10 +117,38 @@ def register(spark: SparkSession, source: type[DataSource]) -> None:
 def write_files(rows: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Rows (name, content) as files under ``folder``; null content is an empty file, and equal names in one task overwrite each other."""
     register(rows.sparkSession, FileSink)
-    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("pavegraph_files").mode(mode).save(folder)
+    dealt(rows.select("name", F.col("content").cast("binary").alias("content"))).write.format("pavegraph_files").mode(mode).save(folder)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, content) of the files that ``write_files`` wrote, by Spark's own reader, which leaves out empty ones."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
+    """(name, content) of the files that ``write_files`` wrote, or that lie under ``folder`` in others; empty ones are left out.
+
+    The driver lists the top of the folder alone, where every task that wrote has one of its own; tasks list and read these.
+    """
+    fs, path = opened(folder)
+    own = fs.get_file_info(pafs.FileSelector(path))
+    shown = lambda found: not found.base_name.startswith(("_", "."))
+    tops = [(i.path, i.type == pafs.FileType.Directory) for i in own if shown(i)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(folder)
+        for batch in batches:
+            for top, is_folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                todo, names, contents, held = [top], [], [], 0
+                while todo:
+                    at = todo.pop()
+                    for found in fs.get_file_info(pafs.FileSelector(at) if is_folder else [at]):
+                        if found.type == pafs.FileType.Directory and shown(found):
+                            todo.append(found.path)
+                        elif found.type == pafs.FileType.File and found.size and shown(found):
+                            with fs.open_input_file(found.path) as stream:
+                                contents.append(stream.read())
+                            names.append(found.base_name)
+                            held += found.size
+                            if len(names) >= BATCH_FILES or held >= BATCH_BYTES:
+                                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+                                names, contents, held = [], [], 0
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+
+    return dealt(spark.createDataFrame(tops, "path string, is_folder boolean"), "path").mapInArrow(run, "name string, content binary")

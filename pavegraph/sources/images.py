@@ -42,6 +42,60 @@ def black_tile(size: int = 256) -> bytes:
     return png(np.zeros((size, size, 3), np.uint8))
 
 
+def unpng(content: bytes) -> np.ndarray | None:
+    """The pixels (height, width, channels) of an 8-bit PNG without interlacing; null for anything else."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n" or len(content) < 33:
+        return None
+    w, h, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", content[16:29])
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or interlaced or channels is None:
+        return None
+    at, body = 8, b""
+    while at + 8 <= len(content):
+        size, kind = struct.unpack(">I4s", content[at : at + 8])
+        body += content[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+        at += size + 12
+    try:
+        rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
+    except (zlib.error, ValueError):
+        return None
+    kinds, out = rows[:, 0], rows[:, 1:].reshape(h, w, channels).copy()
+    if kinds.any():
+        _unfiltered(kinds.tolist(), out)
+    return out
+
+
+def _unfiltered(kinds: list[int], px: np.ndarray) -> None:
+    """Undoes the filter of each row of pixels in place: 1 adds the left pixel, 2 the one above, 3 their mean, 4 the one of three that fits best."""
+    none = np.zeros(px.shape[2], np.int64)
+    for r, kind in enumerate(kinds):
+        if kind == 1:
+            px[r] = np.cumsum(px[r], axis=0, dtype=np.uint8)
+        elif kind == 2 and r:
+            px[r] += px[r - 1]
+        elif kind in (3, 4):
+            left = corner = none
+            for c in range(px.shape[1]):
+                up = px[r - 1, c].astype(np.int64) if r else none
+                near = [abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)]
+                add = (left + up) // 2 if kind == 3 else np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], up, corner))
+                left, corner = (px[r, c] + add) % 256, up
+                px[r, c] = left
+
+
+def read_pngs(spark: SparkSession, folder: str) -> DataFrame:
+    """(image, height, width, channels, data) of 8-bit PNG files, blue first; other files are left out. Tasks list, read and decode them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(name, px) for name, px in zip(batch.column(0).to_pylist(), map(unpng, batch.column(1).to_pylist())) if px is not None]
+            shapes = [pa.array([px.shape[k] for _, px in found], pa.int32()) for k in range(3)]
+            data = [(px[..., [2, 1, 0, *range(3, px.shape[2])]] if px.shape[2] > 2 else px).tobytes() for _, px in found]
+            yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in found], pa.string()), *shapes, pa.array(data, pa.binary())], names=["image", "height", "width", "channels", "data"])
+
+    return files.read_files(spark, folder).mapInArrow(run, "image string, height int, width int, channels int, data binary")
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, height, width, channels, data) of images, by Spark's own decoder; channels come blue first."""
     return spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("path", "height", "width", "channels", "data")
