@@ -180,3 +180,14 @@ def test_network_of_known_lines(spark):
     for r in lines.network(side, cross.limit(1), 8.0).collect():
         found.setdefault(r.f_type, []).append(length(np.array(r.pts)))
     assert {k: (len(v), sum(v)) for k, v in found.items()} == {"sidewalk": (4, 50.0), "crosswalk": (1, 20.0), "sidewalk_connection": (2, 10.0)}
+
+
+def test_nearest_lines_far_from_the_origin_tie(spark):
+    """A point between two lines that mirror each other is as far from one as from the other."""
+    from pavegraph.operators import lines
+
+    far = 12_345.0
+    pair = spark.createDataFrame([(k, [(far, 3.0), (far + 2.0 * s, 4.0)]) for k, s in ((1, 1), (2, -1))], "line_id long, pts array<struct<x:double,y:double>>")
+    at = spark.createDataFrame([(k, far, 3.0 + k / 7) for k in range(1, 8)], "id long, x double, y double")
+    found = lines.nearest_on_lines(at, pair, 12.0, digits=13).groupBy("id").count().collect()
+    assert {r["count"] for r in found} == {2}
