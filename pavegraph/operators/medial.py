@@ -1,6 +1,7 @@
 """Centrelines by the medial axis: Voronoi edges of points along the outline, inner ones, with short spurs pruned.
 
-Points along an outline are triangulated one after another (each replaces the triangles whose circles hold it). Centres of
+Points along an outline are triangulated one after another (each replaces the triangles whose circles hold it), those of
+many outlines at a time. Centres of
 neighbouring circles within the polygon are the edges of its medial axis. Branches that only lead into a corner are no
 longer than their junction is away from the outline, by a factor, and go.
 """
@@ -22,6 +23,8 @@ SPUR = 1.6
 POINTS = 600
 #: Least area of what erosion leaves of a crosswalk. Fixed value.
 ERODED_LEAST = 2.0
+#: Points that are triangulated together.
+TOGETHER = 65_536
 LINE = "array<struct<x:double,y:double>>"
 
 
@@ -34,47 +37,92 @@ def sampled(ring: np.ndarray, spacing: float) -> np.ndarray:
     return np.concatenate([a + v * (np.arange(k) / k)[:, None] for a, v, k in zip(ring, d, n)])
 
 
-def delaunay(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(triangles, centres, squared radii) of points in general position."""
-    middle, size = (p.min(0) + p.max(0)) / 2, max(np.ptp(p, axis=0).max(), 1e-9)
-    q = np.concatenate([p, middle + size * np.array([(-40.0, -30.0), (40.0, -30.0), (0.0, 50.0)])])
-    n, room = len(p), 16 * len(p) + 64
-    tri, centre, r2, alive = np.zeros((room, 3), np.int64), np.zeros((room, 2)), np.zeros(room), np.zeros(room, bool)
+def delaunays(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(triangles, centres, squared radii) of each set of points in general position.
+
+    Sets of about as many points each are triangulated together, a point of every set at a time: some dozen steps on
+    arrays for all of them.
+    """
+    out: list = [None] * len(sets)
+    by_size = sorted(range(len(sets)), key=lambda k: -len(sets[k]))
+    while by_size:
+        some = max(1, TOGETHER // max(len(sets[by_size[0]]), 1))
+        for k, found in zip(by_size[:some], _together([sets[k] for k in by_size[:some]])):
+            out[k] = found
+        del by_size[:some]
+    return out
 
-    def circles(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b, c = q[t[:, 0]], q[t[:, 1]] - q[t[:, 0]], q[t[:, 2]] - q[t[:, 0]]
+
+def _together(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``delaunays`` of sets that fall in size; a row of the arrays is a set, a column a triangle, and squared radii of -1 are free."""
+    n = np.array([len(p) for p in sets])
+    base = np.cumsum(n + 3) - (n + 3)
+    q = np.empty((int((n + 3).sum()), 2))
+    orders = np.zeros((len(sets), max(int(n.max(initial=0)), 1)), np.int64)
+    for k, p in enumerate(sets):
+        if len(p):
+            middle, size = (p.min(0) + p.max(0)) / 2, max(np.ptp(p, axis=0).max(), 1e-9)
+            q[base[k] : base[k] + n[k]] = p
+            q[base[k] + n[k] : base[k] + n[k] + 3] = middle + size * np.array([(-40.0, -30.0), (40.0, -30.0), (0.0, 50.0)])
+            orders[k, : n[k]] = np.random.default_rng(1).permutation(n[k])
+    room, far = 2 * int(n.max(initial=0)) + 8, int(n.max(initial=0)) + 3
+    shape = (len(sets), room)
+    tri, born = np.zeros((*shape, 3), np.int64), np.zeros(shape, np.int64)
+    x, y, r2 = np.zeros(shape), np.zeros(shape), np.full(shape, -1.0)
+    used = np.ones(len(sets), np.int64)
+
+    def put(row: np.ndarray, slot: np.ndarray, t: np.ndarray) -> None:
+        a, b, c = (q[base[row] + t[:, i]] for i in range(3))
+        b, c = b - a, c - a
         det = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
         bb, cc = (b * b).sum(1), (c * c).sum(1)
         o = np.stack([c[:, 1] * bb - b[:, 1] * cc, b[:, 0] * cc - c[:, 0] * bb], 1) / det[:, None]
-        return a + o, (o * o).sum(1)
-
-    tri[0] = n, n + 1, n + 2
-    centre[:1], r2[:1] = circles(tri[:1])
-    alive[0], used = True, 1
-    for k in np.random.default_rng(1).permutation(n):
-        d = centre[:used] - q[k]
-        bad = np.flatnonzero(alive[:used] & ((d * d).sum(1) < r2[:used]))
-        t = tri[bad]
-        edges = np.sort(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]]), axis=1)
-        edges, count = np.unique(edges, axis=0, return_counts=True)
-        edges = edges[count == 1]
-        if used + len(edges) > len(tri):
-            keep = np.flatnonzero(alive[:used])
-            used = len(keep)
-            for arr in (tri, centre, r2):
-                arr[:used] = arr[keep]
-            alive[:used], alive[used:] = True, False
-            d = centre[:used] - q[k]
-            bad = np.flatnonzero((d * d).sum(1) < r2[:used])
-        alive[bad] = False
-        new = np.hstack([edges, np.full((len(edges), 1), k)])
-        to = slice(used, used + len(new))
-        tri[to] = new
-        centre[to], r2[to] = circles(new)
-        alive[to] = True
-        used += len(new)
-    keep = np.flatnonzero(alive[:used] & (tri[:used] < n).all(1))
-    return tri[keep], centre[keep], r2[keep]
+        tri[row, slot] = t
+        x[row, slot], y[row, slot], r2[row, slot] = a[:, 0] + o[:, 0], a[:, 1] + o[:, 1], (o * o).sum(1)
+
+    some = np.flatnonzero(n)
+    put(some, np.zeros(len(some), np.int64), n[some, None] + np.arange(3))
+    for k in range(int(n.max(initial=0))):
+        rows = int(np.searchsorted(-n, -k, "left"))  # those that have a point left
+        wide = int(used[:rows].max())
+        point = orders[:rows, k]
+        at = q[base[:rows] + point]
+        dx, dy = x[:rows, :wide] - at[:, :1], y[:rows, :wide] - at[:, 1:]
+        dx *= dx
+        dy *= dy
+        dx += dy
+        row, slot = np.divmod(np.flatnonzero(dx < r2[:rows, :wide]), wide)
+        t = tri[row, slot]
+        a, b = t.ravel(), t[:, [1, 2, 0]].ravel()
+        code = np.sort((np.repeat(row, 3) * far + np.minimum(a, b)) * far + np.maximum(a, b))
+        once = np.ones(len(code), bool)
+        once[1:] &= code[1:] != code[:-1]
+        once[:-1] &= code[1:] != code[:-1]
+        rest, high = np.divmod(code[once], far)
+        of, low = np.divmod(rest, far)
+        r2[row, slot] = -1.0
+        less, more = np.bincount(row, minlength=rows), np.bincount(of, minlength=rows)
+        rank = np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
+        anew = rank >= less[of]
+        place = used[of] + rank - less[of]
+        place[~anew] = slot[((np.cumsum(less) - less)[of] + rank)[~anew]]
+        used[:rows] += np.maximum(more - less, 0)
+        if used[:rows].max() > x.shape[1]:
+            pad = lambda arr, v=0: np.concatenate([arr, np.full((len(arr), room, *arr.shape[2:]), v, arr.dtype)], 1)
+            tri, born, x, y, r2 = pad(tri), pad(born), pad(x), pad(y), pad(r2, -1.0)
+        put(of, place, np.stack([low, high, point[of]], 1))
+        born[of, place] = (k + 1) * far * far + rank
+    out = []
+    for k in range(len(sets)):
+        kept = np.flatnonzero((r2[k] >= 0) & (tri[k] < n[k]).all(1)) if n[k] else np.empty(0, np.int64)
+        kept = kept[np.argsort(born[k, kept])]
+        out.append((tri[k, kept], np.stack([x[k, kept], y[k, kept]], 1), r2[k, kept]))
+    return out
+
+
+def delaunay(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(triangles, centres, squared radii) of points in general position."""
+    return delaunays([p])[0]
 
 
 def within(ring: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -85,13 +133,18 @@ def within(ring: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (up & (at[:, None, 0] < x)).sum(1) % 2 == 1
 
 
-def axis(ring: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
-    """(nodes, radii, neighbours) of the medial axis of a closed ring; nodes nearer than a hundredth of the spacing are one."""
+def outlined(ring: np.ndarray, spacing: float) -> np.ndarray:
+    """Points along a closed ring in general position."""
     p = sampled(ring, spacing)
-    if len(p) < 3:
-        return np.empty((0, 2)), np.empty(0), {}
-    p = p + np.random.default_rng(0).uniform(-1e-5, 1e-5, p.shape) * spacing
-    tri, centre, r2 = delaunay(p)
+    return p + np.random.default_rng(0).uniform(-1e-5, 1e-5, p.shape) * spacing
+
+
+def axis(ring: np.ndarray, spacing: float, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
+    """(nodes, radii, neighbours) of the medial axis of a closed ring; nodes nearer than a hundredth of the spacing are one.
+
+    ``found`` is the triangulation of ``outlined``, if it is known.
+    """
+    tri, centre, r2 = found or delaunay(outlined(ring, spacing))
     if not len(tri):
         return np.empty((0, 2)), np.empty(0), {}
     inner = within(ring, centre)
@@ -186,9 +239,9 @@ def drawn_out(line: np.ndarray, ring: np.ndarray, far: float) -> np.ndarray:
     return np.vstack([line, line[-1] + u * hits.min()]) if len(hits) else line
 
 
-def centre_lines(ring: np.ndarray, spacing: float, extend: bool = False) -> list[np.ndarray]:
+def centre_lines(ring: np.ndarray, spacing: float, extend: bool = False, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
     """Centrelines of a closed ring. Without any, as in a square, it is the line between the middles of its shorter sides."""
-    nodes, radii, links = axis(ring, spacing)
+    nodes, radii, links = axis(ring, spacing, found)
     links = pruned(nodes, radii, links)
     lines = [polygons.simplify(line, spacing / 4) for line in chained(nodes, links)]
     if not lines:
@@ -216,14 +269,18 @@ def medial_lines(layer: DataFrame, key: str = "geom_id", spacing: str | float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, parts, pts = [], [], []
-            for row, (points, gap) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if points and len(points) > 3 and gap:
-                    for part, line in enumerate(centre_lines(np.array([(p["x"], p["y"]) for p in points], float), gap, extend)):
-                        rows.append(row)
-                        parts.append(part)
-                        pts.append([{"x": x, "y": y} for x, y in line.tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), pa.array(pts, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], names=[key, "part", "pts"])
+            size, points = overlay.points_of(batch.column(1))
+            gaps = batch.column(2).to_pylist()
+            some = [row for row, (n, gap) in enumerate(zip(size.tolist(), gaps)) if n > 3 and gap]
+            ends = np.cumsum(size)
+            rings = [points[ends[row] - size[row] : ends[row]] for row in some]
+            rows, parts, lines = [], [], [np.empty((0, 2))]
+            for row, ring, found in zip(some, rings, delaunays([outlined(ring, gaps[row]) for row, ring in zip(some, rings)])):
+                own = centre_lines(ring, gaps[row], extend, found)
+                rows += [row] * len(own)
+                parts += range(len(own))
+                lines += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), overlay.lists(np.array([len(line) for line in lines[1:]], np.int64), np.concatenate(lines))], names=[key, "part", "pts"])
 
     narrow = layer.select(key, overlay.plain(F.col(ring)).alias("ring"), step.cast("double").alias("gap"))
     tasks = int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is a lot of work here
