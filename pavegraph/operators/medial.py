@@ -8,14 +8,18 @@ longer than their junction is away from the outline, by a factor, and go.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import table
 from . import centerlines, overlay, polygons
+from .arrangement import PAIRS, chained, distinct, runs
 
 #: A spur goes if it is at most this many times as long as its junction is away from the outline; a right corner has 1.42.
 SPUR = 1.6
@@ -28,48 +32,58 @@ TOGETHER = 65_536
 LINE = "array<struct<x:double,y:double>>"
 
 
-def sampled(ring: np.ndarray, spacing: float) -> np.ndarray:
-    """Corners of a closed ring with points between them, about ``spacing`` apart."""
-    d = np.diff(ring, axis=0)
+def outlines(size: np.ndarray, points: np.ndarray, spacing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, points): corners of closed rings with points between them, about ``spacing`` apart, in general position.
+
+    Points of all rings follow each other, ``size`` of them a ring.
+    """
+    begins = np.ones(len(points), bool)
+    begins[np.cumsum(size) - 1] = False  # the last point of a ring is its first one
+    side = np.flatnonzero(begins)
+    of = np.repeat(np.arange(len(size)), size)[side]
+    d = points[side + 1] - points[side]
     length = np.hypot(d[:, 0], d[:, 1])
-    ring, d, length = ring[:-1][length > 0], d[length > 0], length[length > 0]
-    n = np.maximum(1, np.ceil(length / max(spacing, length.sum() / POINTS))).astype(int)
-    return np.concatenate([a + v * (np.arange(k) / k)[:, None] for a, v, k in zip(ring, d, n)])
+    some = length > 0
+    side, of, d, length = side[some], of[some], d[some], length[some]
+    gap = np.maximum(spacing, np.bincount(of, length, len(size)) / POINTS)
+    n = np.maximum(1, np.ceil(length / gap[of])).astype(np.int64)
+    which = np.repeat(np.arange(len(n)), n)
+    p = points[side[which]] + d[which] * (runs(np.zeros_like(n), n) / n[which])[:, None]
+    count = np.bincount(of, n, len(size)).astype(np.int64)
+    moved = np.random.default_rng(0).uniform(-1e-5, 1e-5, (int(count.max(initial=0)), 2))
+    return count, p + moved[runs(np.zeros_like(count), count)] * np.repeat(spacing, count)[:, None]
 
 
-def delaunays(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(triangles, centres, squared radii) of each set of points in general position.
+@functools.lru_cache(1 << 12)
+def _order(n: int) -> np.ndarray:
+    """The order in which n points are triangulated."""
+    return np.random.default_rng(1).permutation(n)
 
-    Sets of about as many points each are triangulated together, a point of every set at a time: some dozen steps on
-    arrays for all of them.
-    """
-    out: list = [None] * len(sets)
-    by_size = sorted(range(len(sets)), key=lambda k: -len(sets[k]))
-    while by_size:
-        some = max(1, TOGETHER // max(len(sets[by_size[0]]), 1))
-        for k, found in zip(by_size[:some], _together([sets[k] for k in by_size[:some]])):
-            out[k] = found
-        del by_size[:some]
-    return out
 
+def _together(n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, triangle, centre, squared radius) of sets of ``n`` points in general position that fall in size.
 
-def _together(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``delaunays`` of sets that fall in size; a row of the arrays is a set, a column a triangle, and squared radii of -1 are free."""
-    n = np.array([len(p) for p in sets])
+    A row of the arrays is a set, a column a triangle, and squared radii of -1 are free; a point of every set is put in
+    at a time.
+    """
     base = np.cumsum(n + 3) - (n + 3)
     q = np.empty((int((n + 3).sum()), 2))
-    orders = np.zeros((len(sets), max(int(n.max(initial=0)), 1)), np.int64)
-    for k, p in enumerate(sets):
-        if len(p):
-            middle, size = (p.min(0) + p.max(0)) / 2, max(np.ptp(p, axis=0).max(), 1e-9)
-            q[base[k] : base[k] + n[k]] = p
-            q[base[k] + n[k] : base[k] + n[k] + 3] = middle + size * np.array([(-40.0, -30.0), (40.0, -30.0), (0.0, 50.0)])
-            orders[k, : n[k]] = np.random.default_rng(1).permutation(n[k])
+    orders = np.zeros((len(n), max(int(n.max(initial=0)), 1)), np.int64)
+    some = np.flatnonzero(n)
+    if len(some):
+        begin = (np.cumsum(n) - n)[some]
+        low, high = np.minimum.reduceat(points, begin), np.maximum.reduceat(points, begin)
+        q[runs(base, n)] = points
+        wide = np.maximum((high - low).max(1), 1e-9)
+        around = np.array([(-40.0, -30.0), (40.0, -30.0), (0.0, 50.0)])
+        q[(base + n)[some, None] + np.arange(3)] = ((low + high) / 2)[:, None] + wide[:, None, None] * around
+    for k in some.tolist():
+        orders[k, : n[k]] = _order(int(n[k]))
     room, far = 2 * int(n.max(initial=0)) + 8, int(n.max(initial=0)) + 3
-    shape = (len(sets), room)
+    shape = (len(n), room)
     tri, born = np.zeros((*shape, 3), np.int64), np.zeros(shape, np.int64)
     x, y, r2 = np.zeros(shape), np.zeros(shape), np.full(shape, -1.0)
-    used = np.ones(len(sets), np.int64)
+    used = np.ones(len(n), np.int64)
 
     def put(row: np.ndarray, slot: np.ndarray, t: np.ndarray) -> None:
         a, b, c = (q[base[row] + t[:, i]] for i in range(3))
@@ -80,7 +94,6 @@ def _together(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.n
         tri[row, slot] = t
         x[row, slot], y[row, slot], r2[row, slot] = a[:, 0] + o[:, 0], a[:, 1] + o[:, 1], (o * o).sum(1)
 
-    some = np.flatnonzero(n)
     put(some, np.zeros(len(some), np.int64), n[some, None] + np.arange(3))
     for k in range(int(n.max(initial=0))):
         rows = int(np.searchsorted(-n, -k, "left"))  # those that have a point left
@@ -112,11 +125,23 @@ def _together(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.n
             tri, born, x, y, r2 = pad(tri), pad(born), pad(x), pad(y), pad(r2, -1.0)
         put(of, place, np.stack([low, high, point[of]], 1))
         born[of, place] = (k + 1) * far * far + rank
-    out = []
-    for k in range(len(sets)):
-        kept = np.flatnonzero((r2[k] >= 0) & (tri[k] < n[k]).all(1)) if n[k] else np.empty(0, np.int64)
-        kept = kept[np.argsort(born[k, kept])]
-        out.append((tri[k, kept], np.stack([x[k, kept], y[k, kept]], 1), r2[k, kept]))
+    row, slot = np.nonzero((r2 >= 0) & (tri < n[:, None, None]).all(2))
+    order = np.lexsort((born[row, slot], row))
+    row, slot = row[order], slot[order]
+    return row, tri[row, slot], np.stack([x[row, slot], y[row, slot]], 1), r2[row, slot]
+
+
+def delaunays(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(triangles, centres, squared radii) of each set of points in general position; sets of about as many points each are triangulated together."""
+    out: list = [None] * len(sets)
+    by_size = sorted(range(len(sets)), key=lambda k: -len(sets[k]))
+    while by_size:
+        some = by_size[: max(1, TOGETHER // max(len(sets[by_size[0]]), 1))]
+        del by_size[: len(some)]
+        row, *found = _together(np.array([len(sets[k]) for k in some]), np.concatenate([sets[k] for k in some]))
+        cuts = np.searchsorted(row, np.arange(1, len(some)))
+        for k, *own in zip(some, *(np.split(f, cuts) for f in found)):
+            out[k] = tuple(own)
     return out
 
 
@@ -125,166 +150,212 @@ def delaunay(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return delaunays([p])[0]
 
 
-def within(ring: np.ndarray, at: np.ndarray) -> np.ndarray:
-    a, b = ring[:-1], ring[1:]
-    up = (a[None, :, 1] > at[:, None, 1]) != (b[None, :, 1] > at[:, None, 1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = a[None, :, 0] + (at[:, None, 1] - a[None, :, 1]) * (b - a)[None, :, 0] / (b - a)[None, :, 1]
-    return (up & (at[:, None, 0] < x)).sum(1) % 2 == 1
+def _some(count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of things with ``count`` pairs each that have about PAIRS together."""
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        yield at, to
+        at = to
 
 
-def outlined(ring: np.ndarray, spacing: float) -> np.ndarray:
-    """Points along a closed ring in general position."""
-    p = sampled(ring, spacing)
-    return p + np.random.default_rng(0).uniform(-1e-5, 1e-5, p.shape) * spacing
+def _within(at: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which points lie in the ring ``row``, whose sides (a, b) are ``count`` from ``first`` on."""
+    odd = np.zeros(len(at), bool)
+    for lo, hi in _some(count[row]):
+        i, j = np.repeat(np.arange(lo, hi), count[row[lo:hi]]), runs(first[row[lo:hi]], count[row[lo:hi]])
+        up = (a[j, 1] > at[i, 1]) != (b[j, 1] > at[i, 1])
+        i, j = i[up], j[up]
+        d = b[j] - a[j]
+        east = at[i, 0] < a[j, 0] + (at[i, 1] - a[j, 1]) * d[:, 0] / d[:, 1]
+        odd[lo:hi] = np.bincount(i[east] - lo, minlength=hi - lo) % 2 == 1
+    return odd
 
 
-def axis(ring: np.ndarray, spacing: float, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
-    """(nodes, radii, neighbours) of the medial axis of a closed ring; nodes nearer than a hundredth of the spacing are one.
+def _ways(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, member, closed, node, degree): the ways between ends and junctions of a graph of edges (a, b), in both directions.
 
-    ``found`` is the triangulation of ``outlined``, if it is known.
+    A way is the half-edges ``member`` from ``first`` on; half-edge k leaves from node k of a and b in a row. Loops are closed.
+    """
+    m = len(a)
+    tail, head = np.concatenate([a, b]), np.concatenate([b, a])
+    twin = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+    degree = np.bincount(tail, minlength=n)
+    order, first = np.argsort(tail, kind="stable"), np.cumsum(degree) - degree
+    after = np.full(2 * m, -1)
+    on = np.flatnonzero(degree[head] == 2)
+    one, other = order[first[head[on]]], order[first[head[on]] + 1]
+    after[on] = np.where(one == twin[on], other, one)
+    line, member, closed = chained(after)
+    return np.flatnonzero(np.diff(line, prepend=-1)), member, closed, tail, degree
+
+
+def _pruned(a: np.ndarray, b: np.ndarray, nodes: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (a, b) without short spurs; of several at one junction the two longest stay if there would be nothing else."""
+    while len(a):
+        m = len(a)
+        first, member, closed, node, degree = _ways(a, b, len(nodes))
+        step = nodes[b] - nodes[a]
+        length = np.add.reduceat(np.hypot(step[:, 0], step[:, 1])[member % m], first)
+        last = np.append(first[1:], len(member)) - 1
+        end = node[(member[last] + m) % (2 * m)]
+        short = np.flatnonzero(~closed & (degree[node[member[first]]] == 1) & (degree[end] > 2) & (length <= SPUR * radii[end]))
+        short = short[np.lexsort((length[short], end[short]))]
+        begin = np.flatnonzero(np.diff(end[short], prepend=-1))
+        count = np.diff(begin, append=len(short))
+        longer = np.repeat(begin + count, count) - 1 - np.arange(len(short))
+        gone = short[(degree[end[short]] > np.repeat(count, count)) | (longer > 1)]
+        if not len(gone):
+            break
+        kept = np.ones(m, bool)
+        kept[member[runs(first[gone], last[gone] + 1 - first[gone])] % m] = False
+        a, b = a[kept], b[kept]
+    return a, b
+
+
+def _drawn_out(length: np.ndarray, points: np.ndarray, asked: np.ndarray, far: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines (length, points), of which those ``asked`` have their ends drawn out straight on to the ring ``row``; the direction is that of their last ``far`` units."""
+    ends = np.cumsum(length)
+    p = points[ends - 1]
+    off = points - np.repeat(p, length, axis=0)
+    wide = np.hypot(off[:, 0], off[:, 1]) >= np.repeat(far, length)
+    back = np.maximum(np.maximum.reduceat(np.where(wide, np.arange(len(points)), -1), ends - length), ends - length)
+    u = p - points[back]
+    some = np.flatnonzero(asked & u.any(1))
+    share = np.full(len(length), np.inf)
+    ring = row[some]
+    for lo, hi in _some(count[ring]):
+        i, j = np.repeat(some[lo:hi], count[ring[lo:hi]]), runs(first[ring[lo:hi]], count[ring[lo:hi]])
+        d, q = b[j] - a[j], a[j] - p[i]
+        det = u[i, 0] * d[:, 1] - u[i, 1] * d[:, 0]
+        cut = np.flatnonzero(det)
+        i, d, q, det = i[cut], d[cut], q[cut], det[cut]
+        t, s = (q[:, 0] * d[:, 1] - q[:, 1] * d[:, 0]) / det, (q[:, 0] * u[i, 1] - q[:, 1] * u[i, 0]) / det
+        hit = (t > 0) & (s >= 0) & (s <= 1)
+        np.minimum.at(share, i[hit], t[hit])
+    met = np.flatnonzero(np.isfinite(share))
+    return length + np.isfinite(share), np.insert(points, ends[met], p[met] + u[met] * share[met, None], axis=0)
+
+
+def _reversed(length: np.ndarray, points: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(length)
+    return points[np.repeat(ends, length) - 1 - runs(np.zeros_like(length), length)]
+
+
+def _centre_lines(size: np.ndarray, points: np.ndarray, spacing: np.ndarray, n: np.ndarray, p: np.ndarray, extend: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, length, points): lines of the medial axes of closed rings, whose ``outlines`` are (n, p) and fall in size.
+
+    Nodes nearer than a hundredth of the spacing are one.
     """
-    tri, centre, r2 = found or delaunay(outlined(ring, spacing))
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2))
+    row, tri, centre, r2 = _together(n, p)
     if not len(tri):
-        return np.empty((0, 2)), np.empty(0), {}
-    inner = within(ring, centre)
+        return none
+    sides = np.delete(np.arange(len(points)), np.cumsum(size) - 1)
+    ring = points[sides], points[sides + 1], np.cumsum(size - 1) - (size - 1), size - 1
+    inner = _within(centre, row, *ring)
+    tri = tri + (np.cumsum(n) - n)[row][:, None]
     edges = np.sort(np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [2, 0]]]), axis=1)
+    code = edges[:, 0] * len(p) + edges[:, 1]
     owner = np.tile(np.arange(len(tri)), 3)
-    order = np.lexsort((edges[:, 1], edges[:, 0]))
-    edges, owner = edges[order], owner[order]
-    two = np.flatnonzero((edges[:-1] == edges[1:]).all(1))
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    two = np.flatnonzero(code[:-1] == code[1:])
     a, b = owner[two], owner[two + 1]
     both = inner[a] & inner[b]
-    _, name = np.unique(np.rint(centre / (spacing / 100)).astype(np.int64), axis=0, return_inverse=True)
-    name = name.ravel()
-    nodes, radii = np.zeros((name.max() + 1, 2)), np.zeros(name.max() + 1)
-    nodes[name], radii[name] = centre, np.sqrt(r2)
-    links: dict[int, set[int]] = {}
-    for i, j in zip(name[a[both]].tolist(), name[b[both]].tolist()):
-        if i != j:
-            links.setdefault(i, set()).add(j)
-            links.setdefault(j, set()).add(i)
-    return nodes, radii, links
-
-
-def _branch(links: dict[int, set[int]], leaf: int) -> list[int]:
-    """Nodes from a leaf to the first junction or the other end."""
-    way = [leaf]
-    while len(links[way[-1]]) <= 2:
-        on = [k for k in links[way[-1]] if len(way) < 2 or k != way[-2]]
-        if not on or on[0] in way:
-            break
-        way.append(on[0])
-    return way
-
-
-def pruned(nodes: np.ndarray, radii: np.ndarray, links: dict[int, set[int]], spur: float = SPUR) -> dict[int, set[int]]:
-    """The axis without short spurs; of several at one junction the longest stays if there would be nothing else."""
-    links = {k: set(v) for k, v in links.items()}
-    while True:
-        short: dict[int, list[tuple[float, list[int]]]] = {}
-        for leaf in [k for k, v in links.items() if len(v) == 1]:
-            way = _branch(links, leaf)
-            length = float(np.hypot(*np.diff(nodes[way], axis=0).T).sum())
-            if len(links[way[-1]]) > 2 and length <= spur * radii[way[-1]]:
-                short.setdefault(way[-1], []).append((length, way))
-        gone = 0
-        for junction, found in short.items():
-            found.sort(key=lambda f: f[0])
-            spare = len(links[junction]) - len(found)
-            for _, way in found[: len(found) if spare else -2]:  # a crossing of spurs alone keeps the two longest
-                for k in way[:-1]:
-                    for j in links.pop(k):
-                        if j in links:
-                            links[j].discard(k)
-                gone += 1
-        if not gone:
-            return links
-
-
-def chained(nodes: np.ndarray, links: dict[int, set[int]]) -> list[np.ndarray]:
-    """Lines between the ends and junctions of a graph; a loop is one line."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    starts = [k for k, v in sorted(links.items()) if len(v) != 2] + sorted(links)
-    for a in starts:
-        for b in sorted(links[a]):
-            if (a, b) in seen:
-                continue
-            way = [a, b]
-            seen |= {(a, b), (b, a)}
-            while len(links[way[-1]]) == 2 and way[-1] != a:
-                on = next(k for k in links[way[-1]] if k != way[-2])
-                if (way[-1], on) in seen:
-                    break
-                seen |= {(way[-1], on), (on, way[-1])}
-                way.append(on)
-            out.append(nodes[way])
-    return out
-
-
-def drawn_out(line: np.ndarray, ring: np.ndarray, far: float) -> np.ndarray:
-    """A line with its end drawn out straight on to the outline; the direction is that of its last ``far`` units."""
-    away = np.hypot(*(line - line[-1]).T)
-    back = line[np.flatnonzero(away >= far)[-1]] if (away >= far).any() else line[0]
-    u = line[-1] - back
-    if not u.any():
-        return line
-    a, d = ring[:-1], np.diff(ring, axis=0)
-    det = u[0] * d[:, 1] - u[1] * d[:, 0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((a[:, 0] - line[-1, 0]) * d[:, 1] - (a[:, 1] - line[-1, 1]) * d[:, 0]) / det
-        s = ((a[:, 0] - line[-1, 0]) * u[1] - (a[:, 1] - line[-1, 1]) * u[0]) / det
-    hits = t[(det != 0) & (t > 0) & (s >= 0) & (s <= 1)]
-    return np.vstack([line, line[-1] + u * hits.min()]) if len(hits) else line
-
-
-def centre_lines(ring: np.ndarray, spacing: float, extend: bool = False, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
-    """Centrelines of a closed ring. Without any, as in a square, it is the line between the middles of its shorter sides."""
-    nodes, radii, links = axis(ring, spacing, found)
-    links = pruned(nodes, radii, links)
-    lines = [polygons.simplify(line, spacing / 4) for line in chained(nodes, links)]
-    if not lines:
-        middle = polygons.mid_axis(ring)
-        return [] if middle is None else [np.array(middle).reshape(2, 2)]
+    place = np.column_stack([row, np.rint(centre / (spacing / 100)[row, None]).astype(np.int64)])
+    _, first, name = distinct(place)
+    nodes, radii, of = np.zeros((len(first), 2)), np.zeros(len(first)), np.zeros(len(first), np.int64)
+    nodes[name], radii[name], of[name] = centre, np.sqrt(r2), row
+    a, b = name[a[both]], name[b[both]]
+    code = np.unique((np.minimum(a, b) * len(nodes) + np.maximum(a, b))[a != b])
+    a, b = _pruned(*np.divmod(code, len(nodes)), nodes, radii)
+    if not len(a):
+        return none
+    m = len(a)
+    first, member, closed, node, degree = _ways(a, b, len(nodes))
+    count = np.diff(first, append=len(member))
+    for k in np.flatnonzero(closed).tolist():  # loops begin with their least node
+        own = member[first[k] : first[k] + count[k]]
+        member[first[k] : first[k] + count[k]] = np.roll(own, -int(node[own].argmin()))
+    head = (member + m) % (2 * m)
+    start, then = node[member[first]], node[head[first]]
+    same = np.minimum.reduceat(member % m, first)  # both directions have the same edges
+    order = np.lexsort((then, start, same))
+    one = order[::2]
+    one = one[np.lexsort((then[one], start[one], closed[one], of[start[one]]))]
+    row, length = of[start[one]], count[one] + 1
+    at = np.insert(node[head[runs(first[one], count[one])]], np.cumsum(count[one]) - count[one], start[one])
+    free = degree[at] == 1
+    ends = np.cumsum(length)
+    free_start, free_end = free[ends - length], free[ends - 1]
+    points_ = nodes[at]
+    kept = polygons.simplest(length, points_, spacing[row] / 4)
+    length, points_ = np.add.reduceat(kept.astype(np.int64), ends - length), points_[kept]
     if extend:
-        ends = {tuple(nodes[k]) for k, v in links.items() if len(v) == 1}
-        far = 4 * spacing
-        for k, line in enumerate(lines):
-            for turned in (False, True):
-                line = line[::-1] if turned else line
-                if tuple(line[-1]) in ends:
-                    line = drawn_out(line, ring, far)
-                lines[k] = line = line[::-1] if turned else line
-    return lines
+        for asked in (free_end, free_start):
+            length, points_ = _drawn_out(length, points_, asked, 4 * spacing[row], row, *ring)
+            points_ = _reversed(length, points_)
+    return row, length, points_
+
 
+def centre_lines_of(size: np.ndarray, points: np.ndarray, spacing: np.ndarray, extend: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, length, points): centrelines of closed rings; ``size`` points a ring, and ``length`` a line, follow each other.
 
-def medial_lines(layer: DataFrame, key: str = "geom_id", spacing: str | float = 0.5, extend: bool = False, ring: str = "ring") -> DataFrame:
-    """(key, part, pts): the centrelines of rings; ``spacing`` of points along the outline may be a column's name.
+    Rings of about as many points along the outline are gone through together: all steps are ones on arrays. A ring
+    without any centreline, like a square, has the line between the middles of its shorter sides.
+    """
+    n, p = outlines(size, points, spacing)
+    order = np.argsort(-n, kind="stable")
+    first, begin = np.cumsum(n) - n, np.cumsum(size) - size
+    rows, lengths, lines, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty((0, 2))], 0
+    while at < len(order):
+        some = order[at : at + max(1, TOGETHER // max(int(n[order[at]]), 1))]
+        at += len(some)
+        row, length, pts = _centre_lines(size[some], points[runs(begin[some], size[some])], spacing[some], n[some], p[runs(first[some], n[some])], extend)
+        rows.append(some[row])
+        lengths.append(length)
+        lines.append(pts)
+    rest = np.setdiff1d(order, np.concatenate(rows))
+    middles = polygons.mid_axes_of([points[begin[k] : begin[k] + size[k]] for k in rest.tolist()])
+    known = [k for k, middle in enumerate(middles) if middle is not None]
+    rows.append(rest[known])
+    lengths.append(np.full(len(known), 2))
+    lines.append(np.array([middles[k] for k in known], float).reshape(-1, 2))
+    row, length = np.concatenate(rows), np.concatenate(lengths)
+    order = np.argsort(row, kind="stable")
+    return row[order], length[order], np.concatenate(lines)[runs((np.cumsum(length) - length)[order], length[order])]
+
+
+def centre_lines(ring: np.ndarray, spacing: float, extend: bool = False) -> list[np.ndarray]:
+    """Centrelines of one closed ring."""
+    _, length, points = centre_lines_of(np.array([len(ring)]), ring, np.array([float(spacing)]), extend)
+    return np.split(points, np.cumsum(length)[:-1]) if len(length) else []
+
+
+def medial_lines(layer: DataFrame, key: str = "geom_id", spacing: str | float = 0.5, extend: bool = False, ring: str = "ring", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, part, pts) and the columns ``more``: the centrelines of rings; ``spacing`` of points along the outline may be a column's name.
 
     Rings of less than three sides have none. A polygon is a value; its triangulation is done in its task.
     """
-    kind = layer.schema[key].dataType.simpleString()
     step = F.col(spacing) if isinstance(spacing, str) else F.lit(float(spacing))
+    narrow = layer.select(key, overlay.plain(F.col(ring)).alias("ring"), step.cast("double").alias("gap"), *more)
+    names = [key, "part", "pts", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, points = overlay.points_of(batch.column(1))
-            gaps = batch.column(2).to_pylist()
-            some = [row for row, (n, gap) in enumerate(zip(size.tolist(), gaps)) if n > 3 and gap]
-            ends = np.cumsum(size)
-            rings = [points[ends[row] - size[row] : ends[row]] for row in some]
-            rows, parts, lines = [], [], [np.empty((0, 2))]
-            for row, ring, found in zip(some, rings, delaunays([outlined(ring, gaps[row]) for row, ring in zip(some, rings)])):
-                own = centre_lines(ring, gaps[row], extend, found)
-                rows += [row] * len(own)
-                parts += range(len(own))
-                lines += own
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), overlay.lists(np.array([len(line) for line in lines[1:]], np.int64), np.concatenate(lines))], names=[key, "part", "pts"])
-
-    narrow = layer.select(key, overlay.plain(F.col(ring)).alias("ring"), step.cast("double").alias("gap"))
+            gap = pc.fill_null(batch.column(2), 0.0).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero((size > 3) & (gap != 0))
+            begin = np.cumsum(size) - size
+            row, length, lines = centre_lines_of(size[some], points[runs(begin[some], size[some])], gap[some], extend)
+            at = pa.array(some[row])
+            part = runs(np.zeros(len(some), np.int64), np.bincount(row, minlength=len(some)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(part, pa.int32()), overlay.lists(length, lines), *(batch.column(k).take(at) for k in range(3, 3 + len(more)))], names=names)
+
+    kind = lambda c: f"`{c}` {narrow.schema[c].dataType.simpleString()}"
     tasks = int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file is a lot of work here
-    return narrow.repartition(tasks).mapInArrow(run, f"`{key}` {kind}, part int, pts {LINE}")
+    return narrow.repartition(tasks).mapInArrow(run, ", ".join([kind(key), "part int", f"pts {LINE}", *map(kind, more)]))
 
 
 def crosswalk_lines(layer: DataFrame, key: str = "geom_id", convexity: float = centerlines.CONVEX) -> DataFrame:
@@ -293,12 +364,13 @@ def crosswalk_lines(layer: DataFrame, key: str = "geom_id", convexity: float = c
     Convex ones get the middle line of their least box; others are eroded by a quarter of their mean width, and the
     parts that are left, if large enough, get centrelines drawn out to their outline.
     """
-    found = centerlines.crosswalk_branches(layer, convexity)
+    eroded = F.col("branch") == "erode"
+    branches = centerlines.crosswalk_branches(layer, convexity).filter("branch <> 'skip'")
+    found = table(branches.select(key, "branch", "erosion", "ax", "ay", "bx", "by_", F.when(eroded, F.array("ring")).alias("rings")))
     end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     straight = found.filter("branch in ('middle', 'extend')").select(key, "branch", F.array(end("ax", "ay"), end("bx", "by_")).cast(LINE).alias("pts"))
-    grown_together = found.filter("branch = 'erode'").select(key, F.array("ring").alias("rings"), "erosion")
-    rings = overlay.directed(grown_together, key)
-    inner = overlay.overlay(rings, overlay.strips(rings.join(grown_together.select(key, "erosion"), key), "erosion", key, inwards=True), "difference", key, cell=256.0)
+    rings = overlay.directed(found.filter(eroded), key, "rings", "erosion")
+    inner = overlay.overlay(rings, overlay.strips(rings, "erosion", key, inwards=True), "difference", key, cell=256.0)
     parts = inner.filter(F.col("area") > ERODED_LEAST).withColumn("gap", F.sqrt("area") / 12)
     return straight.unionByName(medial_lines(parts, key, "gap", True).select(key, F.lit("erode").alias("branch"), "pts"))
 
@@ -306,4 +378,4 @@ def crosswalk_lines(layer: DataFrame, key: str = "geom_id", convexity: float = c
 def sidewalk_lines(layer: DataFrame, key: str = "geom_id") -> DataFrame:
     """(key, branch, pts): centrelines of each sidewalk polygon (key, ring) that is not skipped, drawn out to the outline."""
     found = centerlines.sidewalk_branches(layer).filter("branch <> 'skip'")
-    return medial_lines(found, key, "spacing", True).join(found.select(key, "branch"), key).select(key, "branch", "pts")
+    return medial_lines(found, key, "spacing", True, more=("branch",)).select(key, "branch", "pts")
