@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import table
+from ..functions.storage import dealt, table
 from . import centerlines, overlay, polygons
-from .arrangement import PAIRS, chained, distinct, runs
+from .arrangement import chained, distinct, portions, runs
 
 #: A spur goes if it is at most this many times as long as its junction is away from the outline; a right corner has 1.42.
 SPUR = 1.6
@@ -150,19 +150,10 @@ def delaunay(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return delaunays([p])[0]
 
 
-def _some(count: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of things with ``count`` pairs each that have about PAIRS together."""
-    ends, at = np.cumsum(count), 0
-    while at < len(count):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-        yield at, to
-        at = to
-
-
 def _within(at: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Which points lie in the ring ``row``, whose sides (a, b) are ``count`` from ``first`` on."""
     odd = np.zeros(len(at), bool)
-    for lo, hi in _some(count[row]):
+    for lo, hi in portions(count[row]):
         i, j = np.repeat(np.arange(lo, hi), count[row[lo:hi]]), runs(first[row[lo:hi]], count[row[lo:hi]])
         up = (a[j, 1] > at[i, 1]) != (b[j, 1] > at[i, 1])
         i, j = i[up], j[up]
@@ -224,7 +215,7 @@ def _drawn_out(length: np.ndarray, points: np.ndarray, asked: np.ndarray, far: n
     some = np.flatnonzero(asked & u.any(1))
     share = np.full(len(length), np.inf)
     ring = row[some]
-    for lo, hi in _some(count[ring]):
+    for lo, hi in portions(count[ring]):
         i, j = np.repeat(some[lo:hi], count[ring[lo:hi]]), runs(first[ring[lo:hi]], count[ring[lo:hi]])
         d, q = b[j] - a[j], a[j] - p[i]
         det = u[i, 0] * d[:, 1] - u[i, 1] * d[:, 0]
@@ -377,5 +368,5 @@ def crosswalk_lines(layer: DataFrame, key: str = "geom_id", convexity: float = c
 
 def sidewalk_lines(layer: DataFrame, key: str = "geom_id") -> DataFrame:
     """(key, branch, pts): centrelines of each sidewalk polygon (key, ring) that is not skipped, drawn out to the outline."""
-    found = centerlines.sidewalk_branches(layer).filter("branch <> 'skip'")
+    found = centerlines.sidewalk_branches(dealt(layer))  # those skipped have no spacing, and so no lines
     return medial_lines(found, key, "spacing", True, more=("branch",)).select(key, "branch", "pts")
