@@ -96,8 +96,10 @@ def layer_overlay(v: Views) -> DataFrame:
     """Rectangles over L-shapes: what is in either, in both, in the first alone, in one alone."""
     layer = table(classes(v).withColumn("all", F.lit(1)))
     a, b = (overlay.directed(layer.filter(f"f_type {op} 'sidewalk'"), "all") for op in ("=", "<>"))
-    found = [overlay.overlay(a, b, how, "all").agg(F.lit(how).alias("how"), F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 3).alias("area")) for how in ("union", "intersection", "difference", "symmetric")]
-    return found[0].union(found[1]).union(found[2]).union(found[3])
+    hows = ("union", "intersection", "difference", "symmetric")
+    found = overlay.overlays(a, b, hows, "all").groupBy("how").agg(F.sum("area").alias("area"))
+    named = v.spark.createDataFrame([(how,) for how in hows], "how string")
+    return named.join(found, "how", "left").select("how", F.round(F.coalesce("area", F.lit(0.0)), 3).alias("area"))
 
 
 #: One polygon each: a cell wide enough for most.
