@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, LongType, StringType, StructField, StructType
 
 from .files import FolderWriter, opened, register
@@ -24,6 +26,8 @@ FILE_CODE, VERSION, SHAPES = 9994, 1000, {"line": 3, "polygon": 5}
 NAME_CHARS, TEXT_BYTES = 10, 254
 #: Bytes after which a task begins another set of files, and records that one task reads.
 LARGEST, RECORDS = 1 << 30, 50_000
+#: Records that are handed on at once.
+TOGETHER = 2_000
 POINT = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 PARTS = ArrayType(ArrayType(POINT))
 #: Kind, width and decimals of each type's field.
@@ -63,6 +67,21 @@ def decoded_shape(raw: bytes) -> list[list[dict]] | None:
     return [[{"x": x, "y": y} for x, y in xy[a:b]] for a, b in zip(starts, starts[1:])]
 
 
+def decoded_shapes(bodies: list[bytes]) -> pa.ListArray:
+    """``decoded_shape`` of many records as a column, without a Python object for each point."""
+    known = [struct.unpack_from("<i", raw)[0] != 0 for raw in bodies]
+    sizes = [struct.unpack_from("<ii", raw, 36) if ok else (0, 0) for raw, ok in zip(bodies, known)]
+    starts, points, base = [np.empty(0, np.int64)], [np.empty((0, 2))], 0
+    for raw, (n_parts, n_points) in zip(bodies, sizes):
+        if n_parts:
+            starts.append(np.frombuffer(raw, "<i4", n_parts, 44) + base)
+            points.append(np.frombuffer(raw, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2))
+            base += n_points
+    xy = np.concatenate(points)
+    line = pa.ListArray.from_arrays(pa.array(np.append(np.concatenate(starts), base), pa.int32()), pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"]))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(n for n, _ in sizes)]), pa.int32()), line, mask=pa.array([not ok for ok in known], pa.bool_()))
+
+
 def encoded_value(value: object, kind: str, width: int) -> bytes:
     """A fixed-width field; null is zeros for texts and blanks for all else."""
     if value is None:
@@ -166,7 +185,7 @@ class Records(InputPartition):
 
 class ShapefileReader(DataSourceReader):
     def __init__(self, path: str, schema: StructType) -> None:
-        self.path, self.names = path, schema.fieldNames()
+        self.path, self.schema = path, to_arrow_schema(schema)
 
     def partitions(self) -> list[Records]:
         fs, path = opened(self.path)
@@ -177,25 +196,29 @@ class ShapefileReader(DataSourceReader):
                 out += [Records(info.path.removesuffix(".shx"), at, min(RECORDS, n - at)) for at in range(0, n, RECORDS)]
         return out or [Records("", 0, 0)]
 
-    def read(self, partition: Records) -> Iterator[tuple]:
+    def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
         if not partition.count:
             return
         fs, _ = opened(self.path)
-        stem, n = partition.stem, partition.count
-        fields, header, record = _fields_of(fs, stem)
-        with fs.open_input_file(f"{stem}.shx") as f:
+        fields, header, record = _fields_of(fs, partition.stem)
+        with fs.open_input_file(f"{partition.stem}.shx") as f:
             f.seek(100 + 8 * partition.first)
-            index = np.frombuffer(f.read(8 * n), ">i4").reshape(-1, 2).astype(np.int64) * 2
-        with fs.open_input_file(f"{stem}.dbf") as f, fs.open_input_file(f"{stem}.shp") as shapes:
+            index = np.frombuffer(f.read(8 * partition.count), ">i4").reshape(-1, 2).astype(np.int64) * 2
+        with fs.open_input_file(f"{partition.stem}.dbf") as f, fs.open_input_file(f"{partition.stem}.shp") as shapes:
             f.seek(header + record * partition.first)
-            for at, length in index.tolist():
-                raw, values, k = f.read(record), {}, 1
+            for some in np.array_split(index, -(-len(index) // TOGETHER)):
+                raw, columns, k = f.read(record * len(some)), {}, 1
                 for name, kind, width, digits in fields:
-                    values[name] = decoded_value(raw[k : k + width], "F" if kind == "N" and digits else kind)
+                    as_ = "F" if kind == "N" and digits else kind
+                    columns[name] = [decoded_value(raw[at + k : at + k + width], as_) for at in range(0, len(raw), record)]
                     k += width
-                shapes.seek(at + 8)
-                values["parts"] = decoded_shape(shapes.read(length))
-                yield tuple(values[c] for c in self.names)
+                bodies = []
+                for at, length in some.tolist():
+                    shapes.seek(at + 8)
+                    bodies.append(shapes.read(length))
+                schema = self.schema
+                arrays = [decoded_shapes(bodies) if f_.name == "parts" else pa.array(columns[f_.name], f_.type) for f_ in schema]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 class Shapefiles(DataSource):
