@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..functions.storage import dealt
+from ..functions.storage import dealt, remove, table
 
 #: Files, and bytes of them, that are handed on at once.
 BATCH_FILES, BATCH_BYTES = 1_000, 1 << 24
+#: Files that are there at once where they are read back, about: each takes a block of the disk and an entry of its own.
+TURN_FILES = 1 << 18
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -120,15 +122,18 @@ def write_files(rows: DataFrame, folder: str, mode: str = "overwrite") -> None:
     dealt(rows.select("name", F.col("content").cast("binary").alias("content"))).write.format("pavegraph_files").mode(mode).save(folder)
 
 
+def _tops(folder: str) -> list[pafs.FileInfo]:
+    fs, path = opened(folder)
+    return fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(name, content) of the files that ``write_files`` wrote, or that lie under ``folder`` in others; empty ones are left out.
 
     The driver lists the top of the folder alone, where every task that wrote has one of its own; tasks list and read these.
     """
-    fs, path = opened(folder)
-    own = fs.get_file_info(pafs.FileSelector(path))
     shown = lambda found: not found.base_name.startswith(("_", "."))
-    tops = [(i.path, i.type == pafs.FileType.Directory) for i in own if shown(i)]
+    tops = [(i.path, i.type == pafs.FileType.Directory) for i in _tops(folder) if shown(i)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(folder)
@@ -152,3 +157,34 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
 
     return dealt(spark.createDataFrame(tops, "path string, is_folder boolean"), "path").mapInArrow(run, "name string, content binary")
+
+
+def remove_files(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``write_files`` wrote; tasks delete what lies at its top."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(folder)
+        for batch in batches:
+            for top, is_folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if fs.get_file_info(top).type != pafs.FileType.NotFound:  # a task may run twice
+                    (fs.delete_dir if is_folder else fs.delete_file)(top)
+            yield batch
+
+    tops = [(i.path, i.type == pafs.FileType.Directory) for i in _tops(folder)]
+    dealt(spark.createDataFrame(tops, "path string, is_folder boolean"), "path").mapInArrow(run, "path string, is_folder boolean").count()
+    remove(spark, folder)
+
+
+def in_turns(rows: DataFrame, by: str, write: Callable[[DataFrame, str], None], read: Callable[[str], DataFrame], folder: str) -> DataFrame:
+    """What ``read(folder)`` has after ``write(rows, folder)``, where each row becomes a file and equal ``by`` may be equal names.
+
+    No more than about TURN_FILES are there at a time: all rows are written, a share of them after the other, and the
+    files of a share are deleted once what was read of them is a table.
+    """
+    spark = rows.sparkSession
+    turns, found = max(1, -(-rows.count() // TURN_FILES)), []
+    for turn in range(turns):
+        own = f"{folder}-{turn}"
+        write(rows.filter(F.pmod(F.xxhash64(by), F.lit(turns)) == turn), own)
+        found.append(table(read(own)))
+        remove_files(spark, own)
+    return spark.read.schema(found[0].schema).parquet(*(f._stored_at for f in found))
